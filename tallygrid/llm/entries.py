@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import url_filters
+from tallygrid.llm import decontaminate, url_filters
 
-QUERIES = {"op7_url_filters": url_filters.query}
-ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL}
+QUERIES = {"op7_url_filters": url_filters.query, "op9_decontamination": decontaminate.query}
+ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, url_filters
+from tallygrid.llm import decontaminate, language_id, licenses, quality, url_filters
 
-QUERIES = {"op7_url_filters": url_filters.query, "op9_decontamination": decontaminate.query}
+QUERIES = {
+    "op1_language_id": language_id.query,
+    "op4_quality": quality.query,
+    "op6_licenses": licenses.query,
+    "op7_url_filters": url_filters.query,
+    "op9_decontamination": decontaminate.query,
+}
 ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

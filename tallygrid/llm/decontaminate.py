@@ -35,33 +35,37 @@ OUTER = ".,;:!?\"'()[]"
 
 
 def canonical_words(df: DataFrame, text: str) -> DataFrame:
-    """Adds words (split at white space; none for a null or blank text) and canon (the same length)."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    df = df.withColumn("words", words)
+    """Adds words (split at white space; one empty word for a null or blank text) and canon (the same length).
 
-    def canon(w, i):
+    The lower-cased words come from a split of their own, and the word before from a shifted copy: a lambda that names
+    an array of the row may have that array computed again for each element. Most words need no regular expression.
+    """
+    white = " \t\n\x0b\f\r"
+    bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(white))
+    df = df.withColumn("words", F.split(bare, r"[\x20\x09-\x0D]+")).withColumn("lows", F.split(F.lower(bare), r"[\x20\x09-\x0D]+"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", F.lit(1), F.size("words") - 1))
+    df = df.withColumn("trios", F.arrays_zip(F.col("words").alias("w"), F.col("lows").alias("low"), before.alias("before")))
+
+    def canon(t):
+        w, low, before = t["w"], t["low"], t["before"]
+        inner = F.btrim(low, F.lit(OUTER))
         first = F.substring(w, 1, 1)
-        before = F.get(F.col("words"), i - 1)
-        capital = (F.upper(first) == first) & (F.lower(first) != first)
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", "|")
-        bare = F.lower(F.btrim(w, F.lit(OUTER)))
-        number = F.substring(F.ltrim(w, F.lit("-+$€£#(")), 1, 1).between("0", "9")
-        return (
-            F.when(number & F.rlike(w, F.lit(NUMBER)), "<num>")
-            .when(bare.isin(*UNITS) & F.rlike(before, F.lit(NUMBER)), "<unit>")
-            .when(capital & inside & (F.lower(F.substring(w, 2, 1000)) == F.substring(w, 2, 1000)) & (F.length(bare) > 1), "<name>")
-            .otherwise(bare)
-        )
+        name = (w != low) & inside & (F.lower(first) != first) & (F.substring(low, 2, 1000) == F.substring(w, 2, 1000)) & (F.length(inner) > 1)
+        unit = (before < "a") & F.rlike(before, F.lit(NUMBER)) & inner.isin(*UNITS)
+        return F.when(low < "a", F.when(F.rlike(low, F.lit(NUMBER)), "<num>").otherwise(inner)).when(unit, "<unit>").when(name, "<name>").otherwise(inner)
 
-    return df.withColumn("canon", F.transform("words", canon))
+    return df.withColumn("canon", F.transform("trios", canon)).drop("lows", "trios")
 
 
 def windows(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each window: keep, words, canon, pos (from 0) and h. A text of fewer than WINDOW words has none."""
     keys = df.withColumn("keys", F.transform("canon", lambda c: F.xxhash64(c)))
     n = F.size("keys")
-    rows = keys.where(n >= WINDOW).select(*keep, "words", "canon", "keys", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("pos"))
-    return rows.select(*keep, "words", "canon", "pos", F.xxhash64(F.slice("keys", F.col("pos") + 1, WINDOW)).alias("h"))
+    # The outer form keeps the optimizer from moving a filter on the array's size, and with it all the above, to the scan.
+    rows = keys.select(*keep, "words", "canon", "keys", F.explode_outer(F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW))).alias("pos"))
+    rows = rows.select(*keep, "words", "canon", "pos", F.xxhash64(*(F.get("keys", F.col("pos") + k) for k in range(WINDOW))).alias("h"))
+    return rows.where("pos IS NOT NULL")
 
 
 def at_window(column: str) -> F.Column:
@@ -79,7 +83,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = windows(canonical_words(benchmark.select("item_id", "text"), "text"), ["item_id"])
     items = items.select("item_id", F.col("pos").alias("ipos"), "h", at_window("canon").alias("icanon"), at_window("words").alias("iwords"))
     literal = F.size(F.filter("icanon", lambda c: ~F.startswith(c, F.lit("<"))))
-    items = items.where(literal >= LEAST_LITERALS).dropDuplicates(["item_id", "ipos", "icanon"])
+    items = items.where(literal >= LEAST_LITERALS).dropDuplicates(["item_id", "ipos", "icanon", "iwords"])
     sizes = items.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     docs = windows(canonical_words(documents.select("doc_id", "text"), "text"), ["doc_id"])
     if items.count() <= BROADCAST_WINDOWS:
@@ -88,7 +92,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         docs = docs.select("doc_id", "pos", "h", at_window("canon").alias("dcanon"), at_window("words").alias("dwords"))
         hits = docs.join(items, "h")
-    hits = hits.where(F.col("dcanon") == F.col("icanon"))
+    hits = hits.where(F.array_contains(F.array("icanon"), F.col("dcanon")))  # an equality would become a join key, built for every window
     bare = lambda c: F.btrim(c, F.lit(OUTER))
     trio = F.arrays_zip("icanon", "iwords", "dwords")
     slots = F.transform(F.filter(trio, lambda t: F.startswith(t["icanon"], F.lit("<"))), lambda t: F.struct(bare(t["iwords"]).alias("i"), bare(t["dwords"]).alias("d")))
@@ -123,7 +127,7 @@ def _oracle_side(name: str, key: str) -> str:
 {name}_c AS (SELECT {key}, words, list_transform(words, lambda w, i:
   CASE WHEN regexp_matches(w, '{NUMBER}') THEN '<num>'
        WHEN lower(trim(w, '{_CHARS}')) IN ({_UNITS}) AND regexp_matches(CASE WHEN i > 1 THEN words[i - 1] ELSE '' END, '{NUMBER}') THEN '<unit>'
-       WHEN upper(w[1]) = w[1] AND lower(w[1]) <> w[1] AND i > 1 AND words[i - 1][-1] NOT IN ('.', '!', '?', ':', '|')
+       WHEN lower(w[1]) <> w[1] AND i > 1 AND words[i - 1][-1] NOT IN ('.', '!', '?', ':', '|')
             AND lower(w[2:]) = w[2:] AND length(trim(w, '{_CHARS}')) > 1 THEN '<name>'
        ELSE lower(trim(w, '{_CHARS}')) END) AS canon FROM {name}_w),
 {name} AS (SELECT {key}, pos, canon[pos + 1:pos + {WINDOW}] AS {name}canon, words[pos + 1:pos + {WINDOW}] AS {name}words

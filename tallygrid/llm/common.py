@@ -83,3 +83,68 @@ def by_id_ranges(df: DataFrame, key: str, n: int) -> list:
     ids = df.select(key).where(F.col(key).isNotNull())
     firsts = ids.repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first")).collect()
     return sorted({r["first"] for r in firsts})[1:]
+
+
+def packed(rows: pa.Table) -> bytes:
+    """Rows as one compressed block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blocks: pa.ChunkedArray | pa.Array) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks])
+
+
+def dealt_by_ranges(df: DataFrame, key: str, n: int, neighbours: bool = False, flush_bytes: int = 32 << 20) -> DataFrame:
+    """df's rows dealt into up to n runs of ascending key, as columns run (int) and block (binary, see unpacked()).
+
+    A null key comes first. Rows travel as compressed blocks, a few of each run from each task. With neighbours, the
+    rows of each run's first key are also sent to the run before (of the first run: to the last), marked in the added
+    column `next_run`.
+    """
+    cuts = by_id_ranges(df, key, n)
+    firsts = [None, *cuts]
+    if neighbours:
+        has_null = df.where(F.col(key).isNull()).limit(1).count() > 0
+        firsts[0] = None if has_null else df.agg(F.min(key)).first()[0]
+    runs, bounds = len(firsts), np.array(cuts, np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            at = rows.column(0).combine_chunks()
+            null = at.is_null().to_numpy(zero_copy_only=False)
+            ids = at.fill_null(0).to_numpy(zero_copy_only=False)
+            run = np.where(null, 0, np.searchsorted(bounds, ids, "right"))
+            where, tail = [np.arange(len(run))], [np.zeros(len(run), bool)]
+            if neighbours:
+                lead = np.array([0 if x is None else x for x in firsts], np.int64)[run]
+                first = np.where(run == 0, null if firsts[0] is None else ~null & (ids == lead), ids == lead)
+                where.append(np.flatnonzero(first))
+                tail.append(np.ones(len(where[1]), bool))
+            where, tail = np.concatenate(where), np.concatenate(tail)
+            to = np.where(tail, (run[where] - 1) % runs, run[where])
+            order = np.argsort(to, kind="stable")
+            edges = np.flatnonzero(np.diff(to[order], prepend=-1))
+            for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+                some = rows.take(pa.array(where[order[lo:hi]]))
+                if neighbours:
+                    some = some.append_column("next_run", pa.array(tail[order[lo:hi]]))
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[order[lo]])], pa.int32()), pa.array([packed(some)], pa.binary())], names=["run", "block"])
+
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > flush_bytes:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    return df.select(key, *(c for c in df.columns if c != key)).mapInArrow(deal, "run int, block binary")

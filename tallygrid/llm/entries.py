@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, language_id, licenses, quality, url_filters
+from tallygrid.llm import decontaminate, fingerprints, language_id, licenses, quality, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_licenses": licenses.query,
     "op7_url_filters": url_filters.query,
     "op9_decontamination": decontaminate.query,
+    "op10_fingerprints": fingerprints.query,
 }
 ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

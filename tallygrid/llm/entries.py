@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, fingerprints, language_id, licenses, quality, url_filters
+from tallygrid.llm import decontaminate, fingerprints, language_id, licenses, quality, token_files, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_token_files": token_files.query,
     "op4_quality": quality.query,
     "op6_licenses": licenses.query,
     "op7_url_filters": url_filters.query,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, fingerprints, language_id, licenses, quality, token_files, url_filters
+from tallygrid.llm import decontaminate, fingerprints, language_id, licenses, packing, quality, simhash, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_token_files": token_files.query,
+    "op3_simhash": simhash.query,
     "op4_quality": quality.query,
+    "op5_packing": packing.query,
     "op6_licenses": licenses.query,
     "op7_url_filters": url_filters.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_decontamination": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
 }

@@ -185,6 +185,13 @@ def scorer(model: Model, threshold: float):
     return score
 
 
+def training_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """stats, label and calibrate of the labelled rows that may teach."""
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
+    rows = labels.where(remainder("doc_id", 5) != 0).join(stats, "doc_id")
+    return saved(rows.select("stats", "label", (remainder("doc_id", 5) == 1).alias("calibrate")))
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, score, predicted.
 
@@ -193,18 +200,27 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = TH
     or empty text has statistics of zero and so a score of its own.
     """
     stats = saved(described(documents))
+    model = train(training_rows(stats, labels))
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    rows = labels.where(remainder("doc_id", 5) != 0).join(stats, "doc_id")
-    model = train(saved(rows.select("stats", "label", (remainder("doc_id", 5) == 1).alias("calibrate"))))
     return stats.select("doc_id", held.alias("held_out"), "stats").mapInArrow(scorer(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def sieve(model: Model, threshold: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi, data, at in chunks(batch.column(text_at)):
+                good[lo:hi] = model.score(statistics(data, at).astype(np.float32).astype(np.float64)) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, whose score is at least threshold. A doc_id that repeats stands or falls
-    with its worst text; rows with a null doc_id stay."""
-    rejected = score_quality(documents, labels, threshold).where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return documents.join(rejected, "doc_id", "left_anti").select(documents.columns)
+    """The rows of documents, with all their columns, whose score is at least threshold. The model is that of
+    score_quality(); rows are scored where they are read and nothing is joined."""
+    model = train(training_rows(described(documents), labels))
+    return documents.mapInArrow(sieve(model, threshold, documents.columns.index("text")), documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

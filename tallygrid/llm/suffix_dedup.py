@@ -6,6 +6,8 @@
 2. Windows in a row with the same anchor form a piece of text. Pieces whose anchor repeats are dealt into suffix buckets
    by the anchor, unless the same piece stands earlier in the run: those are removed at once, so a passage that stands
    in a third of all documents leaves each run a single time.
+   Anchors of HOT or more pieces in all (the edges of a very common passage, with other text around each) don't go to
+   one bucket: their windows are dealt one by one, by two 64-bit hashes, each once for a run.
 3. In each bucket equal pieces fall together (their bytes are compared); the suffixes of what still shares an anchor
    are sorted with a difference cover (see suffixes.py), one bucket at a time. Of equal ones all but the first go.
 4. Removed windows return to their runs, which cut them from the texts.
@@ -31,6 +33,10 @@ GRAM = 32
 #: Places within a chunk fit in so many bits; longer texts are cut into overlapping chunks.
 PLACE_BITS = 23
 LONGEST = 4 << 20
+#: Anchors with about so many pieces in all runs together are dealt by window.
+HOT = 4096
+#: The lowest bits of an anchor's hash carry the power of two of its count on the way out, and whether it is hot back.
+TAG = np.uint64(15)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -118,15 +124,15 @@ def anchored(data: np.ndarray, at: np.ndarray, length: int, hasher: Hasher) -> t
 
 
 def mark(buckets: int, length: int):
-    """Pass 1: the hashes of a run's anchors, dealt by hash; the lowest bit says whether it stands twice in the run."""
+    """Pass 1: the hashes of a run's anchors, dealt by hash; TAG holds the power of two of how often it stands there."""
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows.column("run")[0].as_py()
         hasher = Hasher()
         found = [anchored(data, at, length, hasher)[3] for data, _, at, _ in stretches(documents_of(rows).column("text"), length)]
-        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]) & ~np.uint64(1), return_counts=True)
-        keys |= (n > 1).astype(np.uint64)
-        to = ((keys >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]) & ~TAG, return_counts=True)
+        keys |= np.minimum(np.log2(n).astype(np.uint64), TAG)
+        to = bucket_of(keys, buckets)
         order = np.argsort(to, kind="stable")
         edges = np.flatnonzero(np.diff(to[order], prepend=-1))
         return pa.table([pa.array(to[order][edges], pa.int32()), pa.array(np.full(len(edges), number), pa.int32()), pa.array([x.tobytes() for x in np.split(keys[order], edges[1:])] if len(edges) else [], pa.binary())], names=["bucket", "run", "hashes"])
@@ -134,29 +140,54 @@ def mark(buckets: int, length: int):
     return run
 
 
-def repeated(rows: pa.Table) -> pa.Table:
-    """Pass 1, in a bucket: for each run those of its anchors that stand twice in it or in another run too."""
-    runs = rows.column("run").to_pylist()
-    lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
-    keys = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    bare = keys & ~np.uint64(1)
-    order = np.argsort(bare, kind="stable")
-    bare, owner, twice = bare[order], owner[order], (keys[order] & np.uint64(1)).astype(bool)
-    same = bare[1:] == bare[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    bare, owner = bare[twice], owner[twice]
-    order = np.argsort(owner, kind="stable")
-    edges = np.flatnonzero(np.diff(owner[order], prepend=-1))
-    own = owner[order][edges]
-    return pa.table([pa.array([runs[k] for k in own], pa.int32()), pa.array([x.tobytes() for x in np.split(bare[order], edges[1:])] if len(edges) else [], pa.binary())], names=["run", "hashes"])
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(4)) % np.uint64(buckets)).astype(np.int64)
+
+
+def repeated(hot: int):
+    """Pass 1, in a bucket: for each run those of its anchors that stand twice in it or in another run too, with bit 0
+    set if they are hot."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        runs = rows.column("run").to_pylist()
+        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
+        keys = np.concatenate(lists)
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(keys, kind="stable")
+        bare, owner, n = keys[order] & ~TAG, owner[order], np.left_shift(1, (keys[order] & TAG).astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(bare) else np.zeros(0, np.int64)
+        total = np.repeat(np.add.reduceat(n, first), np.diff([*first, len(bare)])) if len(bare) else n
+        bare, owner = (bare | (total >= hot).astype(np.uint64))[total > 1], owner[total > 1]
+        order = np.argsort(owner, kind="stable")
+        edges = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        own = owner[order][edges]
+        return pa.table([pa.array([runs[k] for k in own], pa.int32()), pa.array([x.tobytes() for x in np.split(bare[order], edges[1:])] if len(edges) else [], pa.binary())], names=["run", "hashes"])
+
+    return run
 
 
 def windows_block(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
     return packed(pa.table([pa.array(doc.astype(np.int32)), pa.array(start), pa.array(n.astype(np.int32))], names=["doc", "start", "n"]))
 
 
+def first_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its kind in the order they stand."""
+    order = np.lexsort((np.arange(len(keys[0])), *keys))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    out = np.ones(len(order), bool)
+    out[order[1:]] = ~same
+    return out
+
+
+def dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for some in np.split(order, edges[1:]) if len(edges) else []:
+        yield int(to[some[0]]), some
+
+
 def cut_pieces(buckets: int, length: int):
     """Pass 2: the pieces whose anchor repeats, to suffix buckets; those that stand earlier in the run are removed."""
 
@@ -167,37 +198,42 @@ def cut_pieces(buckets: int, length: int):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         number = rows.column("run")[0].as_py()
         wanted = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in hashes.column("hashes")]))
-        hasher, parts, texts = Hasher(), [], []
+        hasher, parts, texts, single = Hasher(), [], [], []
         for data, row, at, begins in stretches(documents_of(rows).column("text"), length):
             of, first, last, anchor = anchored(data, at, length, hasher)
-            bare = anchor & ~np.uint64(1)
-            place = np.searchsorted(wanted, bare)
-            keep = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == bare)
-            of, first, last, anchor = of[keep], first[keep], last[keep], anchor[keep]
-            ends = last + length
-            one, two = (hasher.of(hasher.sums(data, k), k, first, ends) for k in (0, 1)) if len(of) else (anchor, anchor)
-            parts.append((row[of], first - at[of] + begins[of], last - first + 1, anchor, one ^ (last - first).astype(np.uint64), two))
-            texts.append((data, first, ends - first))
-        doc, start, n, anchor, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # The same piece again in this run: only the first goes on. Chunks are in order, so first is earliest.
-        order = np.lexsort((np.arange(len(doc)), two, one, anchor))
-        again = np.zeros(len(doc), bool)
-        if len(doc):
-            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-            again[order[1:]] = same
+            anchor = anchor & ~TAG
+            place = np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)
+            keep = (wanted[place] & ~TAG) == anchor
+            of, first, last, anchor, hot = of[keep], first[keep], last[keep], anchor[keep], (wanted[place] & TAG)[keep] > 0
+            sums = [hasher.sums(data, k) for k in (0, 1)]
+            one, two = (hasher.of(sums[k], k, first, last + length) for k in (0, 1))
+            doc, start, n = row[of], first - at[of] + begins[of], last - first + 1
+            parts.append((doc, start, n, anchor, one ^ n.astype(np.uint64), two, hot))
+            texts.append((data, first, n + length - 1))
+            at = ranges(first[hot], n[hot])
+            single.append((np.repeat(doc[hot], n[hot]), ranges(start[hot], n[hot]), *(hasher.of(sums[k], k, at, at + length) for k in (0, 1))))
         out = []
-        if again.any():
-            out.append((number % buckets, number, "removed", windows_block(doc[again], start[again], n[again])))
-        sizes = np.concatenate([x[2] for x in texts])
-        to = ((anchor >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-        fresh = np.flatnonzero(~again)
-        pool = np.concatenate([data[ranges(f, s)] for data, f, s in texts])
+        # Chunks stand in order, so the first of equal ones is the earliest.
+        doc, start, one, two = (np.concatenate(x) for x in zip(*single, strict=True))
+        fresh = first_of(two, one)
+        lost, fresh = np.flatnonzero(~fresh), np.flatnonzero(fresh)
+        if len(lost):
+            out.append((number % buckets, number, "removed", windows_block(doc[lost], start[lost], np.ones(len(lost)))))
+        for bucket, some in dealt(bucket_of(one[fresh], buckets)):
+            some = fresh[some]
+            out.append((bucket, number, "windows", packed(pa.table([pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(one[some]), pa.array(two[some])], names=["doc", "start", "one", "two"]))))
+        doc, start, n, anchor, one, two, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sizes = n + length - 1
         begin = np.cumsum(sizes) - sizes
-        fresh = fresh[np.argsort(to[fresh], kind="stable")]
-        edges = np.flatnonzero(np.diff(to[fresh], prepend=-1))
-        for some in np.split(fresh, edges[1:]) if len(edges) else []:
-            block = pa.table([pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(n[some].astype(np.int32)), pa.array(anchor[some]), pa.array(one[some]), pa.array(two[some]), pa.array([pool[ranges(begin[some], sizes[some])].tobytes()] + [None] * (len(some) - 1), pa.binary())], names=["doc", "start", "n", "anchor", "one", "two", "text"])
-            out.append((int(to[some[0]]), number, "pieces", packed(block)))
+        pool = np.concatenate([data[ranges(f, s)] for data, f, s in texts])
+        fresh = first_of(two, one, anchor)
+        lost, fresh = np.flatnonzero(~fresh & ~hot), np.flatnonzero(fresh & ~hot)
+        if len(lost):
+            out.append((number % buckets, number, "removed", windows_block(doc[lost], start[lost], n[lost])))
+        for bucket, some in dealt(bucket_of(anchor[fresh], buckets)):
+            some = fresh[some]
+            text = pa.array([pool[ranges(begin[some], sizes[some])].tobytes()] + [None] * (len(some) - 1), pa.binary())
+            out.append((bucket, number, "pieces", packed(pa.table([pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(n[some].astype(np.int32)), pa.array(anchor[some]), pa.array(one[some]), pa.array(two[some]), text], names=["doc", "start", "n", "anchor", "one", "two", "text"]))))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -209,21 +245,30 @@ def sort_bucket(length: int):
 
     def run(rows: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
-        cols, texts = [], []
+        cols, texts, single = [], [], []
         for number, kind, block in zip(rows.column("run").to_pylist(), rows.column("kind").to_pylist(), rows.column("block"), strict=True):
             if kind == "removed":
                 out.append((number, block.as_buffer().to_pybytes()))
                 continue
             own = pa.ipc.open_stream(block.as_buffer()).read_all()
-            cols.append([np.full(own.num_rows, number, np.int64), *(own.column(c).to_numpy() for c in ("doc", "start", "n", "anchor", "one", "two"))])
-            texts.append(np.frombuffer(own.column("text").combine_chunks()[0].as_buffer(), np.uint8))
+            here = [np.full(own.num_rows, number, np.int64), *(own.column(c).to_numpy() for c in own.column_names if c != "text")]
+            if kind == "windows":
+                single.append(here)
+            else:
+                cols.append(here)
+                texts.append(np.frombuffer(own.column("text").combine_chunks()[0].as_buffer(), np.uint8))
+        found = []
+        if single:
+            number, doc, start, one, two = (np.concatenate(x) for x in zip(*single, strict=True))
+            order = np.lexsort((start, doc, number))
+            lost = order[~first_of(two[order], one[order])]
+            found.append((number[lost], doc[lost], start[lost], np.ones(len(lost), np.int64)))
         if cols:
             number, doc, start, n, anchor, one, two = (np.concatenate(x) for x in zip(*cols, strict=True))
-            for lost in doubles(number, doc.astype(np.int64), start, n.astype(np.int64), anchor, one, two, np.concatenate(texts), length):
-                order = np.argsort(lost[0], kind="stable")
-                edges = np.flatnonzero(np.diff(lost[0][order], prepend=-1))
-                for some in np.split(order, edges[1:]) if len(edges) else []:
-                    out.append((int(lost[0][some[0]]), windows_block(lost[1][some], lost[2][some], lost[3][some])))
+            found += doubles(number, doc, start, n.astype(np.int64), anchor, one, two, np.concatenate(texts), length)
+        for lost in found:
+            for number, some in dealt(lost[0]):
+                out.append((number, windows_block(lost[1][some], lost[2][some], lost[3][some])))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["run", "block"])
 
     return run
@@ -316,23 +361,23 @@ def cleaned(length: int, columns: list[str]):
     return run
 
 
-def runs_and_removed(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def runs_and_removed(documents: DataFrame, length: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     n = blocks_for(documents)
     runs = dealt_by_ranges(documents, "doc_id", n)
     marks = runs.groupBy("run").applyInArrow(mark(n, length), "bucket int, run int, hashes binary")
-    twice = marks.groupBy("bucket").applyInArrow(repeated, "run int, hashes binary")
+    twice = marks.groupBy("bucket").applyInArrow(repeated(hot), "run int, hashes binary")
     pieces = runs.groupBy("run").cogroup(twice.groupBy("run")).applyInArrow(cut_pieces(n, length), "bucket int, run int, kind string, block binary")
     return runs, pieces.groupBy("bucket").applyInArrow(sort_bucket(length), "run int, block binary")
 
 
-def repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """One row for each row of documents: doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept_sha256.
 
     A byte goes if a string of length bytes covers it that also starts earlier: in a row before (by doc_id, null first,
     then text) or earlier in the same text. Strings never cross texts. A null text counts as an empty one. length must
     be at least 64.
     """
-    runs, removed = runs_and_removed(documents.select("doc_id", "text"), length)
+    runs, removed = runs_and_removed(documents.select("doc_id", "text"), length, hot)
     return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

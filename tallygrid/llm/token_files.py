@@ -9,7 +9,6 @@ cost nothing. `blocks` and `planes` are the index: ids of each block and bytes o
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,20 +36,18 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """The tokenizer's ids of whole texts, with each distinct word tokenized once.
+    """The tokenizer's ids of whole texts, with each distinct piece of text tokenized once.
 
-    The vocabulary's tokenizer drops white space and never joins what white space parts, so a text's ids are those of
-    its words in a row. Words are told apart by two 64-bit hashes that are computed for all words of a chunk at once.
-    Plain words (ASCII and Latin letters) are cut by the vocabulary's own rule and given to the library's BPE many at a
-    time; any other word goes through the unchanged tokenizer.
+    The vocabulary's tokenizer lower-cases, drops white space and cuts the rest into runs of letters, single digits and
+    runs of other characters, none of which it joins. So a text's ids are those of its pieces in a row. For plain words
+    (ASCII and Latin-1 letters) the cuts are made here, for all texts of a chunk at once; other words (apostrophes,
+    other scripts, marker strings) are one piece each. Pieces are told apart by two 64-bit hashes. New plain pieces go
+    to the library's BPE many at a time, new other ones through the unchanged tokenizer.
     """
 
-    #: The vocabulary's splitting rule for lower-cased plain words.
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-z0-9ß-öø-ÿœ]+")
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿœŒ]+")
-    MARKERS = ("<|startoftext|>", "<|endoftext|>")
-    MOST_WORDS = 1_500_000
+    MOST_PIECES = 1_500_000
     BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    ODD = np.uint64(0x5851F42D4C957F2D)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,104 +60,144 @@ class WordTokenizer:
         vocabulary = self.whole.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.separator = np.zeros(256, bool)
-        self.separator[[32, 9, 10, 13]] = True
-        self.powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 4
+        # 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 what makes a word odd (0xC3 and what follows it is seen to apart)
+        self.kind = np.full(256, 3, np.uint8)
+        self.kind[:32], self.kind[127:], self.kind[39] = 4, 4, 4
+        self.kind[[32, 9, 10, 13]] = 0
+        self.kind[65:91], self.kind[97:123], self.kind[48:58] = 1, 1, 2
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.powers: list[np.ndarray] = []
         self.clear()
 
     def clear(self) -> None:
-        """Entry 0 is the end mark."""
-        self.known: dict[int, int] = {}
+        """Entry 0 is the end mark, which no piece has."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.check = np.zeros(1, np.uint64)
         self.ids = np.array([END_ID], np.uint32)
-        self.at = np.array([0], np.int64)
-        self.n = np.array([1], np.int64)
+        self.at, self.n = np.array([0], np.int64), np.array([1], np.int64)
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        if len(self.powers[0]) < len(data) + 1:
+        if not self.powers or len(self.powers[0]) < len(data) + 1:
             size, self.powers = max(len(data) + 1, 1 << 21), []
             for base in self.BASES:
                 for x in (base, pow(base, -1, 1 << 64)):
                     steps = np.full(size, x, np.uint64)
                     steps[0] = 1
                     self.powers.append(np.cumprod(steps, dtype=np.uint64))
-        out = []
+        out, plus = [], data.astype(np.uint64)
+        plus += np.uint64(1)
+        sums = np.zeros(len(data) + 1, np.uint64)
         for k in (0, 2):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[k][: len(data)], dtype=np.uint64, out=sums[1:])
+            np.cumsum(plus * self.powers[k][: len(data)], dtype=np.uint64, out=sums[1:])
             h = (sums[ends] - sums[starts]) * self.powers[k + 1][starts]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             out.append(h ^ (h >> np.uint64(32)) ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
         return out
 
-    def learn(self, words: list[str], keys: list[int], check: np.ndarray) -> None:
-        """Adds words that aren't known yet."""
-        plain, cut, odd = {}, {}, {}
-        for k, w in enumerate(words):
-            if self.PLAIN.fullmatch(w) and not any(m in w for m in self.MARKERS):
-                cut[k] = own = self.PIECE.findall(w.lower())
-                for p in own:
-                    plain.setdefault(p, len(plain))
-            else:
-                odd[k] = w
-        found: list[list[int]] = []
-        names = list(plain)
-        for lo in range(0, len(names), 20_000):
-            some = names[lo : lo + 20_000]
-            ids = np.array(self.pieces.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-cased bytes, starts and ends of the pieces, whether each is an odd word)."""
+        kind, low = self.kind[data], self.lower[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        good = (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        lead, after = lead[good], after[good]
+        kind[lead] = kind[lead + 1] = 1
+        low[lead + 1] = np.where(after < 0x9F, after + 0x20, after)
+        kind[1:][(data[1:] == 124) & (data[:-1] == 60)] = 4
+        first = np.zeros(len(data), bool)
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        inside = kind != 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | first[1:]
+        change = begins.copy()
+        change[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        starts, words = np.flatnonzero(change), np.flatnonzero(begins)
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:] | first[1:]
+        word_ends = np.flatnonzero(closes) + 1
+        odd_bytes = np.flatnonzero(kind == 4)
+        odd_word = np.zeros(len(words), bool)
+        odd_word[np.searchsorted(words, odd_bytes, "right") - 1] = True
+        of = np.cumsum(begins[starts]) - 1
+        keep = ~odd_word[of] | begins[starts]
+        starts, of = starts[keep], of[keep]
+        ends = np.minimum(np.append(starts[1:], len(data)), word_ends[of])
+        odd = odd_word[of]
+        ends[odd] = word_ends[of[odd]]
+        return low, starts, ends, odd
+
+    def learn(self, raw: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, keys: np.ndarray, check: np.ndarray) -> None:
+        """Adds pieces that aren't known yet; keys are in order."""
+        n, parts = np.zeros(len(keys), np.int64), []
+        plain = np.flatnonzero(~odd)
+        order = []
+        for lo in range(0, len(plain), 20_000):
+            some = plain[lo : lo + 20_000]
+            size = ends[some] - starts[some]
+            text = np.full(int(size.sum()) + len(some), 32, np.uint8)
+            to = np.cumsum(size + 1) - size - 1
+            text[runs(to, size)] = low[runs(starts[some], size)]
+            ids = np.array(self.pieces.encode(text[:-1].tobytes().decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(some):
                 raise ValueError("the vocabulary's pieces don't end as expected")
-            ids = ids.tolist()
-            lo_hi = [0, *ends.tolist()]
-            found += [ids[a:b] for a, b in zip(lo_hi, lo_hi[1:], strict=False)]
-        rare = dict(zip(odd, (e.ids for e in self.whole.encode_batch(list(odd.values()), add_special_tokens=False)), strict=True)) if odd else {}
-        lists = [rare[k] if k in rare else [i for p in cut[k] for i in found[plain[p]]] for k in range(len(words))]
-        n = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.uint32)
-        base, total = len(self.at), len(self.ids)
-        self.known.update(zip(keys, range(base, base + len(keys)), strict=True))
-        self.check = np.concatenate([self.check, check])
-        self.at = np.concatenate([self.at, total + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.ids = np.concatenate([self.ids, flat])
+            n[some] = np.diff(stops, prepend=0)
+            parts.append(ids)
+            order.append(some)
+        strange = np.flatnonzero(odd)
+        if len(strange):
+            texts = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts[strange].tolist(), ends[strange].tolist(), strict=True)]
+            for k, e in zip(strange.tolist(), self.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+                n[k] = len(e.ids)
+                parts.append(np.array(e.ids, np.uint32))
+            order.append(strange)
+        order = np.concatenate(order)
+        at = np.zeros(len(keys), np.int64)
+        at[order] = len(self.ids) + np.cumsum(n[order]) - n[order]
+        slots = np.arange(len(self.at), len(self.at) + len(keys))
+        self.ids = np.concatenate([self.ids, *parts])
+        self.at, self.n, self.check = np.append(self.at, at), np.append(self.n, n), np.append(self.check, check)
+        both = np.append(self.keys, keys)
+        by = np.argsort(both, kind="stable")
+        self.keys, self.slots = both[by], np.append(self.slots, slots)[by]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each with END_ID at its end, and the number of each text."""
-        inside = ~self.separator[data]
-        starts, ends = inside.copy(), inside.copy()
-        starts[1:] &= self.separator[data[:-1]]
-        ends[:-1] &= self.separator[data[1:]]
-        edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
-        starts[edges] = inside[edges]
-        ends[edges - 1] = inside[edges - 1]
-        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        key, check = self.hashes(data, starts, ends)
+        low, starts, ends, odd = self.cut(data, offsets) if len(data) else (data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        if odd.any():  # odd words are told apart by their own bytes, not the lower-cased ones
+            spots = runs(starts[odd], ends[odd] - starts[odd])
+            low[spots] = data[spots]
+        key, check = self.hashes(low, starts, ends)
+        key ^= odd * self.ODD
         keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.MOST_WORDS:
+        if len(self.keys) + len(keys) > self.MOST_PIECES:
             self.clear()
-        names = keys.tolist()
-        at = [self.known.get(k, -1) for k in names]
-        new = [k for k, x in enumerate(at) if x < 0]
-        if new:
-            raw = data.tobytes()
-            pick = first[new]
-            words = [raw[a:b].decode("utf-8") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            self.learn(words, [names[k] for k in new], check[pick])
-            at = [self.known[k] for k in names]
-        where = np.array(at, np.int64)[back] if len(at) else np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            pick = first[~known]
+            self.learn(data, low, starts[pick], ends[pick], odd[pick], keys[~known], check[pick])
+            place = np.searchsorted(self.keys, keys)
+        where = self.slots[place][back] if len(keys) else np.zeros(0, np.int64)
         if (self.check[where] != check).any():
-            raise ValueError("two words share a 64-bit hash")
+            raise ValueError("two pieces share a 64-bit hash")
         stops = np.searchsorted(starts, offsets[1:], "left")
         where = np.insert(where, stops, 0)
         n = self.n[where]
         total = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[where] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        ids = self.ids[runs(self.at[where], n)]
         last = total[stops + np.arange(len(stops))] if len(stops) else np.zeros(0, np.int64)
         return ids, np.diff(last, prepend=0)
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, in a row."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
 def planes_of(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of one block of ids: 4 of bytes or 32 of bits."""
     if kind == "byte":

@@ -29,4 +29,4 @@ def address_part(addr: Column, part: str) -> Column:
     """'col' letters, 'row' number; null if addr is no address of up to 3 letters and 7 digits."""
     pattern = r"^\$?([A-Z]{1,3})\$?([0-9]{1,7})$"
     found = F.regexp_extract(addr, pattern, 1 if part == "col" else 2)
-    return F.when(found != "", found if part == "col" else found.cast("int"))
+    return F.when(found != "", found if part == "col" else found.try_cast("int"))

@@ -23,7 +23,7 @@ def normal_label(label: Column) -> Column:
 
 def looks_like_number(text: Column) -> Column:
     """Text that holds a number but no bare year from 1990 to 2100."""
-    year = F.when(text.rlike(r"^\s*\d{4}\s*$"), F.btrim(text, F.lit(" \t\n\r")).cast("int"))
+    year = F.when(text.rlike(r"^\s*\d{4}\s*$"), F.btrim(text, F.lit(" \t\n\r")).try_cast("int"))
     return text.rlike(NUMBER_LIKE) & text.rlike(r"\d") & ~F.coalesce(year.between(1990, 2100), F.lit(False))
 
 

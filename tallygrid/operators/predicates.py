@@ -163,7 +163,7 @@ def impossible_targets(cells: DataFrame) -> DataFrame:
         return F.when(t.rlike(pattern), (F.abs(col_to_num(letters) - col_to_num(part(1))) + 1) * (F.abs(number(4, 2) - number(2, 2)) + 1))
 
     sizes = F.transform(terms, size)
-    rows = rows.withColumns({"chain": chain, "target": target.cast("long"), "sizes": sizes}).where(~F.exists("sizes", lambda x: x.isNull()))
+    rows = rows.withColumns({"chain": chain, "target": target.try_cast("long"), "sizes": sizes}).where(~F.exists("sizes", lambda x: x.isNull()))
     rows = rows.withColumn("most", F.aggregate("sizes", F.lit(0), lambda a, x: a + x)).where("most < target")
     return rows.groupBy("workbook_id", "chain", "target", "most").agg(F.count("*").alias("cells"), F.min(F.struct("sheet_idx", "sheet", "row", "col")).alias("first"))
 

@@ -45,7 +45,7 @@ def aggregate_ranges(model: Model) -> DataFrame:
     at = F.element_at("args", 1)
     part = lambda k: F.regexp_extract(at, pattern, k)
     one = one.where(at.rlike(pattern))
-    return one.select("workbook_id", "sheet_idx", "sheet", "row", "col", "addr", "formula", "fn", "pos", "end_at", part(2).cast("int").alias("r1"), col_to_num(part(1)).alias("c1"), part(4).cast("int").alias("r2"), col_to_num(part(3)).alias("c2"), F.col("sheet").alias("to_sheet"))
+    return one.select("workbook_id", "sheet_idx", "sheet", "row", "col", "addr", "formula", "fn", "pos", "end_at", part(2).try_cast("int").alias("r1"), col_to_num(part(1)).alias("c1"), part(4).try_cast("int").alias("r2"), col_to_num(part(3)).alias("c2"), F.col("sheet").alias("to_sheet"))
 
 
 def off_by_one(model: Model) -> DataFrame:
@@ -241,7 +241,7 @@ def gate_coverage(model: Model) -> DataFrame:
     pattern = r'(?i)COUNTIF\(\s*(?:\'?[^\'!]+\'?!)?\$?([A-Z]+)\$?(\d+):\$?[A-Z]+\$?(\d+)\s*,\s*"(?:EXCEPTION|FAIL)'
     from tallygrid.functions.addresses import col_to_num
 
-    gates = model.formulas.where(F.col("formula").rlike(pattern)).select("workbook_id", "sheet", "row", "col", col_to_num(F.regexp_extract("formula", pattern, 1)).alias("c"), F.regexp_extract("formula", pattern, 2).cast("int").alias("lo"), F.regexp_extract("formula", pattern, 3).cast("int").alias("hi"))
+    gates = model.formulas.where(F.col("formula").rlike(pattern)).select("workbook_id", "sheet", "row", "col", col_to_num(F.regexp_extract("formula", pattern, 1)).alias("c"), F.regexp_extract("formula", pattern, 2).try_cast("int").alias("lo"), F.regexp_extract("formula", pattern, 3).try_cast("int").alias("hi"))
     states = model.cells.where("upper(trim(txt)) IN ('PASS', 'FAIL', 'EXCEPTION', 'OK')").select("workbook_id", "sheet", F.col("row").alias("state_row"), F.col("col").alias("c"))
     out = gates.join(states, ["workbook_id", "sheet", "c"]).where("state_row < lo OR state_row > hi")
     return out.groupBy("workbook_id", "sheet", "row", "col").agg(F.count("*").alias("outside"))

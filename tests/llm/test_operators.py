@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallygrid.llm import components, decontaminate, fingerprints, language_id, licenses, packing, quality, simhash, suffix_dedup, suffixes, token_files, url_filters
+from tallygrid.llm import components, decontaminate, fingerprints, language_id, licenses, packing, quality, simhash, similar, suffix_dedup, suffixes, token_files, url_filters
 from tests.conftest import same_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, run int, f long, canon string"
@@ -148,6 +148,56 @@ def test_simhash_components(spark, docs, odd, empty):
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} >= {None, 1}
 
 
+def slow_sets(text):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(parts[k : k + 5]) for k in range(len(parts) - 4)} or ({tuple(parts)} if parts else set())
+
+
+def test_similar_documents(spark, docs, odd, empty):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(300)]
+    copies = [" ".join(base)]
+    for n in (1, 3, 5, 9, 20, 60):  # ever more words changed
+        words = list(base)
+        for k in rng.choice(300, n, replace=False):
+            words[k] = f"x{k}"
+        copies.append(" ".join(words))
+    extra = spark.createDataFrame([(5000 + k, t) for k, t in enumerate(copies)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(extra)
+    kept = pairs(rows)
+    sets = [slow_sets(t) for _, t in kept]
+    parent = list(range(len(kept)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    got = {}
+    for r in similar.similar_documents(rows).collect():
+        got.setdefault(r["doc_id"], set()).add(r["first_key"])
+    first = {}
+    for k, (doc_id, text) in enumerate(kept):
+        first.setdefault(root(k), min(got[doc_id]) if doc_id is not None else None)
+        assert first[root(k)] in got[doc_id] or first[root(k)] is None
+    assert len({x for v in got.values() for x in v}) == len({root(k) for k in range(len(kept))})
+    assert similar.similar_documents(empty).count() == 0
+    left = similar.without_similar(odd)
+    assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} >= {1, 7, 10}
+
+
+def test_large_groups_of_near_copies_stay_together(spark):
+    base = [f"w{k}" for k in range(400)]
+    texts = [(k, " ".join([*base[: k + 20], f"y{k}", *base[k + 21 :]])) for k in range(150)]
+    rows = similar.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len({r["first_key"] for r in rows}) == 1
+
+
 def test_meeting_variants_link_all_that_are_near(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)

@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import corpus_pipeline
-from tallygrid.llm import decontaminate, quality, simhash
+from tallygrid.llm import decontaminate, quality, similar
 
 
 def test_stages(spark, small, tmp_path):
@@ -19,8 +19,8 @@ def test_stages(spark, small, tmp_path):
     scores = quality.score_quality(source, spark.read.parquet(f"{small}/labels.parquet"))
     assert ids(after) == ids(scores.where("predicted = 1"))
     source, after = kept["near_duplicates"]
-    groups = simhash.near_duplicates(source)
-    assert ids(after) == ids(groups.where("doc_id = component_id"))
+    groups = similar.similar_documents(source)
+    assert ids(after) == ids(groups.where("key = first_key"))
     source, after = kept["repeats"]
     assert ids(after) == ids(source)
     source, after = kept["decontamination"]

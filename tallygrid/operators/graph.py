@@ -160,6 +160,39 @@ def orphan_sheets(sheets: DataFrame, dependencies: DataFrame, inputs: DataFrame
     return out if inputs is None else out.join(inputs, ["workbook_id", "sheet"], "left_anti")
 
 
+KEY_OUTPUTS = ("irr", "npv", "ebitda", "dscr", "moic", "equity multiple", "development margin", "exit multiple", "equity irr", "project irr")
+
+
+def key_output_chains(model: Model, most_outputs: int = 15, depth: int = 10) -> DataFrame:
+    """Blank or error cells that key outputs lead to over their references, with how many outputs do.
+
+    The first most_outputs formula outputs of a workbook (by position) are followed over up to depth steps.
+    """
+    from pyspark.sql import Window as W
+
+    from tallygrid.operators.labels import labelled_values
+
+    outputs = labelled_values(model.cells, KEY_OUTPUTS, 8).where("is_formula").select("workbook_id", "sheet_idx", "sheet", "row", "col").distinct()
+    order = W.partitionBy("workbook_id").orderBy("sheet_idx", "sheet", "row", "col")
+    outputs = outputs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_outputs)
+    node = F.struct("workbook_id", "sheet", "row", "col")
+    edges = cut(cell_edges(model))
+    seen = cut(outputs.select(node.alias("output"), node.alias("node")))
+    frontier = seen
+    for _ in range(depth):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("output", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["output", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.union(frontier))
+    real = model.sheets.select("workbook_id", "sheet")
+    places = seen.select("output", "node.*").join(real, ["workbook_id", "sheet"], "left_semi")
+    state = model.cells.select("workbook_id", "sheet", "row", "col", "formula", "err", (F.col("kind") == "blank").alias("blank"))
+    ends = places.join(state, ["workbook_id", "sheet", "row", "col"], "left")
+    what = F.when(F.col("formula").isNull() & F.col("err").isNotNull(), "error").when(F.col("formula").isNull() & F.coalesce("blank", F.lit(True)), "dead end")
+    return ends.withColumn("what", what).where("what IS NOT NULL").groupBy("workbook_id", "sheet", "row", "col", "what").agg(F.count_distinct("output").alias("outputs"))
+
+
 def daisy_chains(model: Model, most: int = 20) -> DataFrame:
     """Bare links to bare links that nothing else uses, by row and number of hops. Chains of more than `most` hops count
     as `most`."""

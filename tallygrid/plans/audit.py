@@ -83,6 +83,7 @@ _rows("T0-RSN-008", lambda m: cross.valuation_divergence(m.cells), "divergence")
 _rows("T0-RSN-009", lambda m: cross.negative_debt_yields(m.cells), "value")
 _rows("T0-CIRC-001", lambda m: graph.cycles(m).where("distribution"), "cells")
 _rows("T0-CIRC-002", lambda m: graph.cycles(m).where("NOT distribution"), "cells")
+_rows("T0-CHAIN", graph.key_output_chains, "what")
 _rows("T0-DAISYCHAIN-001", graph.daisy_chains, "hops")
 
 

@@ -502,3 +502,46 @@ def distribution_gate(spark, sf):
     d = o.where("o_orderpriority < '3'").groupBy("o_custkey", "c").agg(F.max("o_totalprice").alias("v"))
     r = o.where("o_orderpriority >= '3'").groupBy("o_custkey", "c").agg(F.min("o_totalprice").alias("cover"))
     return d.join(r, ["o_custkey", "c"]).where("cover / 100000 < 1.0").select("o_custkey", "c", F.round("v", 2).alias("paid"), F.round("cover", 2).alias("cover"))
+
+
+@query(f"""SELECT CAST(sum(n) AS BIGINT) AS formula_cells, CAST(sum(chars + length(sheet) + 4) AS BIGINT) AS characters, CAST(round(sum(chars + length(sheet) + 4) / 3) AS BIGINT) AS tokens, round(sum(chars + length(sheet) + 4) / 3) <= 780000 AS fits
+  FROM (SELECT sheet, count(*) AS n, sum(length(concat('C', row_no)) + 3 + length(formula) + 1) AS chars FROM {_F} GROUP BY sheet)""")
+def token_estimate(spark, sf):
+    """The size of a listing of all formulas."""
+    from tallygrid.operators import sampling
+
+    return sampling.token_estimate(formula_model(spark, sf).cells).drop("workbook_id")
+
+
+@query("""WITH b AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), a AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL)
+  SELECT check_id, sha256, b.n AS before, a.n AS after, CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'gone' ELSE 'changed' END AS what FROM b FULL JOIN a USING (check_id, sha256) WHERE b.n IS NULL OR a.n IS NULL OR a.n <> b.n""")
+def snapshot_diff(spark, sf):
+    """Counts that changed between two snapshots."""
+    from tallygrid.operators import sampling
+
+    part = lambda c: table(spark, sf, "lineitem").where(c).groupBy(F.col("l_returnflag").alias("check_id"), F.col("l_suppkey").cast("string").alias("sha256")).agg(F.count("*").alias("n"))
+    return sampling.snapshot_changes(part("l_linenumber <= 2"), part("l_linenumber = 3"))
+
+
+@query("""SELECT 'n' || CAST(src AS VARCHAR) AS target, 'n' || CAST(dst AS VARCHAR) AS precedent, CAST(link_count * 150 AS BIGINT) AS link_count, 'Normal' AS direction, CASE WHEN link_count * 150 > 500 THEN 'High' WHEN link_count * 150 > 100 THEN 'Moderate' ELSE 'Low' END AS risk FROM (""" + duck(EDGES) + ")")
+def edge_risk(spark, sf):
+    """Direction and risk of dependencies."""
+    e = project(spark, sf, EDGES).select(F.concat(F.lit("n"), F.col("src").cast("string")).alias("target"), F.concat(F.lit("n"), F.col("dst").cast("string")).alias("precedent"), (F.col("link_count") * 150).cast("long").alias("link_count"))
+    return core.edges(e)
+
+
+@query(r"""SELECT c_custkey, lower(trim(regexp_replace(c_name, '[-\s]+', ' ', 'g'))) AS label, repeat('*', CASE WHEN length(c_mktsegment) <= 4 THEN length(c_mktsegment) ELSE 0 END) || CASE WHEN length(c_mktsegment) > 4 THEN left(c_mktsegment, 2) || repeat('*', length(c_mktsegment) - 4) || right(c_mktsegment, 2) ELSE '' END AS redacted FROM customer""")
+def labels_and_redaction(spark, sf):
+    """Normal labels and redacted texts."""
+    return table(spark, sf, "customer").select("c_custkey", text.normal_label(F.col("c_name")).alias("label"), text.redact(F.col("c_mktsegment")).alias("redacted"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN v IS NULL OR isnan(v) THEN 'unresolved' WHEN abs(o_totalprice - v) > greatest(1.0, 0.001 * abs(o_totalprice)) THEN CASE WHEN o_custkey % 3 = 0 THEN 'likely masked' ELSE 'mismatch' END ELSE 'match' END AS state
+  FROM (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.01 ELSE o_totalprice END AS v FROM orders)""")
+def recalc_compare(spark, sf):
+    """Cached against recalculated values."""
+    place = [F.lit("w").alias("workbook_id"), F.lit("s").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"), F.lit(1).alias("col")]
+    o = table(spark, sf, "orders")
+    cells = o.select(*place, F.lit("A1").alias("formula"), F.lit("number").alias("kind"), F.col("o_totalprice").alias("num"))
+    again = o.where("o_orderkey % 13 <> 0").select(*place, F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.01).otherwise(F.col("o_totalprice")).alias("value"))
+    return graph.recalculation(cells, again, o.where("o_custkey % 3 = 0").select(*place)).select(F.col("row").cast("long").alias("o_orderkey"), "state")

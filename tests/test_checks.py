@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tallygrid.functions import addresses, scoring, text, tokens
-from tallygrid.operators import calls, core, cross, graph, labels, predicates, ranges, rules, series
+from tallygrid.operators import calls, core, cross, graph, labels, predicates, ranges, rules, sampling, series
 from tallygrid.plans import audit, report
 from tests.grids import model, places
 
@@ -204,6 +204,12 @@ def test_graphs(spark):
     assert sorted((r["cells"], r["distribution"]) for r in graph.cycles(m).collect()) == [(2, False), (2, True)]
 
 
+def test_key_output_chains(spark):
+    m = model(spark, {"S": {"A1": "Project IRR", "B1": ("=B2+Z9", 0.1), "B2": ("=B3", 1.0), "B3": ("=C3", 1.0), "C3": "#REF!", "A5": "Equity IRR", "B5": ("=B2", 0.2), "A6": "NPV", "B6": 5}})
+    got = {(r["row"], r["col"], r["what"], r["outputs"]) for r in graph.key_output_chains(m).collect()}
+    assert got == {(9, 26, "dead end", 1), (3, 3, "error", 2)}
+
+
 def test_orphans(spark):
     m = model(spark, {"Inputs": {"A1": 1}, "Calc": {"A1": "=Inputs!A1"}, "Balance Sheet": {"A1": "=Calc!A1"}, "Dashboard": {"A1": "='Balance Sheet'!A1"}, "Lost": {"A1": 2}, "Read me": {"A1": "x"}})
     deps = core.sheet_dependencies(m)
@@ -250,9 +256,26 @@ def test_core_scan(spark):
 
 def test_audit_runs_checks(spark):
     m = model(spark, {"Inputs": {"A1": "Rate", "B1": 5, "B2": "1,234"}, "Calc": {"A1": "=Inputs!B1*12", "A2": "=VLOOKUP(A1,B:C,2)"}})
-    graphs = {n for n in audit.CHECKS if n.startswith(("T0-CIRC", "T0-DAISY"))}  # these run as they are made
+    graphs = {n for n in audit.CHECKS if n.startswith(("T0-CIRC", "T0-DAISY", "T0-CHAIN"))}  # these run as they are made
     shapes = {tuple(audit.CHECKS[n](m).columns) for n in audit.CHECKS if n not in graphs}
     assert len(shapes) == 1
     found = audit.run_checks(m, ["single cells", "calls", "off by one", "T0-RI-001", "T0-RSN-004"])
     assert {r["check_id"] for r in found.collect()} == {"T0-NUMASTEXT-001", "T0-LOOKUPMATCH-001", "T0-RSN-004"}
     assert {r["check_id"] for r in audit.judged(found).where("priority = 'P2'").collect()} == {"T0-NUMASTEXT-001", "T0-LOOKUPMATCH-001"}
+
+
+def test_samples(spark):
+    m = model(spark, {"S": {"A1": "=B1+1", "B10": "=A1*(2+IF(A1,2,3))"}})
+    e = sampling.token_estimate(m.cells).first()
+    assert e["formula_cells"] == 2 and e["characters"] == (2 + 3 + 4 + 1) + (3 + 3 + 17 + 1) + 5 and e["tokens"] == 13 and e["fits"]
+    assert sampling.listing(m.cells).first()["listing"] == "A1=B1+1\nB10=A1*(2+IF(A1,2,3))"
+    rows = [("w", "s", k, "debt" if k < 30 else "rate" if k < 40 else "other" if k < 70 else "note", k < 70) for k in range(90)]
+    got = sampling.meaningful_rows(spark.createDataFrame(rows, "workbook_id string, sheet string, row int, label string, numeric boolean"), "debt", "rate").groupBy("tier").count().collect()
+    assert {r["tier"]: r["count"] for r in got} == {0: 18, 1: 1, 3: 1}
+    replies = spark.createDataFrame([('Here: ```json\n{"a": 1,}\n```',), ('{"a": 2}',), ("none",)], "t string")
+    assert [r["x"]["a"] if r["x"] else None for r in replies.select(sampling.parsed_reply(F.col("t"), "a int").alias("x")).collect()] == [1, 2, None]
+    files = spark.createDataFrame([("w", "h1"), ("v", "h2")], "workbook_id string, sha256 string")
+    before = sampling.snapshot(spark.createDataFrame([("w", "c"), ("w", "c")], "workbook_id string, check_id string"), files)
+    assert {(r["sha256"], r["n"]) for r in before.collect()} == {("h1", 2), ("h2", 0)}
+    after = before.withColumn("n", F.col("n") + 1).where("sha256 = 'h1'")
+    assert {(r["sha256"], r["what"]) for r in sampling.snapshot_changes(before, after).collect()} == {("h1", "changed"), ("h2", "gone")}

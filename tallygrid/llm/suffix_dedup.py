@@ -48,7 +48,7 @@ class Hasher:
 
     def sums(self, data: np.ndarray, k: int) -> np.ndarray:
         if not self.powers or len(self.powers[0]) < len(data) + 1:
-            size, self.powers = len(data) + 1, []
+            size, self.powers = max(len(data) + 1, (1 << 19) + 1), []
             for base in BASES:
                 for x in (base, pow(base, -1, 1 << 64)):
                     steps = np.full(size, x, np.uint64)
@@ -156,7 +156,7 @@ def repeated(hot: int):
         order = np.argsort(keys, kind="stable")
         bare, owner, n = keys[order] & ~TAG, owner[order], np.left_shift(1, (keys[order] & TAG).astype(np.int64))
         first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(bare) else np.zeros(0, np.int64)
-        total = np.repeat(np.add.reduceat(n, first), np.diff([*first, len(bare)])) if len(bare) else n
+        total = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(bare))) if len(bare) else n
         bare, owner = (bare | (total >= hot).astype(np.uint64))[total > 1], owner[total > 1]
         order = np.argsort(owner, kind="stable")
         edges = np.flatnonzero(np.diff(owner[order], prepend=-1))

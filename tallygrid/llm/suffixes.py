@@ -74,29 +74,31 @@ def sorted_suffixes(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, dept
         return starts, np.zeros(0, np.int64)
     words = words_at(text)
     rank = cover_ranks(words, ends, depth)
-    order, group = dense([words[starts + p] for p in range(0, COVER, 8)])
+    order, tie = dense([words[starts + p] for p in range(0, COVER, 8)])
     starts = starts[order]
+    first = np.flatnonzero(np.diff(tie, prepend=-1))
+    group = first[tie]  # the place of its first member
     tail = [depth - COVER + p for p in range(0, COVER, 8)]
+    todo = np.arange(len(starts))
     # Each round splits every unsettled group at one of its members into less, equal and greater.
-    settled = np.zeros(len(starts), bool)
     while True:
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        n = np.diff([*first, len(group)])
-        of = np.repeat(np.arange(len(first)), n)
-        settled |= (n == 1)[of]
-        todo = np.flatnonzero(~settled)
+        first = np.flatnonzero(np.diff(group[todo], prepend=-1))
+        n = np.diff(first, append=len(todo))
+        todo, n = todo[np.repeat(n > 1, n)], n[n > 1]
         if not len(todo):
             return starts, group
-        pivot = starts[(first + n // 2)[of[todo]]]
-        own = starts[todo]
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(n)), n)
+        own, pivot = starts[todo], starts[todo[first + n // 2]][of]
         shift = SHIFTS[own % COVER, pivot % COVER]
         sign = np.sign(rank[own + shift] - rank[pivot + shift])
         for p in tail:
-            a, b = words[own + p], words[pivot + p]
-            sign = np.where(sign == 0, (a > b).astype(np.int64) - (a < b), sign)
-        side = np.zeros(len(starts), np.int64)
-        side[todo] = sign
-        order, group_of = dense([group, side])
-        settled_now = settled.copy()
-        settled_now[todo] = sign == 0
-        starts, settled, group = starts[order], settled_now[order], group_of
+            same = np.flatnonzero(sign == 0)
+            a, b = words[own[same] + p], words[pivot[same] + p]
+            sign[same] = (a > b).astype(np.int64) - (a < b)
+        key = of * 3 + sign
+        order = np.argsort(key, kind="stable")
+        starts[todo] = own[order]
+        split = np.diff(key[order], prepend=-9) != 0
+        group[todo] = todo[np.maximum.accumulate(np.where(split, np.arange(len(todo)), 0))]
+        todo = todo[sign[order] != 0]

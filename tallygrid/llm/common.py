@@ -49,7 +49,7 @@ def blocks_for(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_bytes))
 
 
-def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about limit bytes. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -97,7 +97,7 @@ def unpacked(blocks: pa.ChunkedArray | pa.Array) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks])
 
 
-def dealt_by_ranges(df: DataFrame, key: str, n: int, neighbours: bool = False, flush_bytes: int = 32 << 20) -> DataFrame:
+def dealt_by_ranges(df: DataFrame, key: str, n: int, neighbours: bool = False, flush_bytes: int = 16 << 20) -> DataFrame:
     """df's rows dealt into up to n runs of ascending key, as columns run (int) and block (binary, see unpacked()).
 
     A null key comes first. Rows travel as compressed blocks, a few of each run from each task. With neighbours, the

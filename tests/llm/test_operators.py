@@ -163,7 +163,7 @@ def test_similar_documents(spark, docs, odd, empty):
             words[k] = f"x{k}"
         copies.append(" ".join(words))
     extra = spark.createDataFrame([(5000 + k, t) for k, t in enumerate(copies)], "doc_id long, text string")
-    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(extra)
+    rows = docs.select("doc_id", "text").union(odd.select(F.col("doc_id") + 20000, "text")).union(extra)
     kept = pairs(rows)
     sets = [slow_sets(t) for _, t in kept]
     parent = list(range(len(kept)))

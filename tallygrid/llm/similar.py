@@ -1,17 +1,16 @@
-"""Near-duplicates by the similarity of their shingle sets, on wide SimHash fingerprints.
-
-A 64-bit fingerprint tells sets with a similarity of 0.8 from others too coarsely: they differ in some ten bits. So the
-distinct word shingles of a text make a fingerprint of WIDE bits, and its SEGMENT-bit parts are what meet: in each part,
-every fingerprint emits all variants within one bit, and two fingerprints that share a variant are a candidate pair.
-At a similarity of 0.8, one of the 32 parts agrees in all but two bits with a chance of 98 %, and of over 99.8 % from
-0.85 on. Candidates are checked by the whole fingerprint, then by the exact similarity of their shingle sets, so nothing
-less similar is ever linked.
-
-As in simhash.py the shuffle deals by a few bits of the variant and the variants are made where they meet. Texts with
-equal fingerprints count once. Parts are worked through in waves, and what a wave has linked is one group in the next:
-only pairs from different groups meet. So a family of thousands of near copies is joined by the first parts and gives
-no more pairs after that. The waves before the last give each text one partner only, the last one all pairs. A variant that more than PAIRED texts share stands for its groups with one text of each, as a
-star and a chain; their members meet in other parts too.
+"""Near-duplicates by the similarity of their shingle sets, found by an exact prefix join.
+
+All sets order their shingles alike: common ones last. Two sets with a similarity of at least s overlap so far that
+both have one of their first n - ceil(s n) + 1 shingles (n in the set) in common. So each distinct set posts only these;
+sets that share a posted shingle meet, and what meets is checked by the number of posted shingles in common, then by the
+exact similarity of the whole sets. No pair is missed and nothing less similar is ever linked. The order needs only to
+be the same for all, so how common a shingle is may be taken from a sample.
+
+In the first ROUNDS each set is tried with one partner, the first of a shingle's sets with which it shares most; what
+is linked is one group from then on. The last round tries all pairs of sets from different groups that share a posted
+shingle: two sets of one group are connected already. So a family of thousands of near copies gives few pairs there, and
+no pair that could connect two groups is left out. Shingles with many sets are met in pairs of chunks of CHUNK, so that
+none of them is one task.
 """
 
 from __future__ import annotations
@@ -21,164 +20,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import chunks, saved
 from tallygrid.llm.components import connected_components
-from tallygrid.llm.simhash import bit_table, lower_table, shingle_hashes
+from tallygrid.llm.simhash import lower_table, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-LANES = 16
-WIDE, SEGMENT = 64 * LANES, 32
-SEGMENTS = WIDE // SEGMENT
-BLOCK_VARIANTS = 1_000_000
-PAIRED = 12
-#: Parts of each wave.
-WAVES = ((0, 2), (2, 8), (8, SEGMENTS))
+#: Rounds with one partner for each set, before the one with all pairs.
+ROUNDS = 2
+#: Sets of one shingle in a chunk.
+CHUNK = 256
+#: Documents from which common shingles are known, bits of the buckets they are counted in, and how many are kept.
+SAMPLE, BUCKET_BITS, COMMON = 16_000, 20, 65_536
 #: Up to so many keys of candidates are broadcast.
 BROADCAST_KEYS = 2_000_000
+#: Less than any share of a set; keeps rounding from making a bound too tight.
+SLACK = 1e-6
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, words: int, lower: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of each text in a row, how many each has)."""
+def shingle_sets(data: np.ndarray, at: np.ndarray, words: int, lower: bytes) -> list[np.ndarray]:
+    """Hashes of the distinct shingles of each text, ascending."""
     raw, at = data.tobytes(), at.tolist()
-    sets = [np.unique(np.array(shingle_hashes(raw[a:b], words, lower), np.uint64)) for a, b in zip(at, at[1:], strict=False)]
-    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64)
-
-
-def wide_fingerprints(hashes: np.ndarray, n: np.ndarray, bits_of: np.ndarray) -> np.ndarray:
-    """WIDE bits for each set, as rows of bytes: a bit is 1 if it is in over half of the set's hashes."""
-    row = np.repeat(np.arange(len(n)), n)
-    out = np.zeros((len(n), WIDE // 8), np.uint8)
-    weights = (1 << np.arange(8)).astype(np.uint8)
-    for lane in range(LANES):
-        h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (1 << 64) - 1)
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        octets = h.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            counts = np.bincount(row * 256 + octets[:, k], minlength=len(n) * 256).reshape(len(n), 256)
-            out[:, lane * 8 + k] = ((2 * (counts @ bits_of) > n[:, None]) * weights).sum(1, dtype=np.uint8)
-    return out
-
-
-def fingerprinter(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, bits_of = lower_table(), bit_table()
-        for batch in batches:
-            out = []
-            for _, _, data, at in chunks(batch.column(2), 1 << 20):
-                out += [x.tobytes() for x in wide_fingerprints(*shingle_sets(data, at, words, lower), bits_of)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "key", "wide"])
+    return [np.unique(np.array(shingle_hashes(raw[a:b], words, lower), np.uint64)) for a, b in zip(at, at[1:], strict=False)]
 
-    return run
 
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-def set_maker(words: int):
+
+def bucket_counter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = lower_table()
         for batch in batches:
-            out = []
-            for _, _, data, at in chunks(batch.column(1)):
-                hashes, n = shingle_sets(data, at, words, lower)
-                ends = np.cumsum(n)
-                out += [hashes[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "hashes"])
+            for _, _, data, at in chunks(batch.column(0)):
+                b, n = np.unique(buckets(np.concatenate(shingle_sets(data, at, words, lower))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
     return run
 
 
-def dealer(part: int, lo_hi: tuple[int, int]):
-    """Segments lo to hi of key, label and wide, to the parts that their variants have (part: segment number and low
-    bits)."""
-    lo_hi = range(*lo_hi)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([0, *(1 << b for b in range(part))], np.uint32)
-        names = ("part", "segments", "owners", "labels")
-        for batch in batches:
-            keys, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for lo in range(0, len(keys), 4000):
-                own = slice(lo, lo + 4000)
-                wide = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)[own]), "<u4").reshape(-1, SEGMENTS)[:, lo_hi]
-                low = (wide[:, :, None] ^ flips) & np.uint32((1 << part) - 1)
-                to = (low + (np.array(lo_hi, np.uint32) << np.uint32(part))[None, :, None]).ravel()
-                order = np.argsort(to, kind="stable")
-                edges = np.flatnonzero(np.diff(to[order].astype(np.int64), prepend=-1))
-                each = len(lo_hi) * len(flips)
-                values = [np.repeat(wide.ravel(), len(flips))[order], np.repeat(keys[own], each)[order], np.repeat(labels[own], each)[order]]
-                cuts = [[x.tobytes() for x in np.split(v, edges[1:])] for v in values]
-                yield pa.RecordBatch.from_arrays([pa.array(to[order][edges].astype(np.int32)), *(pa.array(c, pa.binary()) for c in cuts)], names=names)
-
-    return run
-
+def common_buckets(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that stand out, ascending; how often each occurs), in a sample of the documents."""
+    share = max(1, documents.count() // SAMPLE)
+    some = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+    counts = saved(some.mapInArrow(bucket_counter(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
+    rows = counts.where(F.col("n") > mean + 4 * math.sqrt(mean) + 4).orderBy(F.desc("n"), "bucket").limit(COMMON).collect()
+    rows = np.array(sorted((r["bucket"], r["n"]) for r in rows), np.int64).reshape(-1, 2)
+    return rows[:, 0].copy(), rows[:, 1].copy()
 
-def meeter(part: int, lead_only: bool):
-    """Pairs of keys that share a variant of one part and have different labels; with lead_only, one for each key: with
-    the smallest of those that come first where it meets others."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        at = np.uint32(rows.column("part")[0].as_py() & ((1 << part) - 1))
-        values, owners, labels = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)]) for c, kind in (("segments", np.uint32), ("owners", np.int64), ("labels", np.int64)))
-        low = np.uint32((1 << part) - 1)
-        here = np.flatnonzero((values & low) == at)
-        away = np.flatnonzero((values & low) != at)
-        flips = np.array([0, *(1 << b for b in range(part, SEGMENT))], np.uint32)
-        variants = np.concatenate([(values[here][:, None] ^ flips).ravel(), (values[away] & ~low) | at])
-        who = np.concatenate([np.repeat(here, len(flips)), away])
-        order = np.lexsort((owners[who], labels[who], variants))
-        variants, who = variants[order], who[order]
-        pairs = [np.zeros((0, 2), np.int64)]
-        n, place = sizes(variants)
-        if lead_only:
-            some = np.flatnonzero(place > 0)
-            lead, own = who[some - place[some]], who[some]
-            apart = labels[lead] != labels[own]
-            lead, own = owners[lead[apart]], owners[own[apart]]
-            order = np.lexsort((lead, own))
-            order = order[np.diff(own[order], prepend=own[order[:1]] - 1) != 0] if len(order) else order
-            pairs = np.sort(np.stack([lead[order], own[order]], 1), axis=1)
-            return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        # In large groups one text speaks for each label.
-        keep = (n <= PAIRED) | (place == 0) | np.concatenate([[True], labels[who[1:]] != labels[who[:-1]]])[: len(who)]
-        large = (n > PAIRED)[keep]
-        variants, who = variants[keep], who[keep]
-        n, place = sizes(variants)
-        for step in range(1, PAIRED):
-            some = np.flatnonzero((place >= step) & (~large | (step == 1)))
-            pairs.append(np.stack([who[some - step], who[some]], 1))
-        some = np.flatnonzero(large & (place > 0))
-        pairs.append(np.stack([who[some - place[some]], who[some]], 1))
-        pairs = np.concatenate(pairs)
-        pairs = owners[pairs[labels[pairs[:, 0]] != labels[pairs[:, 1]]]]
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return run
+def posted(n: int, similarity: float) -> int:
+    """How many of its first shingles a set of n posts."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
 
-def sizes(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value, how many are equal to it and its place among them."""
-    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
-    n = np.diff(first, append=len(sorted_values))
-    return np.repeat(n, n), np.arange(len(sorted_values)) - np.repeat(first, n)
+def poster(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """To doc_id, key and text: a digest of the set, its size and the posted shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, (known, often) = lower_table(), common
+        for batch in batches:
+            same, n, posts = [], [], []
+            for _, _, data, at in chunks(batch.column(2), 1 << 20):
+                for s in shingle_sets(data, at, words, lower):
+                    rank = np.zeros(len(s), np.int64)
+                    if len(known):
+                        b = buckets(s)
+                        k = np.minimum(np.searchsorted(known, b), len(known) - 1)
+                        rank = np.where(known[k] == b, often[k], 0)
+                    same.append(xxhash.xxh128_digest(s.tobytes()))
+                    n.append(len(s))
+                    posts.append(s[np.argsort(rank, kind="stable")[: posted(len(s), similarity)]].view(np.int64))
+            ends = np.cumsum([0, *map(len, posts)]).astype(np.int32)
+            posts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posts) if posts else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(n, pa.int32()), posts], names=["doc_id", "key", "same", "n", "posts"])
 
-def most_bits(similarity: float) -> int:
-    """Bits in which fingerprints of sets so similar differ at most, four standard deviations above what is expected."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(WIDE * (p + 4 * math.sqrt(p * (1 - p) / WIDE)))
+    return run
 
 
-def near(most: int):
+def set_maker(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = lower_table()
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(k)), np.uint64).reshape(-1, LANES) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+            out = []
+            for _, _, data, at in chunks(batch.column(1)):
+                out += [s.tobytes() for s in shingle_sets(data, at, words, lower)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "hashes"])
 
     return run
 
@@ -196,10 +127,9 @@ def similar(least: float):
     return run
 
 
-def checked(documents: DataFrame, firsts: DataFrame, met: DataFrame, words: int, similarity: float) -> DataFrame:
+def checked(documents: DataFrame, met: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b of met whose shingle sets are at least so similar."""
-    side = lambda name: firsts.select(F.col("key").alias(name), F.col("wide").alias(f"w{name}"))
-    met = saved(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(near(most_bits(similarity)), "a long, b long"))
+    met = saved(met)
     keys = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     texts = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
@@ -208,40 +138,69 @@ def checked(documents: DataFrame, firsts: DataFrame, met: DataFrame, words: int,
     return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(similar(similarity), "a long, b long")
 
 
-def components_of_similar(documents: DataFrame, firsts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key and label of firsts (key, wide): texts that are linked, directly or over others, share a label.
+def may_match(similarity: float) -> tuple[F.Column, F.Column]:
+    """Of columns na, nb (sizes) and shared (posted shingles in common): whether sizes so different can be so similar;
+    whether enough is shared. What two sets share is among the posted ones of both or not posted by the one whose posts
+    end first, and ceil(similarity n) - 1 of a set are not posted."""
+    large, small = F.greatest("na", "nb"), F.least("na", "nb")
+    need = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
+    return small >= large * F.lit(similarity) - F.lit(SLACK), F.col("shared") + F.ceil(large * F.lit(similarity)) - 1 >= need
 
-    Between waves a text takes the smallest key that it is linked to as its label, which needs no rounds; only after the
-    last one are components made.
-    """
-    n = firsts.count()
-    part = next((b for b in range(2, 24) if n * (SEGMENT + 1) / (1 << b) <= BLOCK_VARIANTS), 24)
-    named, edges = firsts.select("key", F.col("key").alias("label"), "wide"), None
-    for wave in WAVES:
-        met = named.mapInArrow(dealer(part, wave), "part int, segments binary, owners binary, labels binary").groupBy("part").applyInArrow(meeter(part, wave != WAVES[-1]), "a long, b long")
-        met = met.distinct() if wave == WAVES[-1] else met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = checked(documents, firsts, met, words, similarity)
+
+def one_partner(posts: DataFrame, similarity: float) -> DataFrame:
+    """For each set, the one it shares most with of those that come first at one of its posted shingles."""
+    fits, enough = may_match(similarity)
+    heads = posts.groupBy("token").agg(F.min(F.struct("key", "label", F.col("n").alias("n"))).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "head")
+    tries = posts.join(heads, "token").where("head.label <> label").select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).where(fits)
+    tries = tries.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")).where(enough)
+    return tries.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+
+
+def all_partners(posts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of sets with different labels that share enough posted shingles."""
+    fits, enough = may_match(similarity)
+    sizes = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    last = F.ceil(F.col("m") / CHUNK).cast("int") - 1
+    rows = posts.join(sizes.select("token", "m"), "token").select("token", "key", "n", "label", last.alias("last"), F.pmod(F.xxhash64("key"), last + 1).cast("int").alias("own"))
+    x = rows.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"))
+    y = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    pairs = x.join(y, ["token", "i", "j"]).where("la <> lb AND (i < j OR a < b)").where(fits)
+    # Both orders of a pair can occur, as chunks order it.
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    return pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")).where(enough).select("a", "b")
+
+
+def components_of_similar(documents: DataFrame, firsts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """key and label of firsts (key, n, posts): texts that are linked, directly or over others, share a label."""
+    posts = firsts.select("key", "n", F.explode("posts").alias("token"))
+    shared = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    posts = saved(posts.join(shared, "token"))
+    edges, labels = None, posts.select("key").distinct().withColumn("label", F.col("key"))
+    for k in range(ROUNDS + 1):
+        named = posts.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        met = one_partner(named, similarity) if k < ROUNDS else all_partners(named, similarity)
+        links = checked(documents, met, words, similarity)
         edges = saved(links if edges is None else edges.union(links))
-        nearest = edges.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))  # a < b
-        named = firsts.join(nearest, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "wide")
-    parts = connected_components(edges)
-    return firsts.select("key").join(parts, firsts["key"] == parts["node"], "left").select("key", F.coalesce("component", "key").alias("label"))
+        labels = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    return firsts.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
 
 
 def similar_documents(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of documents: doc_id, key (a hash of doc_id and text) and first_key, the key of the row that
     stands for its group: the smallest doc_id (null first), then key, over all that are linked.
 
-    Texts without words are copies of each other; a null text counts as an empty one.
+    Texts without words are copies of each other; a null text counts as an empty one. Equal sets count once.
     """
     documents = documents.select("doc_id", "text")
-    rows = saved(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(fingerprinter(words), "doc_id long, key long, wide binary"))
+    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = saved(rows.mapInArrow(poster(words, similarity, common_buckets(documents, words)), "doc_id long, key long, same binary, n int, posts array<long>"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")
-    firsts = saved(rows.groupBy("wide").agg(F.min(order).alias("first")).select("wide", "first", F.col("first.key").alias("key")))
-    named = firsts.join(components_of_similar(documents, firsts, words, similarity), "key").select("wide", "first", "label")
+    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.min_by(F.struct("n", "posts"), order).alias("set"))
+    firsts = saved(firsts.select("same", "first", F.col("first.key").alias("key"), "set.n", "set.posts"))
+    named = firsts.join(components_of_similar(documents, firsts, words, similarity), "key").select("same", "first", "label")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
-    named = named.join(least, "label").select("wide", F.col("least.key").alias("first_key"))
-    return rows.join(named, "wide").select("doc_id", "key", "first_key")
+    named = named.join(least, "label").select("same", F.col("least.key").alias("first_key"))
+    return rows.join(named, "same").select("doc_id", "key", "first_key")
 
 
 def without_similar(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -198,6 +198,38 @@ def test_large_groups_of_near_copies_stay_together(spark):
     assert len({r["first_key"] for r in rows}) == 1
 
 
+def exact_groups(texts):
+    """The groups of near-duplicates among texts, by comparing all pairs."""
+    sets, parent = [slow_sets(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    return [root(k) for k in range(len(texts))]
+
+
+def assert_exact_groups(spark, texts):
+    rows = similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["first_key"] for r in rows}
+    want = exact_groups(texts)
+    assert len({(got[k], want[k]) for k in range(len(texts))}) == len(set(got.values())) == len(set(want))
+
+
+def test_short_near_copies_are_all_found(spark):
+    texts = []
+    for k in range(80):
+        words = [f"s{k}x{j}" for j in range(9 + k % 12)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    assert_exact_groups(spark, texts)
+
+
 def test_meeting_variants_link_all_that_are_near(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)

@@ -52,8 +52,10 @@ def canonical_words(df: DataFrame, text: str) -> DataFrame:
         first = F.substring(w, 1, 1)
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", "|")
         name = (w != low) & inside & (F.lower(first) != first) & (F.substring(low, 2, 1000) == F.substring(w, 2, 1000)) & (F.length(inner) > 1)
-        unit = (before < "a") & F.rlike(before, F.lit(NUMBER)) & inner.isin(*UNITS)
-        return F.when(low < "a", F.when(F.rlike(low, F.lit(NUMBER)), "<num>").otherwise(inner)).when(unit, "<unit>").when(name, "<name>").otherwise(inner)
+        # What a number starts with sorts before letters, but for the signs that are no ASCII.
+        number = lambda x: ((x < "a") | F.substring(x, 1, 1).isin("€", "£")) & F.rlike(x, F.lit(NUMBER))
+        unit = inner.isin(*UNITS) & number(before)
+        return F.when(number(low), "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(inner)
 
     return df.withColumn("canon", F.transform("trios", canon)).drop("lows", "trios")
 

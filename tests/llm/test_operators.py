@@ -391,6 +391,20 @@ def test_leaks(spark, small, duck, empty, odd):
     assert decontaminate.without_leaks(odd, items).columns == odd.columns
 
 
+def test_numbers_with_any_sign_match_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    question = "if a ticket costs €57 and a meal costs £12 euros or 7 (kg) of rice what do they cost per person on this trip"
+    other = question.replace("57", "81").replace("12", "33").replace("7 (kg)", "9 (lbs)")
+    tables = {"documents": pd.DataFrame([(1, other), (2, question), (3, "€ £ €x £5 €6%) nothing of the kind")], columns=["doc_id", "text"]), "benchmark": pd.DataFrame([(7, question)], columns=["item_id", "text"])}
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.register(name, rows)
+    got, want = same_rows(decontaminate.leaks(*(spark.createDataFrame(t) for t in tables.values())), con, decontaminate.ORACLE_SQL)
+    assert got == want and len(got) == 2
+
+
 def test_large_benchmarks_are_shuffled(spark, small, monkeypatch):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))

@@ -37,6 +37,8 @@ CHUNK = 256
 SAMPLE, BUCKET_BITS, COMMON = 16_000, 20, 65_536
 #: Up to so many keys of candidates are broadcast.
 BROADCAST_KEYS = 2_000_000
+#: Bytes of sets that a task keeps while it checks pairs.
+HELD = 64 << 20
 #: Less than any share of a set; keeps rounding from making a bound too tight.
 SLACK = 1e-6
 
@@ -102,24 +104,26 @@ def poster(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray])
     return run
 
 
-def set_maker(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = lower_table()
-        for batch in batches:
-            out = []
-            for _, _, data, at in chunks(batch.column(1)):
-                out += [s.tobytes() for s in shingle_sets(data, at, words, lower)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "hashes"])
+def similar(words: int, least: float):
+    """Of a, b and their texts: the pairs whose sets are at least so similar."""
 
-    return run
-
-
-def similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, held, size = lower_table(), {}, 0
+
+        def set_of(key: int, text: str | None) -> np.ndarray:
+            nonlocal size
+            if key not in held:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                held[key] = np.unique(np.array(shingle_hashes((text or "").encode(), words, lower), np.uint64))
+                size += held[key].nbytes
+            return held[key]
+
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, b, ta, tb in zip(*(batch.column(k) for k in range(4)), strict=True):
+                x, y = set_of(a.as_py(), ta.as_py()), set_of(b.as_py(), tb.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= least * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -128,14 +132,14 @@ def similar(least: float):
 
 
 def checked(documents: DataFrame, met: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b of met whose shingle sets are at least so similar."""
+    """The pairs a, b of met whose shingle sets are at least so similar. Texts travel, which are smaller than sets."""
     met = saved(met)
     keys = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     texts = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    sets = saved(texts.mapInArrow(set_maker(words), "key long, hashes binary").dropDuplicates(["key"]))
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("hashes").alias(f"h{name}"))
-    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(similar(similarity), "a long, b long")
+    texts = texts.dropDuplicates(["key"])
+    side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"t{name}"))
+    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(similar(words, similarity), "a long, b long")
 
 
 def may_match(similarity: float) -> tuple[F.Column, F.Column]:

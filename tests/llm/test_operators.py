@@ -230,6 +230,17 @@ def test_short_near_copies_are_all_found(spark):
     assert_exact_groups(spark, texts)
 
 
+def test_large_groups_of_alike_texts_are_tried_in_full(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 16, raising=False)
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for k in range(120):  # pages of one template, in part with a copy that is nearer to them than they to each other
+        words = [f"p{k}x{j}" if rng.random() < 0.03 else w for j, w in enumerate(base)]
+        near = [f"q{k}x{j}" if rng.random() < 0.015 else w for j, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(near)]
+    assert_exact_groups(spark, texts)
+
+
 def test_meeting_variants_link_all_that_are_near(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)

@@ -8,6 +8,7 @@ cost nothing. `blocks` and `planes` are the index: ids of each block and bytes o
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +37,53 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of vocabulary files whose pieces WordTokenizer cuts itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_words(path: str) -> bool:
+    """Whether a vocabulary file has the rules above, marker strings of the form <|...|> only, and nothing else that
+    would change the ids of a piece."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    marks = all(t["content"].startswith("<|") and t["content"].endswith("|>") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in rules.get("added_tokens") or [])
+    return plain and marks and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and not any(rules.get(k) for k in ("post_processor", "truncation", "padding"))
+
+
 class WordTokenizer:
     """The tokenizer's ids of whole texts, with each distinct piece of text tokenized once.
 
-    The vocabulary's tokenizer lower-cases, drops white space and cuts the rest into runs of letters, single digits and
-    runs of other characters, none of which it joins. So a text's ids are those of its pieces in a row. For plain words
-    (ASCII and Latin-1 letters) the cuts are made here, for all texts of a chunk at once; other words (apostrophes,
-    other scripts, marker strings) are one piece each. Pieces are told apart by two 64-bit hashes. New plain pieces go
-    to the library's BPE many at a time, new other ones through the unchanged tokenizer.
+    A vocabulary with the rules above lower-cases, drops white space and cuts the rest into runs of letters, single
+    digits and runs of other characters, none of which it joins. So a text's ids are those of its pieces in a row. For
+    plain words (ASCII and Latin-1 letters) the cuts are made here, for all texts of a chunk at once; other words
+    (apostrophes, other scripts, marker strings) are one piece each. New plain pieces go to the library's BPE many at a
+    time, new other ones through the unchanged tokenizer.
+
+    A piece is looked up by a hash and then compared with the bytes that were learnt under it: up to 16 bytes are two
+    numbers, longer ones are kept as text. A text with a piece that differs goes through the unchanged tokenizer, as do
+    all texts under a vocabulary with other rules.
     """
 
-    MOST_PIECES = 1_500_000
-    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-    ODD = np.uint64(0x5851F42D4C957F2D)
+    MOST_PIECES, MOST_TEXT = 1_500_000, 64 << 20
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.fast = cuts_words(path)
+        if not self.fast:
+            return
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = None
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -67,34 +97,45 @@ class WordTokenizer:
         self.kind[65:91], self.kind[97:123], self.kind[48:58] = 1, 1, 2
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
-        self.powers: list[np.ndarray] = []
         self.clear()
 
     def clear(self) -> None:
         """Entry 0 is the end mark, which no piece has."""
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.check = np.zeros(1, np.uint64)
         self.ids = np.array([END_ID], np.uint32)
         self.at, self.n = np.array([0], np.int64), np.array([1], np.int64)
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        if not self.powers or len(self.powers[0]) < len(data) + 1:
-            size, self.powers = max(len(data) + 1, (1 << 19) + 1), []
-            for base in self.BASES:
-                for x in (base, pow(base, -1, 1 << 64)):
-                    steps = np.full(size, x, np.uint64)
-                    steps[0] = 1
-                    self.powers.append(np.cumprod(steps, dtype=np.uint64))
-        out, plus = [], data.astype(np.uint64)
-        plus += np.uint64(1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        for k in (0, 2):
-            np.cumsum(plus * self.powers[k][: len(data)], dtype=np.uint64, out=sums[1:])
-            h = (sums[ends] - sums[starts]) * self.powers[k + 1][starts]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            out.append(h ^ (h >> np.uint64(32)) ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-        return out
+        self.heads, self.tails = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.sizes = np.zeros(1, np.int64)  # bytes, below 0 for an odd word
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def marks(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first 8 bytes, next 8 bytes, size or for odd words its negative) of each piece."""
+        size = ends - starts
+        padded = np.concatenate([low, np.zeros(24, np.uint8)])
+        eight = np.ndarray(len(low) + 16, "<u8", padded, strides=(1,))
+        heads = eight[starts] & self.MASKS[np.minimum(size, 8)]
+        tails = np.zeros(len(starts), np.uint64)
+        more = np.flatnonzero(size > 8)
+        tails[more] = eight[starts[more] + 8] & self.MASKS[np.minimum(size[more] - 8, 8)]
+        signed = np.where(odd, -size, size)
+        key = heads * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        key = (key + tails) * np.uint64(0xC2B2AE3D27D4EB4F) + signed.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        key ^= key >> np.uint64(32)
+        long = np.flatnonzero(size > 16)
+        raw = low.tobytes() if len(long) else b""
+        key[long] ^= np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64)
+        return key, heads, tails, signed
+
+    def agrees(self, where: np.ndarray, low: np.ndarray, starts: np.ndarray, heads: np.ndarray, tails: np.ndarray, signed: np.ndarray) -> np.ndarray:
+        """Whether the pieces are those that were learnt in these slots."""
+        same = (self.heads[where] == heads) & (self.tails[where] == tails) & (self.sizes[where] == signed)
+        long = np.flatnonzero(same & (np.abs(signed) > 16))
+        if len(long):
+            size = np.abs(signed[long])
+            unlike = low[runs(starts[long], size)] != self.text[runs(self.text_at[where[long]], size)]
+            same[long] = np.add.reduceat(unlike, np.cumsum(size) - size) == 0
+        return same
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(lower-cased bytes, starts and ends of the pieces, whether each is an odd word)."""
@@ -128,7 +169,7 @@ class WordTokenizer:
         ends[odd] = word_ends[of[odd]]
         return low, starts, ends, odd
 
-    def learn(self, raw: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, keys: np.ndarray, check: np.ndarray) -> None:
+    def learn(self, raw: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, keys: np.ndarray, heads: np.ndarray, tails: np.ndarray, signed: np.ndarray) -> None:
         """Adds pieces that aren't known yet; keys are in order."""
         n, parts = np.zeros(len(keys), np.int64), []
         plain = np.flatnonzero(~odd)
@@ -158,38 +199,58 @@ class WordTokenizer:
         at[order] = len(self.ids) + np.cumsum(n[order]) - n[order]
         slots = np.arange(len(self.at), len(self.at) + len(keys))
         self.ids = np.concatenate([self.ids, *parts])
-        self.at, self.n, self.check = np.append(self.at, at), np.append(self.n, n), np.append(self.check, check)
+        self.at, self.n = np.append(self.at, at), np.append(self.n, n)
+        self.heads, self.tails, self.sizes = np.append(self.heads, heads), np.append(self.tails, tails), np.append(self.sizes, signed)
+        size = np.where(np.abs(signed) > 16, np.abs(signed), 0)
+        self.text_at = np.append(self.text_at, len(self.text) + np.cumsum(size) - size)
+        self.text = np.append(self.text, low[runs(starts, size)])
         both = np.append(self.keys, keys)
         by = np.argsort(both, kind="stable")
         self.keys, self.slots = both[by], np.append(self.slots, slots)[by]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each with END_ID at its end, and the number of each text."""
+        if not self.fast:
+            return joined(self.as_whole(data, offsets, range(len(offsets) - 1)))
         low, starts, ends, odd = self.cut(data, offsets) if len(data) else (data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         if odd.any():  # odd words are told apart by their own bytes, not the lower-cased ones
             spots = runs(starts[odd], ends[odd] - starts[odd])
             low[spots] = data[spots]
-        key, check = self.hashes(low, starts, ends)
-        key ^= odd * self.ODD
+        key, *marks = self.marks(low, starts, ends, odd)
         keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.MOST_PIECES:
+        if len(self.keys) + len(keys) > self.MOST_PIECES or len(self.text) > self.MOST_TEXT:
             self.clear()
         place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
             pick = first[~known]
-            self.learn(data, low, starts[pick], ends[pick], odd[pick], keys[~known], check[pick])
+            self.learn(data, low, starts[pick], ends[pick], odd[pick], keys[~known], *(x[pick] for x in marks))
             place = np.searchsorted(self.keys, keys)
         where = self.slots[place][back] if len(keys) else np.zeros(0, np.int64)
-        if (self.check[where] != check).any():
-            raise ValueError("two pieces share a 64-bit hash")
+        unlike = np.flatnonzero(~self.agrees(where, low, starts, *marks))
         stops = np.searchsorted(starts, offsets[1:], "left")
         where = np.insert(where, stops, 0)
         n = self.n[where]
         total = np.cumsum(n)
         ids = self.ids[runs(self.at[where], n)]
         last = total[stops + np.arange(len(stops))] if len(stops) else np.zeros(0, np.int64)
-        return ids, np.diff(last, prepend=0)
+        n = np.diff(last, prepend=0)
+        if len(unlike):
+            texts = np.split(ids, last[:-1])
+            rows = np.unique(np.searchsorted(offsets, starts[unlike], "right") - 1).tolist()
+            for row, own in zip(rows, self.as_whole(data, offsets, rows), strict=True):
+                texts[row] = own
+            return joined(texts)
+        return ids, n
+
+    def as_whole(self, data: np.ndarray, offsets: np.ndarray, rows) -> list[np.ndarray]:
+        """The ids of some texts, each with END_ID at its end, by the unchanged tokenizer."""
+        texts = [data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8") for r in rows]
+        return [np.array([*e.ids, END_ID], np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *texts]), np.array([len(x) for x in texts], np.int64)
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

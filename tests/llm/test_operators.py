@@ -98,6 +98,38 @@ def test_token_files_round_trip(spark, odd, empty, tmp_path, kind):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+def thue_morse(doublings):
+    text = "a"
+    for _ in range(doublings):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def encoded_by(tokenizer, texts):
+    raw = [t.encode() for t in texts]
+    ids, n = tokenizer.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_tokens_are_those_of_the_library(monkeypatch):
+    """Words whose polynomial hashes agree, pieces on both sides of 16 bytes, and pieces forced to share a hash."""
+    tokenizer = token_files.WordTokenizer(token_files.vocabulary_path())
+    word = thue_morse(10)
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "", "don't DON'T " + word[:17], word[:16], word[:17], "é É x", *(t or "" for _, t, *_ in ODD)]
+    want = [[*tokenizer.whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert tokenizer.fast and encoded_by(tokenizer, texts) == want
+    tokenizer.clear()
+    marks = tokenizer.marks
+    monkeypatch.setattr(tokenizer, "marks", lambda *a: (marks(*a)[0] % np.uint64(5), *marks(*a)[1:]))
+    assert encoded_by(tokenizer, texts) == want
+
+
+def test_vocabularies_with_other_rules_go_through_the_library():
+    tokenizer = token_files.WordTokenizer(token_files.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["Some  TEXT here, don't.", "", "é 12345"]
+    assert not tokenizer.fast and encoded_by(tokenizer, texts) == [[*tokenizer.whole.encode(t).ids, 1] for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_give_the_ids_back(kind):
     ids = np.random.default_rng(1).integers(0, 2**32, 70_001, dtype=np.uint32)
@@ -343,6 +375,19 @@ def test_reputation_blocks_by_the_lower_bound(spark):
     assert got["new.example.org"]["domain"] == "example.org" and 0.5 < got["new.example.org"]["rate"] < 1
 
 
+def test_pages_without_a_rule_fall_on_both_sides(spark):
+    rows = [(f"good{i}.a.org", False) for i in range(5) for _ in range(40)] + [("bad.a.org", True)] * 40 + [(f"x{i}.spam.net", True) for i in range(4) for _ in range(30)] + [("y.fine.net", False)] * 50
+    outcomes = spark.createDataFrame(rows, "host string, bad boolean")
+    urls = [(1, "http://bad.a.org/x"), (2, "http://good1.a.org/"), (3, "http://new.spam.net/"), (4, "http://new.fine.net/"), (5, "http://nobody.info/"), (6, None), (7, "http://a.example.net/es/")]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), outcomes=outcomes).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
+
+
+def test_without_labelled_pages_all_are_allowed(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.info/")], "page_id long, url string")
+    assert {(r["verdict"], r["rate"]) for r in url_filters.judge_urls(pages).collect()} == {("allow", 0.5)}
+
+
 def slow_repeats(texts, length):
     seen, out = set(), []
     for t in texts:

@@ -2,11 +2,15 @@
 
 Two fingerprints that differ in at most RADIUS bits have a variant in common that is at most half of that from both.
 So every distinct fingerprint emits all variants within half the radius, equal variants meet, and what meets is
-linked. Fingerprints of 64 bits have 2,081 variants within 2 bits; to keep them out of the shuffle, it deals by a part
-of the variant, its lowest PART bits: a fingerprint goes to each part that some variant of it has (once), and the
-variants that have the part are made there, one block of parts at a time. All texts that share a variant are within
-the radius of each other, so one link from the smallest to each other one keeps every connection, however large the
-group is. Links are checked by counting bits.
+linked. Fingerprints of 64 bits have 2,081 variants within 2 bits; to keep them out of the shuffle, it deals by the
+lowest bits of the variant: a fingerprint goes to each block that some variant of it has (once), and the variants that
+belong to the block are made there. Blocks are the leaves of a binary tree over the lowest bits, which is grown where
+fingerprints crowd, so that a family of near copies is spread like the rest; what still crowds at DEPTH bits is worked
+through in slices of variants, in bounded memory.
+
+All texts that share a variant are within the radius of each other, so one link from the smallest to each other one
+keeps every connection, however large the group is. Links are checked by counting bits, and of a block's links only as
+many leave it as are needed to connect what they connect.
 """
 
 from __future__ import annotations
@@ -24,8 +28,13 @@ from tallygrid.llm.common import chunks, saved, table
 from tallygrid.llm.components import connected_components
 
 WORDS, RADIUS, SEED, BITS = 4, 4, 42, 64
+DEALT = "block int, prints binary, keys binary, nodes binary"
 #: Fingerprints that are meant to meet in one block; each has some 60 variants there.
 BLOCK_PRINTS = 40_000
+#: Blocks are told apart by up to so many bits; counts of 2 ** DEPTH values go to the driver.
+DEPTH = 16
+#: Variants that a task holds at once.
+SLICE = 6_000_000
 
 
 def lower_table() -> bytes:
@@ -78,65 +87,141 @@ def masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(bits), k)], np.uint64)
 
 
-def dealer(part: int, half: int):
-    """To each row of f: the parts of its variants."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips, low = masks(part, half), np.uint64((1 << part) - 1)
-        for batch in batches:
-            f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(f), 20_000):
-                some = f[lo : lo + 20_000]
-                to = ((some[:, None] ^ flips[None, :]) & low).ravel().astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                own, edges = np.repeat(some, len(flips))[order].view(np.int64), np.flatnonzero(np.diff(to[order], prepend=-1))
-                ends = [*edges[1:].tolist(), len(order)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[order][edges], pa.int32()), pa.array([own[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary())], names=["part", "prints"])
-
-    return run
-
-
-def meeter(part: int, half: int):
-    """Links among the fingerprints that came to one part."""
+class Blocks:
+    """The leaves (depth, value of the lowest bits) of a tree for each segment; leaf k is block k."""
+
+    def __init__(self, counts: dict[int, np.ndarray], half: int, most: int):
+        """counts: for each segment, how many fingerprints have each value of the lowest bits (2 ** d of them)."""
+        self.half, self.leaves, self.tables = half, [], {}
+        for segment, count in sorted(counts.items()):
+            deepest, still = len(count).bit_length() - 1, np.zeros(1, np.int64)
+            for depth in range(deepest + 1):
+                here = count.reshape(-1, 1 << depth).sum(0)
+                load = sum(here[np.arange(1 << depth) ^ int(m)] for m in masks(depth, half))
+                done = (load[still] <= most) | (depth == deepest)
+                if done.any():
+                    table = np.full(1 << depth, -1, np.int32)
+                    table[still[done]] = np.arange(len(self.leaves), len(self.leaves) + done.sum())
+                    self.leaves += [(depth, int(v)) for v in still[done]]
+                    self.tables[segment, depth] = table
+                still = np.concatenate([still[~done], still[~done] | (1 << depth)])
+        self.flips = {depth: masks(depth, half) for _, depth in self.tables}
+
+    def of(self, segment: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, row of f) of each block that a fingerprint has a variant in."""
+        blocks, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for depth, flips in self.flips.items():
+            table = self.tables.get((segment, depth))
+            if table is not None:
+                to = table[((f[:, None] ^ flips[None, :]) & np.uint64((1 << depth) - 1)).astype(np.int64)]
+                row = np.nonzero(to >= 0)
+                blocks.append(to[row])
+                rows.append(row[0])
+        return np.concatenate(blocks), np.concatenate(rows)
+
+
+def blocks_of(counts: DataFrame, half: int, most: int, depth: int) -> Blocks:
+    """From rows of segment, low (the lowest depth bits) and n. The driver gets one row for each segment and value."""
+    rows = counts.groupBy("segment", "low").agg(F.sum("n").alias("n")).toPandas()
+    return Blocks({int(k): np.bincount(g["low"], g["n"], 1 << depth).astype(np.int64) for k, g in rows.groupby("segment")}, half, most)
+
+
+def dealt_prints(blocks: Blocks, segment: int, f: np.ndarray, keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Fingerprints with their keys and nodes, as one row for each block that they go to."""
+    to, row = blocks.of(segment, f)
+    order = np.argsort(to, kind="stable")
+    to, row = to[order], row[order]
+    edges = np.flatnonzero(np.diff(to, prepend=-1))
+    cuts = [[x.tobytes() for x in np.split(v[row], edges[1:])] if len(edges) else [] for v in (f, keys, nodes)]
+    return pa.RecordBatch.from_arrays([pa.array(to[edges], pa.int32()), *(pa.array(c, pa.binary()) for c in cuts)], names=["block", "prints", "keys", "nodes"])
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links a-b among nodes below n to keep, so that what they connect stays connected and no link is
+    more than is needed."""
+    root, kept = np.arange(n), []
+    while True:
+        x, y = root[a], root[b]
+        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        apart = np.flatnonzero(lo != hi)
+        if not len(apart):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *kept]))
+        apart = apart[np.lexsort((lo[apart], hi[apart]))]
+        apart = apart[np.diff(hi[apart], prepend=-1) != 0]  # each upper root is hung below one other
+        kept.append(apart)
+        root[hi[apart]] = lo[apart]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def variants_in(f: np.ndarray, depth: int, value: int, bits: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants without their lowest depth bits, rows of f): those whose lowest bits are value, in slices that hold all
+    rows of a variant together."""
+    low = np.uint64((1 << depth) - 1)
+    spent = np.bitwise_count((f & low) ^ np.uint64(value))
+    flips = [masks(bits - depth, half - used) << np.uint64(depth) for used in range(half + 1)]
+    own = [np.flatnonzero(spent == used) for used in range(half + 1)]
+    slices = 1 + sum(len(x) * len(y) for x, y in zip(own, flips, strict=True)) // SLICE
+    for part in range(slices):
+        variants, rows = [], []
+        for row, flip in zip(own, flips, strict=True):
+            step = max(1, SLICE // (2 * len(flip)))
+            for lo in range(0, len(row), step):
+                some = row[lo : lo + step]
+                v, r = ((f[some] & ~low)[:, None] ^ flip[None, :]).ravel(), np.repeat(some, len(flip))
+                if slices > 1:
+                    here = np.flatnonzero((v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(slices) == part)
+                    v, r = v[here], r[here]
+                variants.append(v)
+                rows.append(r)
+        yield np.concatenate([np.zeros(0, np.uint64), *variants]), np.concatenate([np.zeros(0, np.int64), *rows])
+
+
+def meeter(blocks: Blocks, bits: int):
+    """Links a-b of keys that share a variant in one block and have different nodes; they connect all such nodes."""
 
     def run(rows: pa.Table) -> pa.Table:
-        at, low, high = np.uint64(rows.column("part")[0].as_py()), np.uint64((1 << part) - 1), BITS - part
-        f = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("prints")]))
-        spent = np.bitwise_count((f & low) ^ at)
-        variants, owners = [], []
-        for used in range(half + 1):  # what the part's own bits leave of the half radius
-            own = np.flatnonzero(spent == used)
-            flips = masks(high, half - used) << np.uint64(part)
-            variants.append(((f[own] & ~low)[:, None] ^ flips[None, :]).ravel())
-            owners.append(np.repeat(own, len(flips)))
-        variants, owners = np.concatenate(variants), np.concatenate(owners)
-        order = np.lexsort((f[owners], variants))
-        variants, owners = variants[order], owners[order]
-        first = np.concatenate([[True], variants[1:] != variants[:-1]])
-        lead = owners[np.maximum.accumulate(np.where(first, np.arange(len(owners)), 0))]
-        some = lead != owners
-        links = np.unique(lead[some].astype(np.int64) * len(f) + owners[some]) if some.any() else np.zeros(0, np.int64)
-        a, b = f[links // len(f)], f[links % len(f)]
-        near = np.bitwise_count(a ^ b) <= 2 * half
-        return pa.table([pa.array(a[near].view(np.int64)), pa.array(b[near].view(np.int64))], names=["a", "b"])
+        depth, value = blocks.leaves[rows.column("block")[0].as_py()]
+        f, keys, nodes = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)]) for c, kind in (("prints", np.uint64), ("keys", np.int64), ("nodes", np.int64)))
+        order = np.lexsort((keys, f, nodes))
+        new = np.ones(len(order), bool)  # of a node's equal fingerprints one is enough
+        new[1:] = (f[order][1:] != f[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])
+        order = order[new]
+        f, keys, nodes = f[order], keys[order], nodes[order]
+        names, node = np.unique(nodes, return_inverse=True)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for variants, own in variants_in(f, depth, value, bits, blocks.half):
+            order = np.lexsort((own, variants))
+            variants, own = variants[order], own[order]
+            first = np.ones(len(own), bool)
+            first[1:] = variants[1:] != variants[:-1]
+            lead = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))] if len(own) else own
+            some = (node[lead] != node[own]) & (np.bitwise_count(f[lead] ^ f[own]) <= 2 * blocks.half)
+            lead, own = lead[some], own[some]
+            kept = forest(node[lead], node[own], len(names))
+            a.append(lead[kept])
+            b.append(own[kept])
+        a, b = np.concatenate(a), np.concatenate(b)
+        kept = forest(node[a], node[b], len(names))
+        return pa.table([pa.array(keys[a[kept]]), pa.array(keys[b[kept]])], names=["a", "b"])
 
     return run
 
 
-def part_bits(n: int, half: int) -> int:
-    """Bits to deal by, so that a block gets about BLOCK_PRINTS of n fingerprints."""
-    for part in range(4, 31):
-        if n * len(masks(part, half)) / (1 << part) <= BLOCK_PRINTS:
-            return part
-    return 30
-
-
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """From rows of f (longs, distinct): pairs a, b of fingerprints within the radius that connect all that are."""
-    half = (radius + 1) // 2
-    part = part_bits(prints.count(), half)
-    met = prints.select("f").mapInArrow(dealer(part, half), "part int, prints binary").groupBy("part").applyInArrow(meeter(part, half), "a long, b long")
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct() if 2 * half == radius else met.distinct()
+    half = radius // 2
+    low = F.col("f").bitwiseAND(F.lit((1 << DEPTH) - 1)).cast("int")
+    blocks = blocks_of(prints.select(F.lit(0).alias("segment"), low.alias("low"), F.lit(1).alias("n")), half, BLOCK_PRINTS, DEPTH)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(f), 20_000):
+                some = f[lo : lo + 20_000]
+                yield dealt_prints(blocks, 0, some.view(np.uint64), some, some)
+
+    return prints.select("f").mapInArrow(deal, DEALT).groupBy("block").applyInArrow(meeter(blocks, BITS), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -1,16 +1,21 @@
-"""Near-duplicates by the similarity of their shingle sets, found by an exact prefix join.
-
-All sets order their shingles alike: common ones last. Two sets with a similarity of at least s overlap so far that
-both have one of their first n - ceil(s n) + 1 shingles (n in the set) in common. So each distinct set posts only these;
-sets that share a posted shingle meet, and what meets is checked by the number of posted shingles in common, then by the
-exact similarity of the whole sets. No pair is missed and nothing less similar is ever linked. The order needs only to
-be the same for all, so how common a shingle is may be taken from a sample.
-
-In the first ROUNDS each set is tried with one partner, the first of a shingle's sets with which it shares most; what
-is linked is one group from then on. The last round tries all pairs of sets from different groups that share a posted
-shingle: two sets of one group are connected already. So a family of thousands of near copies gives few pairs there, and
-no pair that could connect two groups is left out. Shingles with many sets are met in pairs of chunks of CHUNK, so that
-none of them is one task.
+"""Near-duplicates by the similarity of their shingle sets: SimHash ball hashing finds them, exact comparison decides.
+
+A 64-bit fingerprint tells sets with a similarity of 0.8 from others too coarsely: they differ in some ten bits. So the
+distinct word shingles of a text make a longer fingerprint, which is cut into segments. In each segment every
+fingerprint emits all variants within half the radius and equal variants meet, as in simhash.py. How long a segment is
+and how many there are comes from the number of sets: so long that chance meets are rare however many sets there are,
+and so many that a pair at the least similarity meets in one of them with a chance of RECALL (99.99 % from 0.85 on).
+
+1. What meets in the first FIRST segments, directly or over others, is one node when the rest meet, so that a family of
+   thousands of near copies gives a link for each member and no more. Links between fingerprints that differ like
+   unrelated ones are dropped. What is connected then are clusters.
+2. Within each cluster sets are compared exactly. Members of a large cluster are first compared with some hundred of
+   its members; those of its largest group so far needn't be compared with each other again. All other pairs of members
+   are compared, in blocks of CHUNK x CHUNK. A block gives no more links than connect what they connect.
+
+So nothing less similar than asked for is ever linked, and within a cluster no link is lost. Work is linear in a family
+that hangs together, and grows with the square of those members of a cluster that match nobody (in CHUNK x CHUNK
+products of matrices; no pair leaves a task).
 """
 
 from __future__ import annotations
@@ -26,21 +31,50 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import chunks, saved
 from tallygrid.llm.components import connected_components
-from tallygrid.llm.simhash import lower_table, shingle_hashes
+from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_prints, forest, lower_table, masks, meeter, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-#: Rounds with one partner for each set, before the one with all pairs.
-ROUNDS = 2
-#: Sets of one shingle in a chunk.
-CHUNK = 256
-#: Documents from which common shingles are known, bits of the buckets they are counted in, and how many are kept.
-SAMPLE, BUCKET_BITS, COMMON = 16_000, 20, 65_536
-#: Up to so many keys of candidates are broadcast.
+#: The chance that a pair at the least similarity meets; how many chance meets a set may have in a segment.
+RECALL, CHANCE = 0.993, 0.1
+#: Segments whose meets are connected before the rest meet.
+FIRST = 2
+#: Fingerprints that are meant to meet in one block of a segment, and the bits blocks are told apart by.
+BLOCK_PRINTS, DEPTH = 60_000, 10
+#: Links that differ in more than this share of their bits are chance (unrelated sets differ in half).
+UNRELATED = 0.42
+#: Sets of a cluster in a chunk, and the bytes of sets it may hold.
+CHUNK, CHUNK_BYTES = 512, 8 << 20
+#: Members of a large cluster with which all are compared first.
+PIVOTS = 128
+#: Up to so many keys of clusters (some 20 bytes each) are broadcast.
 BROADCAST_KEYS = 2_000_000
-#: Bytes of sets that a task keeps while it checks pairs.
-HELD = 64 << 20
-#: Less than any share of a set; keeps rounding from making a bound too tight.
-SLACK = 1e-6
+SETS = "key long, cluster long, n long, hashes binary"
+
+
+class Layout:
+    """Bits of a segment, half radius and number of segments for n sets."""
+
+    def __init__(self, n: int, similarity: float):
+        p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # the share of bits that differ
+        best = None
+        for half in (1, 2):
+            for bits in range(16, 65):
+                ball = sum(math.comb(bits, k) for k in range(2 * half + 1))
+                if n * ball <= CHANCE * 2**bits or bits == 64:
+                    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * half + 1))
+                    many = 1 if hit >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - hit))
+                    cost = many * (10 * bits + len(masks(bits, half)))  # a bit of the fingerprint costs some ten variants
+                    best = min(best or (cost, bits, half, many), (cost, bits, half, many))
+                    break
+        _, self.bits, self.half, self.segments = best
+        self.lanes = -(-self.bits * self.segments // 64)
+
+    def cut(self, wide: np.ndarray) -> np.ndarray:
+        """The segments of fingerprints (rows of lanes * 8 bytes) as numbers."""
+        bits = np.unpackbits(wide, axis=1, bitorder="little")[:, : self.bits * self.segments].reshape(-1, self.segments, self.bits)
+        full = np.zeros((*bits.shape[:2], 64), np.uint8)
+        full[:, :, : self.bits] = bits
+        return np.packbits(full, axis=2, bitorder="little").view("<u8")[:, :, 0].astype(np.uint64)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int, lower: bytes) -> list[np.ndarray]:
@@ -49,159 +83,227 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int, lower: bytes) ->
     return [np.unique(np.array(shingle_hashes(raw[a:b], words, lower), np.uint64)) for a, b in zip(at, at[1:], strict=False)]
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def wide_fingerprints(sets: list[np.ndarray], lanes: int, bits_of: np.ndarray) -> np.ndarray:
+    """64 * lanes bits for each set, as rows of bytes: a bit is 1 if it is in over half of the set's hashes."""
+    n = np.array([len(s) for s in sets], np.int64)
+    hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
+    row = np.repeat(np.arange(len(n)) * 256, n)
+    out = np.zeros((len(n), lanes * 8), np.uint8)
+    weights = (1 << np.arange(8)).astype(np.uint8)
+    for lane in range(lanes):
+        h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (1 << 64) - 1)
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        octets = h.view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            counts = np.bincount(row + octets[:, k], minlength=len(n) * 256).reshape(len(n), 256)
+            out[:, lane * 8 + k] = ((2 * (counts @ bits_of) > n[:, None]) * weights).sum(1, dtype=np.uint8)
+    return out
+
+
+def fingerprinter(words: int, lanes: int):
+    """To doc_id, key and text: a digest of the set and its fingerprint."""
 
-
-def bucket_counter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = lower_table()
+        lower, bits_of = lower_table(), bit_table()
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                b, n = np.unique(buckets(np.concatenate(shingle_sets(data, at, words, lower))), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            same, wide = [], []
+            for _, _, data, at in chunks(batch.column(2), 1 << 20):
+                sets = shingle_sets(data, at, words, lower)
+                same += [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+                wide += [x.tobytes() for x in wide_fingerprints(sets, lanes, bits_of)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "key", "same", "wide"])
 
     return run
 
 
-def common_buckets(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets that stand out, ascending; how often each occurs), in a sample of the documents."""
-    share = max(1, documents.count() // SAMPLE)
-    some = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
-    counts = saved(some.mapInArrow(bucket_counter(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
-    rows = counts.where(F.col("n") > mean + 4 * math.sqrt(mean) + 4).orderBy(F.desc("n"), "bucket").limit(COMMON).collect()
-    rows = np.array(sorted((r["bucket"], r["n"]) for r in rows), np.int64).reshape(-1, 2)
-    return rows[:, 0].copy(), rows[:, 1].copy()
-
+def rows_of(column: pa.Array) -> np.ndarray:
+    """Binary values of equal length as rows of bytes."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
 
-def posted(n: int, similarity: float) -> int:
-    """How many of its first shingles a set of n posts."""
-    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
-
-def poster(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """To doc_id, key and text: a digest of the set, its size and the posted shingles."""
+def counter(layout: Layout, segments: range):
+    """How many fingerprints of a partition have each lowest bits, for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, (known, often) = lower_table(), common
+        counts = np.zeros((layout.segments, 1 << DEPTH), np.int64)
         for batch in batches:
-            same, n, posts = [], [], []
-            for _, _, data, at in chunks(batch.column(2), 1 << 20):
-                for s in shingle_sets(data, at, words, lower):
-                    rank = np.zeros(len(s), np.int64)
-                    if len(known):
-                        b = buckets(s)
-                        k = np.minimum(np.searchsorted(known, b), len(known) - 1)
-                        rank = np.where(known[k] == b, often[k], 0)
-                    same.append(xxhash.xxh128_digest(s.tobytes()))
-                    n.append(len(s))
-                    posts.append(s[np.argsort(rank, kind="stable")[: posted(len(s), similarity)]].view(np.int64))
-            ends = np.cumsum([0, *map(len, posts)]).astype(np.int32)
-            posts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posts) if posts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(n, pa.int32()), posts], names=["doc_id", "key", "same", "n", "posts"])
+            f = layout.cut(rows_of(batch.column(0))) & np.uint64((1 << DEPTH) - 1) if batch.num_rows else np.zeros((0, layout.segments), np.uint64)
+            for k in segments:
+                counts[k] += np.bincount(f[:, k].astype(np.int64), minlength=1 << DEPTH)
+        k, low = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(low, pa.int32()), pa.array(counts[k, low])], names=["segment", "low", "n"])
 
     return run
 
 
-def similar(words: int, least: float):
-    """Of a, b and their texts: the pairs whose sets are at least so similar."""
+def dealer(layout: Layout, segments: range, blocks: Blocks):
+    """Segments of key, node and wide to the blocks that their variants belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, held, size = lower_table(), {}, 0
-
-        def set_of(key: int, text: str | None) -> np.ndarray:
-            nonlocal size
-            if key not in held:
-                if size > HELD:
-                    held.clear()
-                    size = 0
-                held[key] = np.unique(np.array(shingle_hashes((text or "").encode(), words, lower), np.uint64))
-                size += held[key].nbytes
-            return held[key]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 20_000):
+                some = batch.slice(lo, 20_000)
+                keys, nodes = (some.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                f = layout.cut(rows_of(some.column(2)))
+                for k in segments:
+                    yield dealt_prints(blocks, k, np.ascontiguousarray(f[:, k]), keys, nodes)
+
+    return run
+
 
+def related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a, b and their fingerprints: the links that don't differ like unrelated sets."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = rows_of(batch.column(2)), rows_of(batch.column(3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= UNRELATED * 8 * x.shape[1]))
+
+
+def clusters(prints: DataFrame, layout: Layout) -> DataFrame:
+    """node (a key) and component of the keys in prints (key, wide) that are connected by related meets; others have no
+    row."""
+    parts, edges = None, None
+    for segments in (range(min(FIRST, layout.segments)), range(min(FIRST, layout.segments), layout.segments)):
+        if not len(segments):
+            continue
+        named = prints.withColumn("node", F.col("key")) if parts is None else prints.join(parts, prints["key"] == parts["node"], "left").select("key", F.coalesce("component", "key").alias("node"), "wide")
+        blocks = blocks_of(prints.select("wide").mapInArrow(counter(layout, segments), "segment int, low int, n long"), layout.half, BLOCK_PRINTS, DEPTH)
+        met = named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT).groupBy("block").applyInArrow(meeter(blocks, layout.bits), "a long, b long").distinct()
+        side = lambda name: prints.select(F.col("key").alias(name), F.col("wide").alias(f"w{name}"))
+        new = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(related, "a long, b long")
+        edges = saved(new if edges is None else edges.union(new))
+        parts = connected_components(edges)
+    return parts
+
+
+def set_maker(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = lower_table()
         for batch in batches:
-            good = []
-            for a, b, ta, tb in zip(*(batch.column(k) for k in range(4)), strict=True):
-                x, y = set_of(a.as_py(), ta.as_py()), set_of(b.as_py(), tb.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            sets = [s for _, _, data, at in chunks(batch.column(2)) for s in shingle_sets(data, at, words, lower)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cluster", "n", "hashes"])
+
+    return run
+
+
+def sets_of(documents: DataFrame, parts: DataFrame, words: int) -> DataFrame:
+    """key, cluster, n and hashes of the sets of the documents that are in a cluster."""
+    parts = parts.select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    few = parts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    texts = texts.join(F.broadcast(parts) if few else parts, F.col("key") == F.col("member")).dropDuplicates(["key"])
+    return saved(texts.select("key", "cluster", "text").mapInArrow(set_maker(words), SETS))
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left has in common with each on the right."""
+    both = [*left, *right]
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *both])
+    order = np.argsort(hashes, kind="stable")
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    column = np.cumsum(new) - 1
+    n = np.bincount(column)
+    n_left = np.bincount(column[row < len(left)], minlength=len(n))
+    useful = ((n_left > 0) & (n_left < n))[column]
+    row, column = row[useful], (np.cumsum((n_left > 0) & (n_left < n)) - 1)[column[useful]]
+    out, wide = np.zeros((len(left), len(right)), np.float32), 4096
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + wide, wide))
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        part = np.zeros((len(both), min(wide, int(column[hi - 1]) + 1 - k * wide)), np.float32)
+        part[row[lo:hi], column[lo:hi] - k * wide] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def comparer(least: float):
+    """Links among the sets of each cluster of a group that are at least so similar: of side 1 with those of side 2, of
+    side 0 among each other. Sets that share a label needn't be compared."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster")
+        key, cluster, label, side, n = (rows.column(c).to_numpy() for c in ("key", "cluster", "label", "side", "n"))
+        hashes = rows.column("hashes")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1))
+        for lo, hi in zip(edges, [*edges[1:], len(key)], strict=True):
+            left, right = (np.flatnonzero((side[lo:hi] == 0) | (side[lo:hi] == k)) + lo for k in (1, 2))
+            sets = {k: np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in {*left.tolist(), *right.tolist()}}
+            both = in_common([sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()])
+            near = (both >= least * (n[left][:, None] + n[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
+            x, y = np.nonzero(near)
+            names, node = np.unique(key[lo:hi], return_inverse=True)
+            x, y = left[x], right[y]
+            kept = forest(node[x - lo], node[y - lo], len(names))
+            a.append(key[x[kept]])
+            b.append(key[y[kept]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
-def checked(documents: DataFrame, met: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b of met whose shingle sets are at least so similar. Texts travel, which are smaller than sets."""
-    met = saved(met)
-    keys = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    texts = texts.dropDuplicates(["key"])
-    side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"t{name}"))
-    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(similar(words, similarity), "a long, b long")
-
-
-def may_match(similarity: float) -> tuple[F.Column, F.Column]:
-    """Of columns na, nb (sizes) and shared (posted shingles in common): whether sizes so different can be so similar;
-    whether enough is shared. What two sets share is among the posted ones of both or not posted by the one whose posts
-    end first, and ceil(similarity n) - 1 of a set are not posted."""
-    large, small = F.greatest("na", "nb"), F.least("na", "nb")
-    need = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
-    return small >= large * F.lit(similarity) - F.lit(SLACK), F.col("shared") + F.ceil(large * F.lit(similarity)) - 1 >= need
-
-
-def one_partner(posts: DataFrame, similarity: float) -> DataFrame:
-    """For each set, the one it shares most with of those that come first at one of its posted shingles."""
-    fits, enough = may_match(similarity)
-    heads = posts.groupBy("token").agg(F.min(F.struct("key", "label", F.col("n").alias("n"))).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "head")
-    tries = posts.join(heads, "token").where("head.label <> label").select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).where(fits)
-    tries = tries.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")).where(enough)
-    return tries.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-
-
-def all_partners(posts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of sets with different labels that share enough posted shingles."""
-    fits, enough = may_match(similarity)
-    sizes = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    last = F.ceil(F.col("m") / CHUNK).cast("int") - 1
-    rows = posts.join(sizes.select("token", "m"), "token").select("token", "key", "n", "label", last.alias("last"), F.pmod(F.xxhash64("key"), last + 1).cast("int").alias("own"))
-    x = rows.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"))
-    y = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-    pairs = x.join(y, ["token", "i", "j"]).where("la <> lb AND (i < j OR a < b)").where(fits)
-    # Both orders of a pair can occur, as chunks order it.
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    return pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")).where(enough).select("a", "b")
-
-
-def components_of_similar(documents: DataFrame, firsts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key and label of firsts (key, n, posts): texts that are linked, directly or over others, share a label."""
-    posts = firsts.select("key", "n", F.explode("posts").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    posts = saved(posts.join(shared, "token"))
-    edges, labels = None, posts.select("key").distinct().withColumn("label", F.col("key"))
-    for k in range(ROUNDS + 1):
-        named = posts.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        met = one_partner(named, similarity) if k < ROUNDS else all_partners(named, similarity)
-        links = checked(documents, met, words, similarity)
-        edges = saved(links if edges is None else edges.union(links))
-        labels = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("label"))
-    return firsts.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    return rows.select("g", "key", "cluster", "label", "side", "n", "hashes").groupBy("g").applyInArrow(comparer(similarity), "a long, b long")
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all sets (see SETS) of a cluster that are so similar, directly or over others."""
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("own")
+    parts = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("long")
+    sized = sets.join(saved(sizes.withColumn("parts", parts)), "cluster")
+    small, large = sized.where("parts = 1"), sized.where("parts > 1")
+    whole = sizes.agg(F.sum("bytes")).first()[0] or 0
+    small = compared(small.select(F.pmod(F.xxhash64("cluster"), F.lit(1 + whole // CHUNK_BYTES)).alias("g"), "*", F.col("key").alias("label"), F.lit(0).alias("side")), similarity)
+    if not large.limit(1).count():
+        return small
+    # Every member with the pivots, which go to each chunk.
+    members = large.select(F.xxhash64("cluster", own).alias("g"), "*", F.col("key").alias("label"), F.lit(1).alias("side"))
+    pivots = large.where(F.pmod(F.xxhash64("key", F.lit(1)), F.col("m")) < PIVOTS)
+    pivots = pivots.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).select(F.xxhash64("cluster", "own").alias("g"), *large.columns, F.col("key").alias("label"), F.lit(2).alias("side"))
+    found = saved(compared(members.unionByName(pivots), similarity))
+    # The largest group so far of each cluster, and the others, in chunks of their own.
+    labels = connected_components(found).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    named = large.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    groups = named.groupBy("cluster", "label").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    named = saved(named.join(groups, "cluster").withColumn("is_main", F.col("label") == F.col("main")))
+    counts = named.groupBy("cluster", "is_main").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes")).withColumn("parts", parts)
+    counts = counts.groupBy("cluster").agg(F.coalesce(F.sum(F.when(~F.col("is_main"), F.col("parts"))), F.lit(0)).cast("int").alias("others"), F.coalesce(F.sum(F.when(F.col("is_main"), F.col("parts"))), F.lit(0)).cast("int").alias("mains"))
+    named = named.drop("parts").join(counts, "cluster")
+    spot = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    named = named.withColumn("own", spot + F.when(F.col("is_main"), F.col("others")).otherwise(F.lit(0)))
+    # Chunks 0 to others - 1 meet each other and the main ones; main ones don't meet each other. Below i < j.
+    last = F.col("others") + F.col("mains") - 1
+    lower = F.when(~F.col("is_main"), F.sequence(F.col("own"), last))
+    upper = F.when(F.col("is_main") & (F.col("others") > 0), F.sequence(F.lit(0), F.col("others") - 1)).when(F.col("own") > 0, F.sequence(F.lit(0), F.col("own") - 1))
+    x = named.select("*", F.explode(lower).alias("to")).select(F.xxhash64("cluster", "own", "to").alias("g"), "key", "cluster", "label", F.when(F.col("own") == F.col("to"), 0).otherwise(1).alias("side"), "n", "hashes")
+    y = named.select("*", F.explode(upper).alias("to")).select(F.xxhash64("cluster", "to", "own").alias("g"), "key", "cluster", "label", F.lit(2).alias("side"), "n", "hashes")
+    return small.union(found).union(compared(x.union(y), similarity))
 
 
 def similar_documents(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of documents: doc_id, key (a hash of doc_id and text) and first_key, the key of the row that
     stands for its group: the smallest doc_id (null first), then key, over all that are linked.
 
-    Texts without words are copies of each other; a null text counts as an empty one. Equal sets count once.
+    Texts without words are copies of each other; a null text counts as an empty one. Equal sets count once. Other
+    columns are ignored.
     """
     documents = documents.select("doc_id", "text")
+    layout = Layout(documents.count(), similarity)
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = saved(rows.mapInArrow(poster(words, similarity, common_buckets(documents, words)), "doc_id long, key long, same binary, n int, posts array<long>"))
+    rows = saved(rows.mapInArrow(fingerprinter(words, layout.lanes), "doc_id long, key long, same binary, wide binary"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")
-    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.min_by(F.struct("n", "posts"), order).alias("set"))
-    firsts = saved(firsts.select("same", "first", F.col("first.key").alias("key"), "set.n", "set.posts"))
-    named = firsts.join(components_of_similar(documents, firsts, words, similarity), "key").select("same", "first", "label")
+    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.min_by("wide", order).alias("wide"))
+    firsts = saved(firsts.select("same", "first", F.col("first.key").alias("key"), "wide"))
+    parts = clusters(firsts.select("key", "wide"), layout)
+    linked = connected_components(exact_links(sets_of(documents, parts, words), similarity))
+    named = firsts.join(linked, firsts["key"] == linked["node"], "left").select("same", "first", F.coalesce("component", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     named = named.join(least, "label").select("same", F.col("least.key").alias("first_key"))
     return rows.join(named, "same").select("doc_id", "key", "first_key")

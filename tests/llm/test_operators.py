@@ -273,7 +273,44 @@ def test_large_groups_of_alike_texts_are_tried_in_full(spark, monkeypatch):
     assert_exact_groups(spark, texts)
 
 
-def test_meeting_variants_link_all_that_are_near(spark):
+def test_recall_at_the_least_similarity(spark):
+    """Pairs from 0.8 on, of the tables' documents and of made ones just above it, that end in one group; never more."""
+    rng = np.random.default_rng(6)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("text").collect()]
+    for k in range(300):  # a run of changed words costs as many shingles and four more
+        words = [f"r{k}x{j}" for j in range(int(rng.integers(60, 300)))]
+        n = len(words) - 4
+        run = max(1, int(n * 0.2 / 1.8) - 4)
+        at = int(rng.integers(4, n - run))
+        texts += [" ".join(words), " ".join([*words[:at], *(f"r{k}y{j}" for j in range(run)), *words[at + run :]])]
+    sets, holders, common = [slow_sets(t) for t in texts], {}, {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    for some in holders.values():
+        for j, b in enumerate(some):
+            for a in some[:j]:
+                common[a, b] = common.get((a, b), 0) + 1
+    near = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(near) > 300
+    got = {r["doc_id"]: r["first_key"] for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert np.mean([got[a] == got[b] for a, b in near]) >= 0.98
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        parent[root(a)] = root(b)
+    empty = {k for k, s in enumerate(sets) if not s}
+    assert len({(root(k), got[k]) for k in range(len(texts)) if k not in empty}) == len({root(k) for k in range(len(texts)) if k not in empty})
+
+
+@pytest.mark.parametrize("most", [simhash.BLOCK_PRINTS, 30])
+def test_meeting_variants_link_all_that_are_near(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BLOCK_PRINTS", most)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
     f = {int(x) for x in base}
@@ -293,6 +330,15 @@ def test_meeting_variants_link_all_that_are_near(spark):
             assert (groups[i] == groups[j]) == (parts.get(f[i], f[i]) == parts.get(f[j], f[j]))
 
 
+def test_slices_of_variants_hold_each_variant_once(monkeypatch):
+    f = np.random.default_rng(8).integers(0, 2**63, 500).astype(np.uint64)
+    whole = [np.concatenate(x) for x in zip(*simhash.variants_in(f, 3, 5, 64, 2), strict=True)]
+    monkeypatch.setattr(simhash, "SLICE", 5000)
+    parts = list(simhash.variants_in(f, 3, 5, 64, 2))
+    assert len(parts) > 10 and sorted(zip(*(np.concatenate(x).tolist() for x in zip(*parts, strict=True)), strict=True)) == sorted(zip(*(x.tolist() for x in whole), strict=True))
+    assert not set(parts[0][0].tolist()) & set(parts[1][0].tolist())
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(200, 200 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

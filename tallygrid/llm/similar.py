@@ -4,7 +4,7 @@ A 64-bit fingerprint tells sets with a similarity of 0.8 from others too coarsel
 distinct word shingles of a text make a longer fingerprint, which is cut into segments. In each segment every
 fingerprint emits all variants within half the radius and equal variants meet, as in simhash.py. How long a segment is
 and how many there are comes from the number of sets: so long that chance meets are rare however many sets there are,
-and so many that a pair at the least similarity meets in one of them with a chance of RECALL (99.99 % from 0.85 on).
+and so many that a pair at the least similarity meets in one of them with a chance of RECALL (over 99.99 % from 0.85 on).
 
 1. What meets in the first FIRST segments, directly or over others, is one node when the rest meet, so that a family of
    thousands of near copies gives a link for each member and no more. Links between fingerprints that differ like
@@ -35,7 +35,7 @@ from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_pri
 
 WORDS, SIMILARITY = 5, 0.8
 #: The chance that a pair at the least similarity meets; how many chance meets a set may have in a segment.
-RECALL, CHANCE = 0.993, 0.1
+RECALL, CHANCE = 0.999, 0.1
 #: Segments whose meets are connected before the rest meet.
 FIRST = 2
 #: Fingerprints that are meant to meet in one block of a segment, and the bits blocks are told apart by.

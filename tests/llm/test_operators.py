@@ -489,7 +489,7 @@ def test_leaks(spark, small, duck, empty, odd):
     texts = [(1, "Some words first. " + question + " and more."), (2, "In front: then " + other + " it ends."), (3, broken), (4, "nothing of the kind stands here at all, not a single word of it"), (5, None), (6, question[:40])]
     items = spark.createDataFrame([(7, question, "k"), (8, None, "k"), (9, "too short", "k"), (7, question, "k")], "item_id long, text string, words string")
     rows = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} >= {(1, 7), (2, 7)} and not {r["doc_id"] for r in rows} & {4, 5, 6}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 7), (2, 7), (3, 7)}
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(odd, items.where("false")).count() == 0
     assert decontaminate.without_leaks(odd, items).columns == odd.columns
 
@@ -508,6 +508,35 @@ def test_numbers_with_any_sign_match_the_sql(spark):
     assert got == want and len(got) == 2
 
 
+def duck_of(**tables):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for name, (rows, columns) in tables.items():
+        con.register(name, pd.DataFrame(rows, columns=columns))
+    return con
+
+
+def test_leaks_that_templates_alone_would_miss(spark):
+    """Conflicts after a long agreement, items of placeholders, other case, short items, joined names, glued units."""
+    long = "the old bridge by the mill was built in 1712 and has been widened at both ends since then so carts from the north can cross it while others wait until 1712 is read aloud"
+    numbers = "4 8 15 16 23 42 108 7 9 11 12 13 14 99"
+    names = "then Anna Marie Smith gave exactly 12 kg of ripe apples to Bob and Anna Marie Smith kept the rest for a long winter"
+    items = [(1, long), (2, numbers), (3, names), (4, "which river runs through Prague"), (5, "two words"), (6, "what is 3 kg plus 4 kg")]
+    docs = [
+        (1, long.replace("until 1712", "until 1815")), (2, "codes: " + numbers + " end"), (3, long.upper()), (4, names.replace("Anna Marie Smith", "Eva").replace("12 kg", "55kg")),
+        (5, "Quiz: which river runs through prague?"), (6, "two words"), (7, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (8, names.replace("Smith kept", "Jones kept").replace("to Bob", "to Tom")),
+        (9, "what is 3 kg plus 5 kg"), (10, "a clean text about rivers and bridges which were built in 1712 by many hands"), (None, long), (11, None), (12, ""),
+    ]
+    con = duck_of(documents=([d for d in docs if d[0] is not None], ["doc_id", "text"]), benchmark=(items, ["item_id", "text"]))
+    df = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r["doc_id"], r["item_id"]) for r in df.collect()}
+    assert rows == {(1, 1), (2, 2), (3, 1), (4, 3), (5, 4), (8, 3), (None, 1)}
+    got, want = same_rows(df.where("doc_id IS NOT NULL"), con, decontaminate.ORACLE_SQL)
+    assert got == want
+
+
 def test_large_benchmarks_are_shuffled(spark, small, monkeypatch):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))

@@ -77,12 +77,25 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_id_ranges(df: DataFrame, key: str, n: int) -> list:
-    """Up to n - 1 ascending values of key that cut its rows into runs of about equal counts. Only the key is read;
-    the driver gets one value of each run."""
-    ids = df.select(key).where(F.col(key).isNotNull())
-    firsts = ids.repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first")).collect()
-    return sorted({r["first"] for r in firsts})[1:]
+def by_id_ranges(df: DataFrame, key: str, text: str, block_bytes: int, least: int) -> list:
+    """Ascending values of key that cut its rows into runs of about block_bytes of text, and at least about `least` runs.
+
+    Runs of equal counts come first; those that still hold over twice the bytes (long texts next to each other) are cut
+    again, unless they have one key only: rows that share a key stay in one run. The driver gets one value of each run.
+    """
+    sizes = df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).where(F.col(key).isNotNull())
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    n, cuts, within = max(least, math.ceil(total / block_bytes)), set(), F.lit(True)
+    for _ in range(4):
+        parts = sizes.where(within).repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("bytes").alias("bytes")).collect()
+        cuts |= {r["first"] for r in parts}
+        large = [r for r in parts if r["bytes"] > 2 * block_bytes and r["first"] < r["last"]]
+        if not large or len(large) > 1000:
+            break
+        within, n = F.lit(False), sum(math.ceil(2 * r["bytes"] / block_bytes) for r in large)
+        for r in large:
+            within = within | F.col(key).between(r["first"], r["last"])
+    return sorted(cuts)[1:]
 
 
 def packed(rows: pa.Table) -> bytes:
@@ -97,14 +110,14 @@ def unpacked(blocks: pa.ChunkedArray | pa.Array) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks])
 
 
-def dealt_by_ranges(df: DataFrame, key: str, n: int, neighbours: bool = False, flush_bytes: int = 16 << 20) -> DataFrame:
-    """df's rows dealt into up to n runs of ascending key, as columns run (int) and block (binary, see unpacked()).
+def dealt_by_ranges(df: DataFrame, key: str, text: str = "text", neighbours: bool = False, flush_bytes: int = 16 << 20) -> DataFrame:
+    """df's rows dealt into runs of ascending key with about BLOCK_BYTES of text, as columns run (int) and block (binary, see unpacked()).
 
     A null key comes first. Rows travel as compressed blocks, a few of each run from each task. With neighbours, the
     rows of each run's first key are also sent to the run before (of the first run: to the last), marked in the added
     column `next_run`.
     """
-    cuts = by_id_ranges(df, key, n)
+    cuts = by_id_ranges(df, key, text, BLOCK_BYTES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     firsts = [None, *cuts]
     if neighbours:
         has_null = df.where(F.col(key).isNull()).limit(1).count() > 0

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import blocks_for, dealt_by_ranges, saved, table, unpacked
+from tallygrid.llm.common import dealt_by_ranges, saved, table, unpacked
 
 #: Up to so many copies (ids and fingerprints, about 100 bytes each) are broadcast for the byte comparison.
 BROADCAST_COPIES = 500_000
@@ -99,7 +99,7 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
     counts as an empty one. Other columns are ignored.
     """
     documents = documents.select("doc_id", "text")
-    runs = dealt_by_ranges(documents, "doc_id", blocks_for(documents), neighbours=True)
+    runs = dealt_by_ranges(documents, "doc_id", neighbours=True)
     rows = saved(runs.groupBy("run").applyInArrow(compare_run, SCHEMA))
     clash = collisions(documents, rows.select("doc_id", "fingerprint")).withColumnsRenamed({"doc_id": "clash_id", "fingerprint": "clash"})
     rows = rows.join(clash, rows["doc_id"].eqNullSafe(clash["clash_id"]) & (rows["fingerprint"] == clash["clash"]), "left")

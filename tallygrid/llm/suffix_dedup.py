@@ -4,12 +4,13 @@
    strings is its anchor; equal windows have equal anchors at the same place. Hashes of anchors are shuffled (each once
    for a run), and those that occur twice are sent back to their runs. A window whose anchor occurs once can't repeat.
 2. Windows in a row with the same anchor form a piece of text. Pieces whose anchor repeats are dealt into suffix buckets
-   by the anchor, unless the same piece stands earlier in the run: those are removed at once, so a passage that stands
-   in a third of all documents leaves each run a single time.
-   Anchors of HOT or more pieces in all (the edges of a very common passage, with other text around each) don't go to
-   one bucket: their windows are dealt one by one, by two 64-bit hashes, each once for a run.
-3. In each bucket equal pieces fall together (their bytes are compared); the suffixes of what still shares an anchor
-   are sorted with a difference cover (see suffixes.py), one bucket at a time. Of equal ones all but the first go.
+   by the anchor, unless the same piece (its bytes are compared) stands earlier in the run: so a passage that stands in a
+   third of all documents leaves each run a single time.
+   Pieces of an anchor that is very common (the edges of a common passage, with other text around each) are cut into
+   ranges of NARROW windows, of one window if it is commoner still, and dealt by a hash of what all windows of a range
+   have in common. Hashes only say which bucket a window goes to.
+3. In each bucket the suffixes of pieces that share an anchor are sorted with a difference cover (see suffixes.py), some
+   anchors at a time. Of equal windows all but the first go.
 4. Removed windows return to their runs, which cut them from the texts.
 
 What is shuffled is about 1 hash for 35 bytes, and 4 bytes for each byte of passages that may repeat.
@@ -33,9 +34,12 @@ GRAM = 32
 #: Places within a chunk fit in so many bits; longer texts are cut into overlapping chunks.
 PLACE_BITS = 23
 LONGEST = 4 << 20
-#: Anchors with about so many pieces in all runs together are dealt by window.
-HOT = 4096
-#: The lowest bits of an anchor's hash carry the power of two of its count on the way out, and whether it is hot back.
+#: From about so many pieces on, in all runs together, the pieces of an anchor are cut into ranges of NARROW windows, from
+#: COMMONER times as many on into single windows.
+HOT, COMMONER, NARROW = 4096, 64, 9
+#: Runs whose anchors are meant to meet in one bucket, and bytes of pieces that are sorted at once.
+RUNS, SORTED_BYTES = 8, 8 << 20
+#: The lowest bits of an anchor's hash carry the power of two of its count on the way out, and how common it is back.
 TAG = np.uint64(15)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -87,23 +91,24 @@ def documents_of(rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.column_names.index("text"), "text", pc.fill_null(rows.column("text"), ""))
 
 
-def stretches(texts: pa.ChunkedArray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, row of each text, its offsets, the place in its text where it begins): texts in chunks, long ones in
-    parts that overlap by length - 1 bytes."""
+def stretches(texts: pa.ChunkedArray, length: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, row of each text, its offsets, the place in its text where it begins): texts in chunks, those over longest
+    bytes in parts that overlap by length - 1 bytes."""
     for lo, hi, data, at in chunks(texts):
-        if hi - lo > 1 or len(data) <= LONGEST:
+        if hi - lo > 1 or len(data) <= longest:
             yield data, np.arange(lo, hi), at, np.zeros(hi - lo, np.int64)
             continue
-        for a in range(0, len(data) - length + 1, LONGEST - length + 1):
-            part = data[a : a + LONGEST]
+        for a in range(0, len(data) - length + 1, longest - length + 1):
+            part = data[a : a + longest]
             yield part, np.array([lo]), np.array([0, len(part)]), np.array([a])
 
 
-def anchored(data: np.ndarray, at: np.ndarray, length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces: (text of the chunk, first window, last window, hash of the anchor) of each run of windows with one anchor."""
+def anchored(data: np.ndarray, at: np.ndarray, length: int, hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """Pieces: (text of the chunk, first window, last window, place and hash of the anchor) of each run of windows with one
+    anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     grams = hasher.grams(data, GRAM)
     key = (grams & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(grams), dtype=np.uint64)
     span, wide = length - GRAM + 1, 1
@@ -120,16 +125,16 @@ def anchored(data: np.ndarray, at: np.ndarray, length: int, hasher: Hasher) -> t
     new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(first) else first
-    return of[first], starts[first], starts[last], grams[place[first]]
+    return of[first], starts[first], starts[last], place[first], grams[place[first]]
 
 
-def mark(buckets: int, length: int):
+def mark(buckets: int, length: int, longest: int):
     """Pass 1: the hashes of a run's anchors, dealt by hash; TAG holds the power of two of how often it stands there."""
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows.column("run")[0].as_py()
         hasher = Hasher()
-        found = [anchored(data, at, length, hasher)[3] for data, _, at, _ in stretches(documents_of(rows).column("text"), length)]
+        found = [anchored(data, at, length, hasher)[4] for data, _, at, _ in stretches(documents_of(rows).column("text"), length, longest)]
         keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]) & ~TAG, return_counts=True)
         keys |= np.minimum(np.log2(n).astype(np.uint64), TAG)
         to = bucket_of(keys, buckets)
@@ -145,8 +150,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated(hot: int):
-    """Pass 1, in a bucket: for each run those of its anchors that stand twice in it or in another run too, with bit 0
-    set if they are hot."""
+    """Pass 1, in a bucket: for each run those of its anchors that stand twice in it or in another run too; the lowest
+    bits are 1 for common ones and 2 for those that are commoner still."""
 
     def run(rows: pa.Table) -> pa.Table:
         runs = rows.column("run").to_pylist()
@@ -157,7 +162,7 @@ def repeated(hot: int):
         bare, owner, n = keys[order] & ~TAG, owner[order], np.left_shift(1, (keys[order] & TAG).astype(np.int64))
         first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(bare) else np.zeros(0, np.int64)
         total = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(bare))) if len(bare) else n
-        bare, owner = (bare | (total >= hot).astype(np.uint64))[total > 1], owner[total > 1]
+        bare, owner = (bare | (total >= hot).astype(np.uint64) + (total >= hot * COMMONER).astype(np.uint64))[total > 1], owner[total > 1]
         order = np.argsort(owner, kind="stable")
         edges = np.flatnonzero(np.diff(owner[order], prepend=-1))
         own = owner[order][edges]
@@ -170,15 +175,19 @@ def windows_block(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
     return packed(pa.table([pa.array(doc.astype(np.int32)), pa.array(start), pa.array(n.astype(np.int32))], names=["doc", "start", "n"]))
 
 
-def first_of(*keys: np.ndarray) -> np.ndarray:
-    """Whether a row is the first of its kind in the order they stand."""
-    order = np.lexsort((np.arange(len(keys[0])), *keys))
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    out = np.ones(len(order), bool)
-    out[order[1:]] = ~same
-    return out
+def stand_earlier(key: np.ndarray, one: np.ndarray, sizes: np.ndarray, begin: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Whether an equal piece with the same key stands before: the first with this key and hash, its bytes compared."""
+    order = np.lexsort((np.arange(len(key)), sizes, one, key))
+    like = (key[order][1:] == key[order][:-1]) & (one[order][1:] == one[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])
+    later = np.flatnonzero(np.concatenate([[False], like])) if len(order) else order
+    lead = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~like]), np.arange(len(order)), 0))] if len(order) else order
+    gone = np.zeros(len(order), bool)
+    for lo in range(0, len(later), 20_000):
+        some = later[lo : lo + 20_000]
+        a, b = order[some], lead[some]
+        unlike = pool[ranges(begin[a], sizes[a])] != pool[ranges(begin[b], sizes[b])]
+        gone[a] = np.add.reduceat(unlike, np.cumsum(sizes[a]) - sizes[a]) == 0
+    return gone
 
 
 def dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -188,54 +197,67 @@ def dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(to[some[0]]), some
 
 
-def cut_pieces(buckets: int, length: int):
-    """Pass 2: the pieces whose anchor repeats, to suffix buckets; those that stand earlier in the run are removed."""
+PIECES = "bucket int, anchor long, run int, doc int, start long, n int, text binary"
+
+
+def narrowed(first, last, place, anchor, common, length, sums, hasher) -> tuple[np.ndarray, ...]:
+    """(piece, first, last, key) of the parts of pieces: whole ones, keyed by the anchor, or ranges of windows that begin
+    equally far before the anchor, keyed by a hash of what the windows of a range have in common."""
+    span = length - GRAM + 1
+    wide = np.array([span, NARROW, 1])[common]
+    whole = np.flatnonzero(common == 0)
+    cut = np.flatnonzero(common > 0)
+    n = last[cut] - first[cut] + 1
+    window, piece = ranges(first[cut], n), np.repeat(cut, n)
+    part = (place[piece] - window) // wide[piece]
+    new = np.ones(len(window), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (part[1:] != part[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(window))[: len(head)] - 1
+    piece, part = piece[head], part[head]
+    near = part * wide[piece]
+    far = np.minimum(near + wide[piece], span) - 1
+    key = mixed(hasher.of(sums, 0, place[piece] - near, place[piece] - far + length) ^ anchor[piece] * np.uint64(3) ^ part.astype(np.uint64))
+    return np.concatenate([whole, piece]), np.concatenate([first[whole], window[head]]), np.concatenate([last[whole], window[tail]]), np.concatenate([anchor[whole], key])
+
+
+def cut_pieces(buckets: int, length: int, longest: int):
+    """Pass 2: the pieces whose anchor repeats, to suffix buckets; those that stand earlier in the run are removed (rows
+    without text)."""
 
     def run(rows: pa.Table, hashes: pa.Table) -> pa.Table:
-        names = ["bucket", "run", "kind", "block"]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
+        names, kinds = [x.split()[0] for x in PIECES.split(", ")], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         if not rows.num_rows or not hashes.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         number = rows.column("run")[0].as_py()
         wanted = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in hashes.column("hashes")]))
-        hasher, parts, texts, single = Hasher(), [], [], []
-        for data, row, at, begins in stretches(documents_of(rows).column("text"), length):
-            of, first, last, anchor = anchored(data, at, length, hasher)
+        hasher, parts, texts = Hasher(), [], []
+        for data, row, at, begins in stretches(documents_of(rows).column("text"), length, longest):
+            of, first, last, place, anchor = anchored(data, at, length, hasher)
             anchor = anchor & ~TAG
-            place = np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)
-            keep = (wanted[place] & ~TAG) == anchor
-            of, first, last, anchor, hot = of[keep], first[keep], last[keep], anchor[keep], (wanted[place] & TAG)[keep] > 0
-            sums = [hasher.sums(data, k) for k in (0, 1)]
-            one, two = (hasher.of(sums[k], k, first, last + length) for k in (0, 1))
-            doc, start, n = row[of], first - at[of] + begins[of], last - first + 1
-            parts.append((doc, start, n, anchor, one ^ n.astype(np.uint64), two, hot))
+            found = np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)
+            keep = (wanted[found] & ~TAG) == anchor
+            of, first, last, place, anchor, common = of[keep], first[keep], last[keep], place[keep], anchor[keep], (wanted[found] & TAG)[keep].astype(np.int64)
+            sums = hasher.sums(data, 0)
+            piece, first, last, key = narrowed(first, last, place, anchor, common, length, sums, hasher)
+            of, n = of[piece], last - first + 1
+            parts.append((row[of], first - at[of] + begins[of], n, key, hasher.of(sums, 0, first, last + length)))
             texts.append((data, first, n + length - 1))
-            at = ranges(first[hot], n[hot])
-            single.append((np.repeat(doc[hot], n[hot]), ranges(start[hot], n[hot]), *(hasher.of(sums[k], k, at, at + length) for k in (0, 1))))
-        out = []
-        # Chunks stand in order, so the first of equal ones is the earliest.
-        doc, start, one, two = (np.concatenate(x) for x in zip(*single, strict=True))
-        fresh = first_of(two, one)
-        lost, fresh = np.flatnonzero(~fresh), np.flatnonzero(fresh)
-        if len(lost):
-            out.append((number % buckets, number, "removed", windows_block(doc[lost], start[lost], np.ones(len(lost)))))
-        for bucket, some in dealt(bucket_of(one[fresh], buckets)):
-            some = fresh[some]
-            out.append((bucket, number, "windows", packed(pa.table([pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(one[some]), pa.array(two[some])], names=["doc", "start", "one", "two"]))))
-        doc, start, n, anchor, one, two, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, start, n, key, one = (np.concatenate(x) for x in zip(*parts, strict=True))
         sizes = n + length - 1
         begin = np.cumsum(sizes) - sizes
         pool = np.concatenate([data[ranges(f, s)] for data, f, s in texts])
-        fresh = first_of(two, one, anchor)
-        lost, fresh = np.flatnonzero(~fresh & ~hot), np.flatnonzero(fresh & ~hot)
-        if len(lost):
-            out.append((number % buckets, number, "removed", windows_block(doc[lost], start[lost], n[lost])))
-        for bucket, some in dealt(bucket_of(anchor[fresh], buckets)):
-            some = fresh[some]
-            text = pa.array([pool[ranges(begin[some], sizes[some])].tobytes()] + [None] * (len(some) - 1), pa.binary())
-            out.append((bucket, number, "pieces", packed(pa.table([pa.array(doc[some].astype(np.int32)), pa.array(start[some]), pa.array(n[some].astype(np.int32)), pa.array(anchor[some]), pa.array(one[some]), pa.array(two[some]), text], names=["doc", "start", "n", "anchor", "one", "two", "text"]))))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        order = np.lexsort((start, doc))  # the first of equal ones is the earliest
+        doc, start, n, key, one, sizes, begin = (x[order] for x in (doc, start, n, key, one, sizes, begin))
+        gone = stand_earlier(key, one, sizes, begin, pool)
+        order = np.concatenate([np.flatnonzero(~gone), np.flatnonzero(gone)])
+        fresh = len(order) - int(gone.sum())
+        sizes = np.where(gone, 0, sizes)[order]
+        text = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()), pa.py_buffer(pool[ranges(begin[order], sizes)].tobytes())])
+        text = pa.concat_arrays([text[:fresh], pa.nulls(len(order) - fresh, pa.binary())])
+        bucket = np.where(gone, number % buckets, bucket_of(key, buckets))[order]
+        cols = [bucket, key[order].view(np.int64), np.full(len(order), number), doc[order], start[order], n[order]]
+        return pa.table([*(pa.array(c, k) for c, k in zip(cols, kinds[:-1], strict=True)), text], names=names)
 
     return run
 
@@ -244,75 +266,44 @@ def sort_bucket(length: int):
     """Pass 3: of the windows of a bucket, those that also start earlier, for each run."""
 
     def run(rows: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
-        cols, texts, single = [], [], []
-        for number, kind, block in zip(rows.column("run").to_pylist(), rows.column("kind").to_pylist(), rows.column("block"), strict=True):
-            if kind == "removed":
-                out.append((number, block.as_buffer().to_pybytes()))
-                continue
-            own = pa.ipc.open_stream(block.as_buffer()).read_all()
-            here = [np.full(own.num_rows, number, np.int64), *(own.column(c).to_numpy() for c in own.column_names if c != "text")]
-            if kind == "windows":
-                single.append(here)
-            else:
-                cols.append(here)
-                texts.append(np.frombuffer(own.column("text").combine_chunks()[0].as_buffer(), np.uint8))
-        found = []
-        if single:
-            number, doc, start, one, two = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((start, doc, number))
-            lost = order[~first_of(two[order], one[order])]
-            found.append((number[lost], doc[lost], start[lost], np.ones(len(lost), np.int64)))
-        if cols:
-            number, doc, start, n, anchor, one, two = (np.concatenate(x) for x in zip(*cols, strict=True))
-            found += doubles(number, doc, start, n.astype(np.int64), anchor, one, two, np.concatenate(texts), length)
-        for lost in found:
-            for number, some in dealt(lost[0]):
-                out.append((number, windows_block(lost[1][some], lost[2][some], lost[3][some])))
+        lost = rows.filter(pc.is_null(rows.column("text")))
+        rows = rows.filter(pc.is_valid(rows.column("text"))).sort_by("anchor")
+        found = [[lost.column(c).to_numpy() for c in ("run", "doc", "start", "n")]]
+        anchor, number, doc, start, n = (rows.column(c).to_numpy() for c in ("anchor", "run", "doc", "start", "n"))
+        same = anchor[1:] == anchor[:-1]
+        shared = np.zeros(len(anchor), bool)  # a piece that has its anchor for itself can't repeat
+        shared[1:] |= same
+        shared[:-1] |= same
+        own = np.flatnonzero(shared)
+        first = np.flatnonzero(np.diff(anchor[own], prepend=anchor[own][:1] - 1))
+        size = np.cumsum(np.add.reduceat(n[own].astype(np.int64) + length - 1, first)) if len(first) else first
+        texts, at = rows.column("text"), 0
+        while at < len(first):  # as many anchors as make SORTED_BYTES, one at least
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SORTED_BYTES, "right")))
+            some = own[first[at] : first[to] if to < len(first) else None]
+            block = np.frombuffer(b"".join(t.as_buffer() for t in texts.take(pa.array(some))), np.uint8)
+            found.append(repeated_windows(number[some], doc[some], start[some], n[some].astype(np.int64), block, length))
+            at = to
+        number, doc, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = [(k, windows_block(doc[some], start[some], n[some])) for k, some in dealt(number)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["run", "block"])
 
     return run
 
 
-def doubles(number, doc, start, n, anchor, one, two, text, length):
-    """(run, doc, start, count of windows) of what goes: whole pieces, then single windows."""
+def repeated_windows(number, doc, start, n, block, length):
+    """(run, doc, start, 1) of the windows of pieces that also start earlier; block: the pieces' bytes in a row."""
     sizes = n + length - 1
-    begin = np.cumsum(sizes) - sizes
-    # Pieces in order of anchor, contents and place; of equal ones the first stays.
-    order = np.lexsort((start, doc, number, two, one, anchor))
-    like = (anchor[order][1:] == anchor[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] == n[order][:-1])
-    later = np.flatnonzero(np.concatenate([[False], like]))
-    lead = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~like]), np.arange(len(order)), 0))]
-    gone = np.zeros(len(order), bool)
-    for lo in range(0, len(later), 20_000):
-        some = later[lo : lo + 20_000]
-        a, b = order[some], lead[some]
-        unlike = np.add.reduceat(text[ranges(begin[a], sizes[a])] != text[ranges(begin[b], sizes[b])], np.cumsum(sizes[a]) - sizes[a])
-        gone[a] = unlike == 0
-    yield number[gone], doc[gone], start[gone], n[gone]
-    left = np.flatnonzero(~gone)
-    left = left[np.argsort(anchor[left], kind="stable")]
-    same = anchor[left][1:] == anchor[left][:-1]
-    shared = np.zeros(len(left), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    left = left[shared]
-    if not len(left):
-        return
-    block = text[ranges(begin[left], sizes[left])]
-    own = np.cumsum(sizes[left]) - sizes[left]
-    at = ranges(own, n[left])
-    piece = np.repeat(np.arange(len(left)), n[left])
-    ends = np.repeat(own + sizes[left], sizes[left])
+    own = np.cumsum(sizes) - sizes
+    at = ranges(own, n)
     of_byte = np.full(len(block), -1, np.int64)
-    of_byte[at] = piece
-    suffixes, group = sorted_suffixes(block, ends, at, length)
+    of_byte[at] = np.repeat(np.arange(len(n)), n)
+    suffixes, group = sorted_suffixes(block, np.repeat(own + sizes, sizes), at, length)
     p = of_byte[suffixes]
-    source, place = left[p], start[left[p]] + suffixes - own[p]
-    order = np.lexsort((place, doc[source], number[source], group))
+    place = start[p] + suffixes - own[p]
+    order = np.lexsort((place, doc[p], number[p], group))
     lost = order[np.concatenate([[False], group[order][1:] == group[order][:-1]])]
-    source, place = source[lost], place[lost]
-    yield number[source], doc[source], place, np.ones(len(lost), np.int64)
+    return number[p[lost]], doc[p[lost]], place[lost], np.ones(len(lost), np.int64)
 
 
 def removed_from(rows: pa.Table, removed: pa.Table, length: int) -> Iterator[tuple[object, bytes, np.ndarray]]:
@@ -361,23 +352,24 @@ def cleaned(length: int, columns: list[str]):
     return run
 
 
-def runs_and_removed(documents: DataFrame, length: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def runs_and_removed(documents: DataFrame, length: int, hot: int = HOT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     n = blocks_for(documents)
-    runs = dealt_by_ranges(documents, "doc_id", n)
-    marks = runs.groupBy("run").applyInArrow(mark(n, length), "bucket int, run int, hashes binary")
+    runs = dealt_by_ranges(documents, "doc_id")
+    marks = runs.groupBy("run").applyInArrow(mark(-(-n // RUNS), length, longest), "bucket int, run int, hashes binary")
     twice = marks.groupBy("bucket").applyInArrow(repeated(hot), "run int, hashes binary")
-    pieces = runs.groupBy("run").cogroup(twice.groupBy("run")).applyInArrow(cut_pieces(n, length), "bucket int, run int, kind string, block binary")
+    pieces = runs.groupBy("run").cogroup(twice.groupBy("run")).applyInArrow(cut_pieces(n, length, longest), PIECES)
     return runs, pieces.groupBy("bucket").applyInArrow(sort_bucket(length), "run int, block binary")
 
 
-def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, longest: int = LONGEST) -> DataFrame:
     """One row for each row of documents: doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept_sha256.
 
     A byte goes if a string of length bytes covers it that also starts earlier: in a row before (by doc_id, null first,
     then text) or earlier in the same text. Strings never cross texts. A null text counts as an empty one. length must
-    be at least 64.
+    be at least 64. Texts over longest bytes are worked through in overlapping parts. All rows of one doc_id (and all
+    with none) are in one run.
     """
-    runs, removed = runs_and_removed(documents.select("doc_id", "text"), length, hot)
+    runs, removed = runs_and_removed(documents.select("doc_id", "text"), length, hot, longest)
     return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import blocks_for, chunks, dealt_by_ranges, shared_dir, table, unpacked
+from tallygrid.llm.common import chunks, dealt_by_ranges, shared_dir, table, unpacked
 
 BLOCK = 1 << 16
 END_ID = 1
@@ -328,7 +328,7 @@ def write_token_files(documents: DataFrame, to: str, vocabulary: str | None = No
     Order: doc_id (null first), then text (null first). A null text counts as an empty one and has only the end id.
     """
     documents = documents.select("doc_id", "text")
-    runs = dealt_by_ranges(documents, "doc_id", blocks_for(documents))
+    runs = dealt_by_ranges(documents, "doc_id")
     runs.groupBy("run").applyInArrow(segment_writer(vocabulary or vocabulary_path(), kind), SEGMENTS).write.parquet(to)
     return to
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallygrid.llm import components, decontaminate, fingerprints, language_id, licenses, packing, quality, simhash, similar, suffix_dedup, suffixes, token_files, url_filters
+from tallygrid.llm import common, components, decontaminate, fingerprints, language_id, licenses, packing, quality, simhash, similar, suffix_dedup, suffixes, token_files, url_filters
 from tests.conftest import same_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, run int, f long, canon string"
@@ -450,16 +450,32 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_repeated_passages(docs, odd, empty, hot):
-    rows = docs.select("doc_id", "text").limit(100).union(odd.select("doc_id", "text"))
+@pytest.mark.parametrize(("hot", "longest"), [(suffix_dedup.HOT, suffix_dedup.LONGEST), (2, 900), (1 / 64, 5000), (3, 70_000)])
+def test_repeated_passages(spark, docs, odd, empty, hot, longest):
+    """Common anchors cut into ranges (from 2 on) and into single windows (from 1 on), long texts in overlapping parts."""
+    line = "a line that stands in very many texts with other words around, over sixty bytes"
+    more = spark.createDataFrame([(9000 + k, f"{k * 7919} text {k} {line} and {k % 5} more {k * 31} words, so that it is long enough {k}") for k in range(60)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").limit(100).union(odd.select("doc_id", "text")).union(more)
     kept = pairs(rows)
     want = sorted(((d, *x) for (d, _), x in zip(kept, slow_repeats([t for _, t in kept], 100), strict=True)), key=str)
-    got = sorted(map(tuple, suffix_dedup.repeats(rows, hot=hot).collect()), key=str)
+    got = sorted(map(tuple, suffix_dedup.repeats(rows, hot=hot, longest=longest).collect()), key=str)
     assert got == want
     assert suffix_dedup.repeats(empty, hot=hot).count() == 0
 
 
+def test_runs_follow_the_bytes(spark):
+    rows = [(k, "x" * (60_000 if 300 <= k < 330 else 10)) for k in range(2000)]
+    cuts = common.by_id_ranges(spark.createDataFrame([*rows, (None, "y" * 70_000)], "doc_id long, text string"), "doc_id", "text", 100_000, 4)
+    sizes = np.bincount(np.searchsorted(cuts, [k for k, _ in rows], "right"), [len(t) for _, t in rows])
+    assert sizes.max() <= 200_000 and len(cuts) < 100 and cuts == sorted(set(cuts))
+
+
+def test_pieces_are_equal_by_bytes_not_by_hash():
+    pool = np.frombuffer(b"abcabdabc", np.uint8)
+    key, one, sizes, begin = np.zeros(3, np.uint64), np.zeros(3, np.uint64), np.full(3, 3), np.array([0, 3, 6])
+    assert suffix_dedup.stand_earlier(key, one, sizes, begin, pool).tolist() == [False, False, True]
+
+
 def test_cutting_keeps_columns_and_clean_texts(odd):
     left = suffix_dedup.without_repeats(odd)
     assert left.columns == odd.columns and left.count() == len(ODD)

@@ -28,13 +28,14 @@ from tallygrid.llm.common import chunks, saved, table
 from tallygrid.llm.components import connected_components
 
 WORDS, RADIUS, SEED, BITS = 4, 4, 42, 64
-DEALT = "block int, prints binary, keys binary, nodes binary"
+#: Prints (4 bytes each up to 32 bits, else 8), keys (none where they are the prints), and where a node isn't the key.
+DEALT = "block int, prints binary, keys binary, spots binary, nodes binary"
 #: Fingerprints that are meant to meet in one block; each has some 60 variants there.
 BLOCK_PRINTS = 40_000
 #: Blocks are told apart by up to so many bits; counts of 2 ** DEPTH values go to the driver.
 DEPTH = 16
 #: Variants that a task holds at once.
-SLICE = 6_000_000
+SLICE = 3_000_000
 
 
 def lower_table() -> bytes:
@@ -126,14 +127,33 @@ def blocks_of(counts: DataFrame, half: int, most: int, depth: int) -> Blocks:
     return Blocks({int(k): np.bincount(g["low"], g["n"], 1 << depth).astype(np.int64) for k, g in rows.groupby("segment")}, half, most)
 
 
-def dealt_prints(blocks: Blocks, segment: int, f: np.ndarray, keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Fingerprints with their keys and nodes, as one row for each block that they go to."""
+def dealt_prints(blocks: Blocks, segment: int, bits: int, f: np.ndarray, keys: np.ndarray | None = None, nodes: np.ndarray | None = None) -> pa.RecordBatch:
+    """Fingerprints of so many bits with their keys and nodes, as one row (see DEALT) for each block that they go to."""
     to, row = blocks.of(segment, f)
     order = np.argsort(to, kind="stable")
     to, row = to[order], row[order]
     edges = np.flatnonzero(np.diff(to, prepend=-1))
-    cuts = [[x.tobytes() for x in np.split(v[row], edges[1:])] if len(edges) else [] for v in (f, keys, nodes)]
-    return pa.RecordBatch.from_arrays([pa.array(to[edges], pa.int32()), *(pa.array(c, pa.binary()) for c in cuts)], names=["block", "prints", "keys", "nodes"])
+    ends = [*edges[1:].tolist(), len(to)] if len(edges) else []
+    prints = f[row].astype("<u4" if bits <= 32 else "<u8")
+    own = keys[row] if keys is not None else np.zeros(0, np.int64)
+    other = nodes[row] != own if nodes is not None else np.zeros(len(row), bool)
+    cols: list[list[bytes]] = [[], [], [], []]
+    for lo, hi in zip(edges.tolist(), ends, strict=True):
+        spots = np.flatnonzero(other[lo:hi])
+        for col, values in zip(cols, (prints[lo:hi], own[lo:hi], spots.astype("<u4"), nodes[row[lo + spots]] if len(spots) else own[:0]), strict=True):
+            col.append(values.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(to[edges], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
+def dealt_back(rows: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prints, keys and nodes of a block."""
+    f, keys, nodes = [], [], []
+    for x, k, spots, other in zip(*(rows.column(c) for c in ("prints", "keys", "spots", "nodes")), strict=True):
+        f.append(np.frombuffer(x.as_buffer(), "<u4" if bits <= 32 else "<u8").astype(np.uint64))
+        keys.append(np.frombuffer(k.as_buffer(), np.int64) if len(k.as_buffer()) else f[-1].view(np.int64))
+        nodes.append(keys[-1].copy())
+        nodes[-1][np.frombuffer(spots.as_buffer(), "<u4")] = np.frombuffer(other.as_buffer(), np.int64)
+    return np.concatenate(f), np.concatenate(keys), np.concatenate(nodes)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +202,7 @@ def meeter(blocks: Blocks, bits: int):
 
     def run(rows: pa.Table) -> pa.Table:
         depth, value = blocks.leaves[rows.column("block")[0].as_py()]
-        f, keys, nodes = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)]) for c, kind in (("prints", np.uint64), ("keys", np.int64), ("nodes", np.int64)))
+        f, keys, nodes = dealt_back(rows, bits)
         order = np.lexsort((keys, f, nodes))
         new = np.ones(len(order), bool)  # of a node's equal fingerprints one is enough
         new[1:] = (f[order][1:] != f[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])
@@ -219,7 +239,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             f = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(f), 20_000):
                 some = f[lo : lo + 20_000]
-                yield dealt_prints(blocks, 0, some.view(np.uint64), some, some)
+                yield dealt_prints(blocks, 0, BITS, some.view(np.uint64))
 
     return prints.select("f").mapInArrow(deal, DEALT).groupBy("block").applyInArrow(meeter(blocks, BITS), "a long, b long")
 

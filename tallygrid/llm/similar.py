@@ -38,8 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 RECALL, CHANCE = 0.999, 0.1
 #: Segments whose meets are connected before the rest meet.
 FIRST = 2
-#: Fingerprints that are meant to meet in one block of a segment, and the bits blocks are told apart by.
-BLOCK_PRINTS, DEPTH = 60_000, 10
+#: Fingerprints that are meant to meet in one block of a segment.
+BLOCK_PRINTS = 400_000
 #: Links that differ in more than this share of their bits are chance (unrelated sets differ in half).
 UNRELATED = 0.42
 #: Sets of a cluster in a chunk, and the bytes of sets it may hold.
@@ -68,6 +68,8 @@ class Layout:
                     break
         _, self.bits, self.half, self.segments = best
         self.lanes = -(-self.bits * self.segments // 64)
+        #: Blocks are told apart by so many bits.
+        self.depth = min(16, 6 + math.ceil(math.log2(max(1, n / BLOCK_PRINTS))))
 
     def cut(self, wide: np.ndarray) -> np.ndarray:
         """The segments of fingerprints (rows of lanes * 8 bytes) as numbers."""
@@ -129,11 +131,11 @@ def counter(layout: Layout, segments: range):
     """How many fingerprints of a partition have each lowest bits, for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((layout.segments, 1 << DEPTH), np.int64)
+        counts = np.zeros((layout.segments, 1 << layout.depth), np.int64)
         for batch in batches:
-            f = layout.cut(rows_of(batch.column(0))) & np.uint64((1 << DEPTH) - 1) if batch.num_rows else np.zeros((0, layout.segments), np.uint64)
+            f = layout.cut(rows_of(batch.column(0))) & np.uint64((1 << layout.depth) - 1) if batch.num_rows else np.zeros((0, layout.segments), np.uint64)
             for k in segments:
-                counts[k] += np.bincount(f[:, k].astype(np.int64), minlength=1 << DEPTH)
+                counts[k] += np.bincount(f[:, k].astype(np.int64), minlength=1 << layout.depth)
         k, low = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(low, pa.int32()), pa.array(counts[k, low])], names=["segment", "low", "n"])
 
@@ -150,7 +152,7 @@ def dealer(layout: Layout, segments: range, blocks: Blocks):
                 keys, nodes = (some.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 f = layout.cut(rows_of(some.column(2)))
                 for k in segments:
-                    yield dealt_prints(blocks, k, np.ascontiguousarray(f[:, k]), keys, nodes)
+                    yield dealt_prints(blocks, k, layout.bits, np.ascontiguousarray(f[:, k]), keys, nodes)
 
     return run
 
@@ -171,7 +173,7 @@ def clusters(prints: DataFrame, layout: Layout) -> DataFrame:
         if not len(segments):
             continue
         named = prints.withColumn("node", F.col("key")) if parts is None else prints.join(parts, prints["key"] == parts["node"], "left").select("key", F.coalesce("component", "key").alias("node"), "wide")
-        blocks = blocks_of(prints.select("wide").mapInArrow(counter(layout, segments), "segment int, low int, n long"), layout.half, BLOCK_PRINTS, DEPTH)
+        blocks = blocks_of(prints.select("wide").mapInArrow(counter(layout, segments), "segment int, low int, n long"), layout.half, BLOCK_PRINTS, layout.depth)
         met = named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT).groupBy("block").applyInArrow(meeter(blocks, layout.bits), "a long, b long").distinct()
         side = lambda name: prints.select(F.col("key").alias(name), F.col("wide").alias(f"w{name}"))
         new = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(related, "a long, b long")
@@ -312,5 +314,6 @@ def similar_documents(documents: DataFrame, words: int = WORDS, similarity: floa
 def without_similar(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with all their columns, of which one stays of each group; rows that repeat doc_id and text stay
     together."""
-    gone = similar_documents(documents, words, similarity).where("key <> first_key").select(F.col("key").alias("_gone")).distinct()
-    return documents.join(gone, F.xxhash64(documents["doc_id"], documents["text"]) == gone["_gone"], "left_anti")
+    gone = saved(similar_documents(documents, words, similarity).where("key <> first_key").select(F.col("key").alias("_gone")).distinct())
+    few = gone.count() <= BROADCAST_KEYS
+    return documents.join(F.broadcast(gone) if few else gone, F.xxhash64(documents["doc_id"], documents["text"]) == F.col("_gone"), "left_anti")

@@ -48,33 +48,46 @@ def canonical_words(df: DataFrame, text: str) -> DataFrame:
     """Adds plain (the words, lower-cased and without outer punctuation; one empty word for a null or blank text) and the
     template: canon and values (of the same length, the latter as written).
 
-    The lower-cased words come from a split of their own, and the word before from a shifted copy: a lambda that names
-    an array of the row may have that array computed again for each element. Most words need no regular expression.
+    Plain words come from one replacement in the whole text and a split, and words before and after from shifted copies: a
+    lambda that names an array of the row may have that array computed again for each element. Most words begin with a
+    small letter and need no regular expression.
     """
-    white = " \t\n\x0b\f\r"
+    white, space, outer = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+", r"[.,;:!?\"'()\[\]]*"
     bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(white))
-    df = df.withColumn("words", F.split(bare, r"[\x20\x09-\x0D]+")).withColumn("lows", F.split(F.lower(bare), r"[\x20\x09-\x0D]+"))
-    shifted = lambda c: F.concat(F.array(F.lit(None).cast("string")), F.slice(c, F.lit(1), F.size(c) - 1))
-    df = df.withColumn("trios", F.arrays_zip(F.col("words").alias("w"), F.col("lows").alias("low"), shifted("words").alias("before")))
-
-    def canon(t):
-        w, low, before = t["w"], t["low"], t["before"]
-        inner = F.btrim(low, F.lit(OUTER))
+    plain = F.split(F.regexp_replace(F.btrim(F.lower(bare), F.lit(OUTER)), outer + space + outer, " "), " ")
+    df = df.withColumn("words", F.split(bare, space)).withColumn("plain", plain)
+    none = F.lit(None).cast("string")
+    back = lambda k: F.concat(F.array(*[none] * k), F.slice("words", F.lit(1), F.size("words") - k))
+    after = F.concat(F.slice("plain", F.lit(2), F.size("plain")), F.array(none))
+    one_back, two_back = back(1), F.when(F.size("words") > 1, back(2)).otherwise(F.array(none))
+    df = df.withColumn("parts", F.arrays_zip(F.col("words").alias("w"), F.col("plain").alias("inner"), one_back.alias("before"), two_back.alias("before2"), after.alias("after")))
+    # What a number starts with sorts before small letters, but for the signs that are no ASCII.
+    starts = lambda x: (x < "a") | F.substring(x, 1, 1).isin("€", "£")
+    number = lambda x: starts(x) & F.rlike(x, F.lit(NUMBER))
+
+    def name(w, inner, before):
         first = F.substring(w, 1, 1)
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", "|")
-        name = (w != low) & inside & (F.lower(first) != first) & (F.substring(low, 2, 1000) == F.substring(w, 2, 1000)) & (F.length(inner) > 1)
-        # What a number starts with sorts before letters, but for the signs that are no ASCII.
-        starts = lambda x: (x < "a") | F.substring(x, 1, 1).isin("€", "£")
-        number = lambda x: starts(x) & F.rlike(x, F.lit(NUMBER))
-        unit = inner.isin(*UNITS) & number(before)
-        return F.when(number(low), "<num>").when(starts(low) & F.rlike(low, F.lit(GLUED)), "<qty>").when(unit, "<unit>").when(name, "<name>").otherwise(inner)
-
-    df = df.withColumn("plain", F.transform("lows", lambda x: F.btrim(x, F.lit(OUTER)))).withColumn("marks", F.transform("trios", canon))
-    after = F.concat(F.slice("marks", F.lit(2), F.size("marks")), F.array(F.lit(None).cast("string")))
-    parts = F.arrays_zip(F.col("marks").alias("c"), F.col("words").alias("w"), shifted("marks").alias("before"), after.alias("after"))
-    kept = F.filter(parts, lambda t: (t["c"] != "<unit>") & ((t["c"] != "<name>") | t["before"].isNull() | (t["before"] != "<name>")))
-    df = df.withColumn("kept", kept)
-    return df.withColumn("canon", F.transform("kept", lambda t: F.when((t["c"] == "<num>") & (t["after"] == "<unit>"), "<qty>").otherwise(t["c"]))).withColumn("values", F.transform("kept", lambda t: t["w"])).drop("words", "lows", "trios", "marks", "kept")
+        return inside & (F.lower(first) != first) & (F.substring(F.lower(w), 2, 1000) == F.substring(w, 2, 1000)) & (F.length(inner) > 1)
+
+    def part(t):
+        w, inner, before = t["w"], t["inner"], t["before"]
+        kind = lambda c: F.struct(c.alias("c"), w.alias("w"))
+        own = F.btrim(F.lower(before), F.lit(OUTER))
+        again = name(before, own, t["before2"]) & ~(own.isin(*UNITS) & F.coalesce(number(t["before2"]), F.lit(False)))
+        dropped = F.lit(None).cast("struct<c:string,w:string>")
+        unit = inner.isin(*UNITS) & F.coalesce(number(before), F.lit(False))
+        return (
+            F.when((w >= "a") & (w < "{") & ~unit, kind(inner))
+            .when(number(w), kind(F.when(t["after"].isin(*UNITS), "<qty>").otherwise("<num>")))
+            .when(starts(w) & F.rlike(F.lower(w), F.lit(GLUED)), kind(F.lit("<qty>")))
+            .when(unit, dropped)
+            .when(name(w, inner, before), F.when(F.coalesce(again, F.lit(False)), dropped).otherwise(kind(F.lit("<name>"))))
+            .otherwise(kind(inner))
+        )
+
+    df = df.withColumn("kept", F.filter(F.transform("parts", part), lambda x: x.isNotNull()))
+    return df.select("*", F.col("kept")["c"].alias("canon"), F.col("kept")["w"].alias("values")).drop("words", "parts", "kept")
 
 
 def windows(df: DataFrame, of: str, size: int, keep: list[str]) -> DataFrame:

@@ -75,11 +75,11 @@ def scored(findings: DataFrame) -> DataFrame:
     count as null."""
     col = lambda name, kind="string": F.col(name) if name in findings.columns else F.lit(None).cast(kind)
     haystack = _text(col("issue_type"), col("root_cause"), col("category"))
-    size = lambda name: F.coalesce(F.size(col(name, "array<string>")), F.lit(0)) if name in findings.columns else F.lit(0)
+    count = lambda name: F.coalesce(col(name, "long"), F.lit(0))
     parts = {
         "risk_decision_consequence": consequence(haystack, col("key_output_impact")),
         "risk_exposure": exposure(F.coalesce(col("material_occurrence_count", "int"), col("occurrence_count", "int"))),
-        "risk_propagation": propagation(size("affected_sheets"), size("affected_cells")),
+        "risk_propagation": propagation(count("sheet_count"), count("cell_count")),
         "risk_control_weakness": control_weakness(col("confidence", "int"), col("needs_retest", "boolean")),
     }
     confirmed = F.col("record_type") == "Confirmed Finding"
@@ -87,26 +87,57 @@ def scored(findings: DataFrame) -> DataFrame:
     return out.withColumn("risk_weighted_total", risk_total(*(F.col(k) for k in parts)))
 
 
-def root_causes(findings: DataFrame) -> DataFrame:
-    """One row for each check of a workbook: occurrences, affected cells in order (repeats kept) and sheets."""
-    place = F.struct("sheet", "row", "col", F.concat("sheet", F.lit("!"), F.coalesce("addr", F.concat(F.lit("Row"), F.col("row").cast("string")))).alias("at"))
-    cells = F.transform(F.array_sort(F.collect_list(F.when(F.col("sheet").isNotNull(), place))), lambda x: x["at"])
-    return findings.groupBy("workbook_id", "check_id").agg(
-        F.count("*").alias("occurrence_count"), F.count_if(F.col("severity") != "low").alias("material_occurrence_count"), cells.alias("affected_cells"), F.array_sort(F.collect_set("sheet")).alias("affected_sheets"),
-        F.first("severity").alias("severity"), F.first("confidence").alias("confidence"), F.first("urgency").alias("urgency"),
+#: Affected cells that a root cause shows; all of them are in affected_cells().
+SHOWN = 20
+
+
+def affected_cells(findings: DataFrame) -> DataFrame:
+    """The cells of each check of a workbook, one row for each finding with a sheet: position and cell (`sheet!address`)."""
+    cell = F.concat("sheet", F.lit("!"), F.coalesce("addr", F.concat(F.lit("Row"), F.col("row").cast("string"))))
+    return findings.where("sheet IS NOT NULL").select("workbook_id", "check_id", "sheet", "row", "col", cell.alias("cell"))
+
+
+def root_causes(findings: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """One row for each check of a workbook: occurrences, how many cells (repeats counted) and sheets they touch, the
+    first `shown` cells and sheets in order, and severity, confidence and urgency of the first finding by position.
+
+    Each task keeps no more than `shown` cells of a check, so a check that fires everywhere is one small row.
+    """
+    by = ["workbook_id", "check_id"]
+    first = F.struct(F.col("sheet").isNull().alias("last"), "sheet", "row", "col", "severity", "confidence", "urgency")
+    sums = findings.groupBy(*by).agg(F.count("*").alias("occurrence_count"), F.count_if(F.col("severity") != "low").alias("material_occurrence_count"), F.min(first).alias("first"))
+    cells = affected_cells(findings)
+    spot = cells.groupBy(*by, "sheet", "row", "col", "cell").agg(F.count("*").alias("n"))
+    sheets = spot.groupBy(*by, "sheet").agg(F.sum("n").alias("n"))
+    counts = sheets.groupBy(*by).agg(F.sum("n").alias("cell_count"), F.count("*").alias("sheet_count"))
+    some = _first_of(spot, by, ["sheet", "row", "col", "cell"], shown).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", "cell"))), lambda x: x["cell"]).alias("affected_cells"))
+    few = _first_of(sheets, by, ["sheet"], shown).groupBy(*by).agg(F.array_sort(F.collect_list("sheet")).alias("affected_sheets"))
+    out = sums
+    for more in (counts, some, few):
+        out = out.join(more, by, "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        *by, "occurrence_count", "material_occurrence_count", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cell_count", "sheet_count")),
+        *(F.coalesce(c, none).alias(c) for c in ("affected_cells", "affected_sheets")), "first.severity", "first.confidence", "first.urgency",
     )
 
 
+def _first_of(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group. Groups are first cut into 64 parts by a hash, so that a large one isn't one task."""
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    rows = rows.withColumn("_part", part).withColumn("_k", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_k") <= n)
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_part", "_k")
+
+
 def breakdown(findings: DataFrame) -> DataFrame:
     """Counts by priority with the grand total (priority null), and whether a priority is confirmed."""
     return findings.cube("priority").agg(F.count("*").alias("findings"), F.count_if(F.col("priority").isin(*CONFIRMED)).alias("confirmed"))
 
 
-def fingerprints(findings: DataFrame) -> DataFrame:
-    """One row for each check and affected cell, or for the check alone if it has no cell; the last of equal ones stays
-    (by label)."""
-    cells = F.when(F.size(F.coalesce("affected_cells", F.array().cast("array<string>"))) > 0, F.col("affected_cells"))
-    rows = findings.select("check_id", "label", "priority", "record_type", F.explode_outer(cells).alias("cell"))
+def fingerprints(findings: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row for each check of findings (check_id, label, priority, record_type) and affected cell of cells (check_id,
+    cell), or for the check alone if it has no cell; the last of equal ones stays (by label)."""
+    rows = findings.select("check_id", "label", "priority", "record_type").join(cells.select("check_id", "cell").distinct(), "check_id", "left")
     rows = rows.withColumn("fingerprint", F.when(F.col("cell").isNull(), F.col("check_id")).otherwise(F.concat_ws("::", "check_id", "cell")))
     return rows.groupBy("fingerprint").agg(F.max(F.struct("label", "check_id", "cell", "priority", "record_type")).alias("f")).select("fingerprint", "f.*")
 
@@ -182,10 +213,11 @@ def verdict(p1: Column, p2: Column, critical: Column, readiness: Column, approve
     )
 
 
-def top_blockers(findings: DataFrame, n: int = 5) -> DataFrame:
-    """The n findings that matter most: P1 and Critical Query first, then risk, key outputs, complexity, id."""
+def top_blockers(findings: DataFrame, n: int = 5, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The n findings that matter most: P1 and Critical Query first, then risk, key outputs, complexity, id, and the
+    columns `ties`."""
     rank = F.when(F.col("priority").isin("P1", "Critical Query"), 0).when(F.col("priority") == "P2", 1).when(F.col("priority") == "P3", 2).otherwise(3)
-    return findings.orderBy(rank, F.desc_nulls_last("risk_weighted_total"), F.desc_nulls_last("key_output"), F.desc_nulls_last("fscore"), "check_id").limit(n)
+    return findings.orderBy(rank, F.desc_nulls_last("risk_weighted_total"), F.desc_nulls_last("key_output"), F.desc_nulls_last("fscore"), "check_id", *ties).limit(n)
 
 
 def due(priority: Column, reported: Column) -> Column:

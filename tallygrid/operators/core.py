@@ -52,7 +52,7 @@ def unique_formulas(cells: DataFrame) -> DataFrame:
     return (
         firsts.withColumn("ufi", F.concat(F.lit("UF-"), F.lpad(F.row_number().over(order).cast("string"), 4, "0")))
         .withColumn("fscore", scoring.f_score(f))
-        .withColumns({"band": scoring.band(F.col("fscore")), "formula_class": scoring.formula_class(f), "hardcode": f.rlike(scoring.HARD_CODE_COUNTED), "drivers": scoring.drivers(f)})
+        .withColumns({"band": scoring.band(F.col("fscore")), "formula_class": scoring.formula_class(f), "hardcode": f.rlike(scoring.HARD_CODE_COUNTED), "explanation": scoring.explanation(f, scoring.band(F.col("fscore")))})
     )
 
 

@@ -1,13 +1,11 @@
 """Graphs of cells and sheets: reach, cycles, chains, taint.
 
 Each step is a join of a frontier with the edges; lineage is cut in the shared folder. Long chains of single links are
-followed by doubling, so a chain of n hops takes log2(n) joins.
+followed by doubling, so a chain of n hops takes log2(n) joins, be it a chain of links or a stretch of a larger graph.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +19,30 @@ DIVIDEND = r"(?i)\b(dividend|distribution|shareholder return|equity distribution
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one if there is none) and read again."""
+    """df written to the folder of spark.checkpoint.dir and read again; without one, to a folder of the warehouse, which
+    all executors share as well."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygrid-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
+#: Chains of single links up to so many hops are walked step by step.
+SHORT_CHAIN = 16
+
+
 def reach(edges: DataFrame, seeds: DataFrame, every: int = 5) -> DataFrame:
-    """node and wave (steps from the nearest seed) of all nodes that edges (src, dst) lead to from the seeds (node)."""
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    """node and wave (steps from the nearest seed) of all nodes that edges (src, dst) lead to from the seeds (node).
+
+    Where long chains of nodes with a single way on lie in the graph, each wave follows them to their ends by doubling;
+    the number of waves then is that of the branchings on a path.
+    """
+    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("wave", F.lit(0)))
+    jumps = _jumps(edges)
+    if jumps:
+        return _reach_by_jumps(edges, seen, jumps)
     frontier, wave = seen, 0
     while True:
         wave += 1
@@ -45,6 +55,44 @@ def reach(edges: DataFrame, seeds: DataFrame, every: int = 5) -> DataFrame:
             seen = cut(seen)
 
 
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """For nodes with a single way on: where 1, 2, 4, ... hops over such nodes lead (src, dst). None if no chain is over
+    SHORT_CHAIN hops. On a cycle of such nodes hops go round; more of them than nodes are never needed."""
+    single = edges.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("dst")).where("n = 1 AND src <> dst").select("src", "dst")
+    out, hops, n = [cut(single)], 1, None
+    while True:
+        last = out[-1]
+        onward = cut(last.join(last.select(F.col("src").alias("dst"), F.col("dst").alias("further")), "dst").select("src", F.col("further").alias("dst")))
+        hops *= 2
+        if onward.isEmpty():
+            return out if hops > SHORT_CHAIN else []
+        out.append(onward)
+        n = n or out[0].count()
+        if hops > n:
+            return out if hops > SHORT_CHAIN else []
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.min("wave").alias("wave"))
+
+
+def _reach_by_jumps(edges: DataFrame, seen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    branching = cut(edges.join(jumps[0].select("src"), "src", "left_anti"))
+    frontier = seen
+    while True:
+        for k, jump in enumerate(jumps):
+            sent = frontier.join(jump, frontier["node"] == jump["src"]).select(F.col("dst").alias("node"), (F.col("wave") + F.lit(1 << k)).alias("wave"))
+            frontier = cut(_nearest(frontier.union(sent)))
+        old = seen.withColumnRenamed("wave", "before")
+        frontier = cut(frontier.join(old, "node", "left").where("before IS NULL OR wave <= before").drop("before"))
+        seen = cut(_nearest(seen.union(frontier)))
+        step = _nearest(frontier.join(branching, frontier["node"] == branching["src"]).select(F.col("dst").alias("node"), (F.col("wave") + 1).alias("wave")))
+        old = seen.withColumnRenamed("wave", "before")
+        frontier = cut(step.join(old, "node", "left").where("before IS NULL OR wave < before").drop("before"))
+        if frontier.isEmpty():
+            return seen
+
+
 def component_of_cycle(edges: DataFrame) -> DataFrame:
     """node and cycle (its smallest node) of all nodes on cycles of edges (src, dst).
 

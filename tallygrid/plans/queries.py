@@ -133,9 +133,13 @@ def pii_email_scan(spark, sf):
     return hits.groupBy(F.col("row").alias("doc_id")).agg(F.count("*").alias("emails"))
 
 
-@query()
+_CARDS = r"""SELECT doc_id, regexp_replace(m, '[ -]', '', 'g') AS card FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d[ -]?){13,19}\b')) AS m FROM documents)"""
+
+
+@query(f"""SELECT doc_id, concat(left(card, 2), repeat('*', length(card) - 4), right(card, 2)) AS redacted FROM ({_CARDS}) WHERE length(card) BETWEEN 13 AND 19
+  AND list_sum(list_transform(range(0, length(card)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(card[length(card) - k] AS INT) WHEN CAST(card[length(card) - k] AS INT) >= 5 THEN 2 * CAST(card[length(card) - k] AS INT) - 9 ELSE 2 * CAST(card[length(card) - k] AS INT) END)) % 10 = 0""")
 def pii_luhn(spark, sf):
-    """Card numbers in texts, redacted; the check digit has no SQL form here."""
+    """Card numbers in texts, redacted; only those whose check digit fits."""
     cells = table(spark, sf, "documents").select(F.lit("w").alias("workbook_id"), F.lit("d").alias("sheet"), F.col("doc_id").alias("row"), F.lit(1).alias("col"), F.lit("text").alias("kind"), F.col("text").alias("txt"), F.lit(None).cast("string").alias("formula"))
     return predicates.personal_data(cells).where("what = 'card'").select(F.col("row").alias("doc_id"), "redacted")
 
@@ -183,17 +187,6 @@ def period_gap(spark, sf):
     return series.period_gaps(project(spark, sf, SERIES), ["user_id"], "d")
 
 
-@query("""WITH r AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_linestatus FROM lineitem), s AS (SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS d, l_linestatus AS v FROM r),
-  o AS (SELECT l_suppkey, d, min(v) AS v FROM s GROUP BY ALL), c AS (SELECT *, coalesce(CAST(v <> lag(v) OVER w AS INT), 0) AS changed FROM o WINDOW w AS (PARTITION BY l_suppkey ORDER BY d)),
-  p AS (SELECT *, sum(changed) OVER (PARTITION BY l_suppkey ORDER BY d) AS part FROM c)
-  SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE part = 0) AS before, min(CASE WHEN part = 1 THEN d END) AS change_at FROM p GROUP BY l_suppkey
-  HAVING count(*) >= 8 AND sum(changed) = 1 AND count(*) FILTER (WHERE part = 0) >= 3 AND count(*) - count(*) FILTER (WHERE part = 0) >= 3""")
-def regime_change(spark, sf):
-    """Suppliers whose line status changes once, for good."""
-    rows = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("d")).agg(F.min("l_linestatus").alias("v"))
-    return series.regime_changes(rows, ["l_suppkey"], "d", "v")
-
-
 @query(f"""WITH t AS (SELECT sheet, row_no, col_no, CAST(floor(log2(num)) AS INT) AS v FROM {_G}), n AS (SELECT sheet, row_no, v, count(*) AS n FROM t GROUP BY ALL),
   m AS (SELECT sheet, row_no, sum(n) AS total, max(n) AS most, arg_max(v, n) AS common FROM n GROUP BY ALL)
   SELECT t.sheet, t.row_no, t.col_no, t.v FROM t JOIN m ON t.sheet = m.sheet AND t.row_no = m.row_no WHERE total >= 4 AND most >= 3 AND most >= 0.7 * total AND v <> common""")
@@ -263,36 +256,6 @@ def subtotal_in_range(spark, sf):
     return ranges.covered(inner, totals).groupBy("id").agg(F.min("cell_row").alias("subtotal_row"))
 
 
-@query(f"""SELECT sheet, row_no, col_no FROM {_G} g WHERE col_no <= 6 AND NOT EXISTS (SELECT 1 FROM {_RECT} r WHERE r.sheet = g.sheet AND g.row_no BETWEEN r1 AND r2 AND g.col_no BETWEEN c1 AND c2)""")
-def redundant_inputs_range(spark, sf):
-    """Numbers that no rectangle covers."""
-    cells = ranges.numbers(grid_model(spark, sf)).where("col <= 6").drop("value")
-    hit = ranges.covered(_rects(spark, sf), cells).select(F.col("to_sheet").alias("sheet"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col")).distinct()
-    return cells.join(hit, ["sheet", "row", "col"], "left_anti").select("sheet", F.col("row").alias("row_no"), F.col("col").alias("col_no"))
-
-
-@query(f"""WITH refs AS (SELECT sheet, row_no, unnest(CASE template_no WHEN 7 THEN [concat('A', row_no), concat('B', row_no), 'C3'] WHEN 3 THEN ['A1', concat('B', row_no)] ELSE [] END) AS addr FROM {_F})
-  SELECT r.sheet, addr, count(*) AS refs FROM refs r WHERE NOT EXISTS (SELECT 1 FROM {_F} f WHERE f.sheet = r.sheet AND concat('C', f.row_no) = addr) GROUP BY ALL""")
-def blank_ref_antijoin(spark, sf):
-    """References to blank cells."""
-    from tallygrid.functions.addresses import address
-
-    m = formula_model(spark, sf)
-    some = m.refs.where(F.col("formula").rlike(r"^A\d+\*B\d+\+") | F.col("formula").rlike(r"^IFERROR\(A1/B\d+,0\)$")).where("kind = 'cell'")
-    some = some.select("workbook_id", "sheet", "row", "col", "to_sheet", F.col("r1").alias("to_row"), F.col("c1").alias("to_col")).distinct()
-    filled = m.cells.select("workbook_id", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"))
-    lost = some.join(filled, ["workbook_id", "to_sheet", "to_row", "to_col"], "left_anti")
-    return lost.groupBy("sheet", address(F.col("to_row"), F.col("to_col")).alias("addr")).agg(F.count("*").alias("refs"))
-
-
-@query("""SELECT c_nationkey, c_mktsegment, count(*) FILTER (WHERE c_acctbal > 0) AS positive, count(*) FILTER (WHERE c_acctbal < 0) AS negative FROM customer WHERE abs(c_acctbal) >= 1 GROUP BY ALL
-  HAVING count(*) FILTER (WHERE c_acctbal > 0) > 0 AND count(*) FILTER (WHERE c_acctbal < 0) > 0""")
-def sign_convention(spark, sf):
-    """Groups whose balances have both signs."""
-    rows = table(spark, sf, "customer").where("abs(c_acctbal) >= 1").groupBy("c_nationkey", "c_mktsegment").agg(F.count_if(F.col("c_acctbal") > 0).alias("positive"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
-    return rows.where("positive > 0 AND negative > 0")
-
-
 @query(f"""SELECT sheet, row_no, col_no, v FROM (SELECT g.sheet, g.row_no, g.col_no, round(num - 200000, 2) AS v, sum(CASE WHEN g.col_no - before - 1 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY g.sheet, g.row_no ORDER BY g.col_no) AS ended
   FROM (SELECT g.*, coalesce(lag(g.col_no) OVER (PARTITION BY g.sheet, g.row_no ORDER BY g.col_no), 1) AS before FROM {_G} g JOIN {_L} l ON g.sheet = l.sheet AND g.row_no = l.row_no WHERE l.txt = 'Closing cash') g) WHERE ended = 0 AND v < 0""")
 def negative_balance(spark, sf):
@@ -368,12 +331,12 @@ def risk_score(spark, sf):
     return g.withColumn("risk", algebra.risk_total(*parts).cast("int"))
 
 
-@query(f"""SELECT check_id, count(*) AS occurrence_count, count(*) FILTER (WHERE severity <> 'low') AS material_occurrence_count, count(DISTINCT sheet) AS sheets, count(*) AS cells FROM ({duck(FINDINGS)}) GROUP BY check_id""")
+@query(f"""SELECT check_id, count(*) AS occurrence_count, count(*) FILTER (WHERE severity <> 'low') AS material_occurrence_count, count(DISTINCT sheet) AS sheets, count(*) AS cells, min(sheet) AS first_sheet FROM ({duck(FINDINGS)}) GROUP BY check_id""")
 def root_cause_rollup(spark, sf):
     """One row for each check with its occurrences, cells and sheets."""
     f = project(spark, sf, FINDINGS).withColumns({"workbook_id": F.lit("w"), "row": F.lit(1), "col": F.lit(1), "addr": F.lit("A1")})
     r = algebra.root_causes(f)
-    return r.select("check_id", "occurrence_count", "material_occurrence_count", F.size("affected_sheets").cast("long").alias("sheets"), F.size("affected_cells").cast("long").alias("cells"))
+    return r.select("check_id", "occurrence_count", "material_occurrence_count", F.col("sheet_count").alias("sheets"), F.col("cell_count").alias("cells"), F.element_at("affected_sheets", 1).alias("first_sheet"))
 
 
 @query(f"""SELECT fingerprint, CASE WHEN in_current AND NOT in_prior THEN 'new' WHEN in_current AND prior_closed THEN 'regressed' WHEN in_current THEN 'still open' WHEN NOT prior_closed THEN 'closed' END AS state,
@@ -425,8 +388,7 @@ def top5_blockers(spark, sf):
     t = _typed(spark, sf)
     parts = (algebra.consequence(F.lower("category"), F.lit(None)), algebra.exposure(F.col("n")), algebra.propagation(F.lit(1), F.col("n")), algebra.control_weakness(F.col("confidence"), F.lit(None).cast("boolean")))
     t = t.withColumns({"risk_weighted_total": F.when(F.col("record_type") == "Confirmed Finding", algebra.risk_total(*parts)), "key_output": F.lit(False), "fscore": F.lit(0)})
-    rank = F.when(F.col("priority").isin("P1", "Critical Query"), 0).when(F.col("priority") == "P2", 1).when(F.col("priority") == "P3", 2).otherwise(3)
-    return t.orderBy(rank, F.desc_nulls_last("risk_weighted_total"), "check_id", "sheet", "category", "confidence").limit(5).select("check_id", "priority", "category", "sheet")
+    return algebra.top_blockers(t, ties=("sheet", "category", "confidence")).select("check_id", "priority", "category", "sheet")
 
 
 @query("""SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) + CASE WHEN o_orderpriority LIKE '1%' THEN 7 WHEN o_orderpriority LIKE '2%' THEN 30 ELSE 90 END AS due_on,
@@ -450,20 +412,6 @@ def duplicate_sheet_selfjoin(spark, sf):
     return predicates.duplicate_sheets(sheets).drop("workbook_id")
 
 
-@query(f"""WITH k AS (SELECT sheet, CASE template_no WHEN 0 THEN concat(sheet, '!A', row_no, ':B', row_no) WHEN 14 THEN concat(sheet, '!A1:A9') WHEN 23 THEN concat(sheet, '!C2:C', row_no) END AS ranges FROM {_F} WHERE template_no IN (0, 14, 23))
-  SELECT 'SUM' AS fn, ranges, count(DISTINCT sheet) AS sheets, count(*) AS cells FROM k GROUP BY ranges HAVING count(DISTINCT sheet) >= 2""")
-def dup_calc_signature(spark, sf):
-    """Aggregates of the same ranges on several sheets; ranges without a sheet are those of the own one."""
-    return ranges.duplicate_calculations(formula_model(spark, sf)).select("fn", "ranges", "sheets", "cells")
-
-
-@query("""SELECT owners, count(*) AS components FROM (SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS owners, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey) WHERE n >= 2 GROUP BY owners""")
-def double_count(spark, sf):
-    """Components that several totals own, by set of owners."""
-    o = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("o")).where(F.size("o") >= 2)
-    return o.groupBy(F.array_join("o", ",").alias("owners")).agg(F.count("*").alias("components"))
-
-
 @query("""WITH a AS (SELECT * FROM (VALUES ('Revenue', 'revenue'), ('Debt', 'debt'), ('Debt', 'interest'), ('Tax', 'tax'), ('Text', 'the ')) AS t(area, kw)),
   m AS (SELECT DISTINCT area, doc_id FROM a JOIN documents ON contains(lower(text), kw)) SELECT a.area, count(DISTINCT doc_id) AS findings FROM (SELECT DISTINCT area FROM a) a LEFT JOIN m USING (area) GROUP BY a.area""")
 def assumption_register(spark, sf):
@@ -494,16 +442,6 @@ def sheet_keywords(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", "n_name", text.any_keyword(F.col("n_name"), ("united", "kingdom")).alias("hit"))
 
 
-@query("""WITH d AS (SELECT o_custkey, o_orderkey % 24 AS c, max(o_totalprice) AS v FROM orders WHERE o_orderpriority < '3' GROUP BY ALL), r AS (SELECT o_custkey, o_orderkey % 24 AS c, min(o_totalprice) AS cover FROM orders WHERE o_orderpriority >= '3' GROUP BY ALL)
-  SELECT o_custkey, c, round(v, 2) AS paid, round(cover, 2) AS cover FROM d JOIN r USING (o_custkey, c) WHERE cover / 100000 < 1.0""")
-def distribution_gate(spark, sf):
-    """Distributions in periods whose ratio is below 1 (H1)."""
-    o = table(spark, sf, "orders").withColumn("c", F.col("o_orderkey") % 24)
-    d = o.where("o_orderpriority < '3'").groupBy("o_custkey", "c").agg(F.max("o_totalprice").alias("v"))
-    r = o.where("o_orderpriority >= '3'").groupBy("o_custkey", "c").agg(F.min("o_totalprice").alias("cover"))
-    return d.join(r, ["o_custkey", "c"]).where("cover / 100000 < 1.0").select("o_custkey", "c", F.round("v", 2).alias("paid"), F.round("cover", 2).alias("cover"))
-
-
 @query(f"""SELECT CAST(sum(n) AS BIGINT) AS formula_cells, CAST(sum(chars + length(sheet) + 4) AS BIGINT) AS characters, CAST(round(sum(chars + length(sheet) + 4) / 3) AS BIGINT) AS tokens, round(sum(chars + length(sheet) + 4) / 3) <= 780000 AS fits
   FROM (SELECT sheet, count(*) AS n, sum(length(concat('C', row_no)) + 3 + length(formula) + 1) AS chars FROM {_F} GROUP BY sheet)""")
 def token_estimate(spark, sf):

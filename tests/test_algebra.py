@@ -23,8 +23,8 @@ def test_risk_parts(spark):
 
 
 def test_fingerprints_and_runs(spark):
-    found = spark.createDataFrame([("A", "l", "P1", "x", ["S!A1", "S!B2"]), ("B", "l", "P2", "x", [])], "check_id string, label string, priority string, record_type string, affected_cells array<string>")
-    prints = algebra.fingerprints(found)
+    found = spark.createDataFrame([("A", "l", "P1", "x"), ("B", "l", "P2", "x")], "check_id string, label string, priority string, record_type string")
+    prints = algebra.fingerprints(found, spark.createDataFrame([("A", "S!A1"), ("A", "S!B2"), ("A", "S!B2")], "check_id string, cell string"))
     assert {r["fingerprint"] for r in prints.collect()} == {"A::S!A1", "A::S!B2", "B"}
     none = spark.createDataFrame([], "fingerprint string, status string, times_closed int")
     first = algebra.cross_run(prints, none)
@@ -65,3 +65,22 @@ def test_due_dates(spark):
     log = report.issue_log(df, "2026-01-01")
     assert [str(r["target_date"]) for r in log.collect()] == ["2026-01-08", "2026-01-31", "2026-04-01"]
     assert [r["timing"] for r in report.remediation(log, "2026-01-25").collect()] == ["Overdue", "Due Soon"]
+
+
+def test_root_causes_are_bounded_and_ordered(spark):
+    rows = [("w", "A", "S", k, 1, f"A{k}", "low" if k % 2 else "high", 90 - k, "N") for k in range(1, 60)] + [("w", "A", "R", 7, 2, None, "high", 50, "X"), ("w", "B", None, None, None, None, "info", 10, "I"), ("w", "A", "S", 3, 1, "A3", "high", 1, "N")]
+    found = spark.createDataFrame(rows, "workbook_id string, check_id string, sheet string, row int, col int, addr string, severity string, confidence int, urgency string")
+    got = {r["check_id"]: r for r in algebra.root_causes(found, shown=4).collect()}
+    a, b = got["A"], got["B"]
+    assert (a["occurrence_count"], a["material_occurrence_count"], a["cell_count"], a["sheet_count"]) == (61, 31, 61, 2)
+    assert a["affected_cells"] == ["R!Row7", "S!A1", "S!A2", "S!A3"] and a["affected_sheets"] == ["R", "S"] and (a["severity"], a["confidence"], a["urgency"]) == ("high", 50, "X")
+    assert (b["occurrence_count"], b["cell_count"], b["sheet_count"], b["affected_cells"]) == (1, 0, 0, [])
+
+
+def test_top_blockers_and_scores(spark):
+    rows = [("A", "P2", 20, True, 3, "S", 1, 1), ("B", "P1", 12, False, 9, "S", 1, 2), ("C", "Critical Query", None, True, 1, "S", 2, 1), ("D", "P1", 12, True, 1, "S", 3, 1), ("E", "Query", 30, True, 1, "S", 4, 1)]
+    found = spark.createDataFrame(rows, "check_id string, priority string, risk_weighted_total int, key_output boolean, fscore int, sheet string, row int, col int")
+    assert [r["check_id"] for r in algebra.top_blockers(found, 4).collect()] == ["D", "B", "C", "A"]
+    index = spark.createDataFrame([("w", "S", 1, 2, 14, "Critical")], "workbook_id string, sheet string, row int, col int, fscore int, band string")
+    scored = algebra.with_scores(found.drop("fscore").withColumn("workbook_id", F.lit("w")), index).collect()
+    assert {r["check_id"]: r["band"] for r in scored} == {"A": None, "B": "Critical", "C": None, "D": None, "E": None}

@@ -279,3 +279,40 @@ def test_samples(spark):
     assert {(r["sha256"], r["n"]) for r in before.collect()} == {("h1", 2), ("h2", 0)}
     after = before.withColumn("n", F.col("n") + 1).where("sha256 = 'h1'")
     assert {(r["sha256"], r["what"]) for r in sampling.snapshot_changes(before, after).collect()} == {("h1", "changed"), ("h2", "gone")}
+
+
+def test_reach_follows_long_chains(spark):
+    """Chains, a side entrance, a loop at the end and a branching, against a plain walk."""
+    from tallygrid.operators import graph
+
+    edges = [(k, k + 1) for k in range(200)] + [(500, 150), (500, 501), (501, 502)] + [(k, k + 1) for k in range(502, 540)] + [(540, 500)] + [(600 + k, 600 + (k + 1) % 40) for k in range(40)] + [(200, 900), (200, 901)]
+    seeds = [0, 180, 530, 610]
+    want, front, wave = dict.fromkeys(seeds, 0), seeds, 0
+    while front:
+        wave += 1
+        front = [x for x in {d for s, d in edges if s in set(front)} if x not in want]
+        want |= dict.fromkeys(front, wave)
+    got = graph.reach(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(x,) for x in seeds], "node int"))
+    assert {r["node"]: r["wave"] for r in got.collect()} == want
+    assert len(graph._jumps(spark.createDataFrame(edges, "src int, dst int"))) > 5
+
+
+def test_explanations(spark):
+    from tallygrid.functions import scoring
+
+    rows = [("A1+B1", "Low", "Low complexity — straightforward formula."), ("IF(A1>2,1,0)", "Low", "Low complexity: conditional branching."), (None, "Low", "Low complexity — straightforward formula."), ("IF(A1,IF(A2,IF(A3,OFFSET(A1,1,0),0),0),0)+[B.xlsx]S!A1", "High", "High complexity: 3 nested conditional branches, dynamic reference (OFFSET/INDIRECT) — difficult to trace, external workbook reference — broken-link risk.")]
+    df = spark.createDataFrame(rows, "f string, band string, want string")
+    assert df.where(scoring.explanation(F.col("f"), F.col("band")) != F.col("want")).count() == 0
+
+
+def test_report_tabs(spark):
+    from tallygrid.plans import report
+
+    found = spark.createDataFrame([("w", "T0-CHAIN", "P1"), ("w", "T0-X", "P2"), ("v", "T0-X", "Query")], "workbook_id string, check_id string, priority string")
+    got = {r["workbook_id"]: (r["p1"], r["p2"], r["chain"], r["verdict"]) for r in report.headline(found, 90, False).collect()}
+    assert got == {"w": (1, 1, True, "internal only"), "v": (0, 0, False, "lender")}
+    unique = spark.createDataFrame([("a", 3), ("b", 9), ("c", 9)], "ufi string, fscore int")
+    assert [r["ufi"] for r in report.formula_review(unique, 2).collect()] == ["b", "c"]
+    edges = spark.createDataFrame([("w", "S", "T", 5, "Low"), ("w", "S", "U", 900, "High"), ("w", "Z", "A", 901, "High")], "workbook_id string, target string, precedent string, link_count long, risk string")
+    assert [r["precedent"] for r in report.dependency_tab(edges, 2).collect()] == ["U", "T"]
+    assert report.score_rules(spark).count() == len(report.SCORE_RULES)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the session names in spark.checkpoint.dir, else a temporary one."""
+    """The folder that all executors share: what the session names in spark.checkpoint.dir, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = at.get() if at.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallygrid-")
+        named = at.get() if at.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -38,7 +38,7 @@ LONGEST = 4 << 20
 #: COMMONER times as many on into single windows.
 HOT, COMMONER, NARROW = 4096, 64, 9
 #: Runs whose anchors are meant to meet in one bucket, and bytes of pieces that are sorted at once.
-RUNS, SORTED_BYTES = 8, 8 << 20
+RUNS, SORTED_BYTES = 8, 2 << 20
 #: The lowest bits of an anchor's hash carry the power of two of its count on the way out, and how common it is back.
 TAG = np.uint64(15)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

@@ -1,8 +1,8 @@
 """Document fingerprints: an exact digest of canonical text.
 
 Canonical text: NFKC, case-folded, NFKC again, runs of white space as one space, none at the ends. Its fingerprint is
-the 128-bit XXH3 in hex. Texts whose fingerprints agree are compared byte by byte; should different canonical texts
-share one, each gets the fingerprint with its SHA-256 appended.
+the 128-bit XXH3 in hex. Texts whose fingerprints agree are compared byte by byte, edited texts by their SHA-256 with
+these; should different canonical texts share a fingerprint, each gets it with its SHA-256 appended.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tallygrid.llm.common import dealt_by_ranges, saved, table, unpacked
 
 #: Up to so many copies (ids and fingerprints, about 100 bytes each) are broadcast for the byte comparison.
 BROADCAST_COPIES = 500_000
+#: Up to so many shared fingerprints are broadcast; there are none but by chance.
+BROADCAST_CLASHES = 100_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -81,14 +83,28 @@ def compare_run(rows: pa.Table) -> pa.Table:
         half = len(text) // 2
         edited = text[: len(text) - half] + follower[:half]
         canon_edited, canon_next = canonical(edited) if edited != text else canon, canonical(follower)
-        out.append((ids[k], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(canon), digest(canon_edited), float(canon == canon_edited), float(canon == canon_next)))
+        out.append((ids[k], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(canon), digest(canon_edited), float(canon == canon_edited), float(canon == canon_next), hashlib.sha256(canon).hexdigest(), hashlib.sha256(canon_edited).hexdigest()))
         text, canon = follower, canon_next
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
     cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon_sha256 string, canon_edited_sha256 string"
+
+
+def told_apart(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows with fingerprints of their own where they are among the shared ones or stand for different canonical texts,
+    by their SHA-256, anywhere in rows."""
+    both = rows.select("fingerprint", F.col("canon_sha256").alias("sha")).union(rows.select("edited_fingerprint", "canon_edited_sha256"))
+    differ = both.groupBy("fingerprint").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("fingerprint")
+    clash = saved(shared.select("fingerprint").union(differ).distinct())
+    few = clash.count() <= BROADCAST_CLASHES
+    for name, sha in (("fingerprint", "canon_sha256"), ("edited_fingerprint", "canon_edited_sha256")):
+        side = clash.select(F.col("fingerprint").alias("clash"))
+        rows = rows.join(F.broadcast(side) if few else side, F.col(name) == F.col("clash"), "left")
+        rows = rows.withColumn(name, F.when(F.col("clash").isNotNull(), F.concat(name, F.lit("-"), sha)).otherwise(F.col(name))).drop("clash")
+    return rows.drop("canon_sha256", "canon_edited_sha256")
 
 
 def compare_with_edits(documents: DataFrame) -> DataFrame:
@@ -96,14 +112,13 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
     beginning of the next document's), and whether they and the next document's are the same (1 or 0).
 
     Rows are in order of doc_id (null first), then text (null first); after the last comes the first. A null text
-    counts as an empty one. Other columns are ignored.
+    counts as an empty one. All rows of one doc_id (and all with none) are worked through together. Other columns are
+    ignored.
     """
     documents = documents.select("doc_id", "text")
     runs = dealt_by_ranges(documents, "doc_id", neighbours=True)
     rows = saved(runs.groupBy("run").applyInArrow(compare_run, SCHEMA))
-    clash = collisions(documents, rows.select("doc_id", "fingerprint")).withColumnsRenamed({"doc_id": "clash_id", "fingerprint": "clash"})
-    rows = rows.join(clash, rows["doc_id"].eqNullSafe(clash["clash_id"]) & (rows["fingerprint"] == clash["clash"]), "left")
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.coalesce("own", "fingerprint").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next")
+    return told_apart(rows, collisions(documents, rows.select("doc_id", "fingerprint")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

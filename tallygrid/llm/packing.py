@@ -4,8 +4,10 @@ Pieces (documents, or parts of long ones) are placed by falling length, each int
 and holds nothing of the same source or of the same duplicate cluster. Open bins are ordered by what room is left and
 carry a bitmap of sources and one of clusters; the search goes up from the tightest bin until one is compatible.
 
+Duplicate clusters are those of SimHash fingerprints (see simhash.py): near copies never share a bin.
+
 Packing is done in shards: a piece's shard is a hash of its document and number, so every shard gets its share of a
-hot source or of a large cluster, and shards have about SHARD_PIECES pieces whatever the size of the input.
+hot source or of a large cluster, and shards have about SHARD_PIECES pieces however many pieces a document makes.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import table
+from tallygrid.llm import simhash
+from tallygrid.llm.common import saved, table
+from tallygrid.llm.components import connected_components
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
+#: Up to so many fingerprints of near copies (16 bytes each) are broadcast.
+BROADCAST_PRINTS = 2_000_000
 SCHEMA = "doc_id long, piece int, source string, n_words int, bin_id long, bin_offset int, bin_used int"
 
 
@@ -66,21 +72,30 @@ def shard_packer(capacity: int):
     return run
 
 
+def counted(documents: DataFrame) -> DataFrame:
+    """doc_id, source, n (words) and cluster (null without words) of each row; each text is read once."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = saved(simhash.with_fingerprints(documents.select("doc_id", F.col("source").cast("string").alias("source"), n.alias("n"), "text")))
+    near = connected_components(simhash.links(rows.where("n > 0").select("f").distinct()))
+    few = near.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS
+    rows = rows.join(F.broadcast(near) if few else near, F.col("f") == F.col("node"), "left")
+    return rows.select("doc_id", "source", "n", F.when(F.col("n") > 0, F.coalesce("component", "f")).alias("cluster"))
+
+
 def pack(documents: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """The pieces of every row of documents (doc_id, text, source): doc_id, piece (from 0), source, n_words, bin_id,
     bin_offset (words before it in its bin) and bin_used.
 
     A text of more than capacity words (runs of anything but ASCII white space) is cut into pieces of capacity words and
-    a rest. A null or empty text is one piece of no words. Pieces of one source, or of equal texts, never share a bin;
-    a null source or text has no conflict. The order of equal pieces is by doc_id (null last), piece, source.
+    a rest. A null or empty text is one piece of no words. Pieces of one source, or of near copies, never share a bin; a
+    null source or a text without words has no conflict. The order of equal pieces is by doc_id (null last), piece,
+    source.
     """
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = documents.select("doc_id", "source", F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("blank"), n.alias("n"))
-    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))
-    rows = rows.select("doc_id", "source", F.when(~F.col("blank"), F.col("hash")).alias("cluster"), "n", F.explode_outer(pieces).alias("piece"))
-    rows = rows.select("doc_id", "piece", F.col("source").cast("string").alias("source"), "cluster", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("n_words"))
-    size = documents.count()
-    shards = max(1, -(-size // shard_pieces))
+    rows = saved(counted(documents))
+    many = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
+    shards = max(1, -(-(rows.agg(F.sum(many)).first()[0] or 0) // shard_pieces))
+    rows = rows.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0), many - 1)).alias("piece"))
+    rows = rows.select("doc_id", "piece", "source", "cluster", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("n_words"))
     return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInArrow(shard_packer(capacity), SCHEMA)
 
 

@@ -65,22 +65,21 @@ def fingerprint(hashes: list[int], bits_of: np.ndarray) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprinter(words: int):
+def with_fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents with f in place of their text."""
+    others = [c for c in documents.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, bits_of = lower_table(), bit_table()
         for batch in batches:
             out = []
-            for _, _, data, at in chunks(batch.column(1)):
+            for _, _, data, at in chunks(batch.column(len(others))):
                 raw, at = data.tobytes(), at.tolist()
                 out += [fingerprint(shingle_hashes(raw[a:b], words, lower), bits_of) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "f"])
-
-    return run
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(out, np.uint64).view(np.int64))], names=[*others, "f"])
 
-def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and f (the 64 bits as a long) of each row; 0 for a text without words."""
-    return documents.select("doc_id", "text").mapInArrow(fingerprinter(words), "doc_id long, f long")
+    schema = documents.select(*others).schema.add("f", "long")
+    return documents.select(*others, "text").mapInArrow(run, schema)
 
 
 def masks(bits: int, most: int) -> np.ndarray:
@@ -254,7 +253,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    rows = saved(fingerprints(documents, words))
+    rows = saved(with_fingerprints(documents.select("doc_id", "text"), words))
     firsts = saved(rows.groupBy("f").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(firsts, radius))
     named = firsts.join(parts, firsts["f"] == parts["node"], "left").select("f", "first", F.coalesce("component", "f").alias("component"))

@@ -576,6 +576,17 @@ def test_packing(docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_near_copies_and_long_texts_in_bins(spark):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*words, *["end"] * (k % 3)]), f"s{k}") for k in range(12)] + [(100, " ".join(f"x{k}" for k in range(9000)), None), (101, "", "a"), (102, None, None)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=300, shard_pieces=8).toPandas()
+    fingers = {k: slow_fingerprint(t, 4) for k, t, _ in rows}
+    groups = dict(zip(fingers, slow_components(fingers.values(), 4), strict=True))
+    some = packed[packed.n_words > 0]
+    assert some.assign(g=some.doc_id.map(groups)).groupby(["bin_id", "g"]).size().max() == 1
+    assert len(packed[packed.doc_id == 100]) == 30 and len(packed) == 44 and packed.bin_id.map(lambda x: x >> 32).nunique() > 3
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     placed = packing.best_fit([6, 5, 4, 3, 2], ["a", "b", "a", "c", "a"], [1, 2, 3, 3, 4], 10)
     assert placed == [(0, 0), (1, 0), (1, 5), (0, 6), (2, 0)]
@@ -609,6 +620,13 @@ def test_canonical_fingerprints(docs, odd, empty):
     assert fingerprints.compare_with_edits(empty).count() == 0
 
 
+def test_edited_texts_that_share_a_fingerprint_are_told_apart(spark):
+    columns = "doc_id long, fingerprint string, edited_fingerprint string, canon_sha256 string, canon_edited_sha256 string"
+    rows = spark.createDataFrame([(1, "f", "g", "a", "b"), (2, "g", "h", "c", "d"), (3, "k", "k", "e", "e")], columns)
+    got = {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"]) for r in fingerprints.told_apart(rows, spark.createDataFrame([], "fingerprint string")).collect()}
+    assert got == {1: ("f", "g-b"), 2: ("g-c", "h"), 3: ("k", "k")}
+
+
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert fingerprints.canonical("Ｆoo  BAR\n") == b"foo bar"
     rows = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b")], "doc_id long, text string")

@@ -2,7 +2,8 @@
 
 A template is text with the markup `<<optional>> ... <<end>>` (may be left out) and `<<any:N>>` (up to N words of any
 kind). It compiles into an automaton over words; a text is accepted where the mandatory words stand exactly in order.
-Only words that can begin a template start a run of its automaton.
+Only words that can begin a template start a run of its automaton, and only in texts that hold its longest mandatory
+word. license_texts.py has the templates: whole licenses and the notices that files carry.
 """
 
 from __future__ import annotations
@@ -15,26 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm.common import chunks, table
+from tallygrid.llm.license_texts import TEMPLATES
 
 #: Fixed values of the contract: (phrase, label).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, template). Wordings are those of common notices, shortened to what they must contain.
-TEMPLATES = (
-    ("mit", "<<optional>>released<<end>> under the <<optional>>terms of the<<end>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license <<optional>>version <<any:2>><<end>>"),
-    ("apache", "apache license version <<any:2>> <<optional>>january 2004<<end>>"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "licensed under the <<optional>>gnu<<end>> general public license <<optional>>version <<any:2>><<end>>"),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<<end>> general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("cc-by-nc", "<<optional>>licensed under<<end>> cc by nc <<optional>>sa<<end>> <<any:2>>"),
-    ("cc-by-sa", "<<optional>>licensed under<<end>> cc by sa <<any:2>>"),
-    ("cc-by", "licensed under <<optional>>a<<end>> creative commons attribution <<any:3>> license"),
-    ("copyright", "copyright <<optional>>c<<end>> <<any:8>> all rights reserved"),
-    ("mpl", "subject to the terms of the mozilla public license"),
-    ("public-domain", "released into the public domain"),
-)
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -162,7 +147,7 @@ def scan_licenses(documents: DataFrame, phrases=PHRASES, templates=TEMPLATES) ->
     Words: A-Z lower-cased, runs of letters, digits and non-ASCII characters. n_base counts all places of phrases,
     first_word and last_word are their smallest and largest start (null if there is none). labels adds those of the
     templates. score: 1 if a template accepts a place, 0.5 if only phrases stand, else 0. A null or empty text has no
-    words and empty labels.
+    words and empty labels. Rows that repeat give a row each; texts are read whole, very long ones in a chunk of their own.
     """
     return documents.select("doc_id", "text").mapInArrow(scanner(phrases, templates), SCHEMA)
 

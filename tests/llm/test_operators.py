@@ -400,6 +400,64 @@ def test_license_templates():
         licenses.Automaton("x", "<<optional>>a<<end>>")
 
 
+def slow_lengths(parts, words, at):
+    """All lengths of matches of template parts at a word, by trying everything."""
+    if not parts:
+        return {0}
+    head, rest = parts[0], parts[1:]
+    out = set()
+    if isinstance(head, list):  # optional
+        out |= slow_lengths(rest, words, at) | slow_lengths([*head, *rest], words, at)
+    elif isinstance(head, int):  # up to so many words
+        for n in range(min(head, len(words) - at) + 1):
+            out |= {n + x for x in slow_lengths(rest, words, at + n)}
+    elif at < len(words) and words[at] == head:
+        out |= {1 + x for x in slow_lengths(rest, words, at + 1)}
+    return out
+
+
+def slow_parts(tokens):
+    out = []
+    while tokens:
+        t = tokens.pop(0)
+        if t == "<<end>>":
+            break
+        out.append(slow_parts(tokens) if t == "<<optional>>" else int(t[6:-2]) if t.startswith("<<any:") else t)
+    return out
+
+
+def test_license_automata_against_trying_everything():
+    """Each template on texts made from it: with and without optional regions, with other words, with a word changed."""
+    rng = np.random.default_rng(11)
+    for label, template in [*licenses.TEMPLATES, ("x", "a <<optional>>b <<any:2>><<end>> <<optional>>c<<end>> d <<any:3>> d")]:
+        tokens = re.findall(r"<<[a-z]+(?::\d+)?>>|[^\s<]+", template)
+        parts = slow_parts(list(tokens))
+
+        def made(parts):
+            out = []
+            for p in parts:
+                out += ([] if rng.random() < 0.5 else made(p)) if isinstance(p, list) else [f"n{k}" for k in range(rng.integers(0, p + 2))] if isinstance(p, int) else [p]
+            return out
+
+        automaton = licenses.Automaton(label, template)
+        for k in range(12):
+            words = ["before", *made(parts), "d", "after"]
+            if k % 3 == 2:
+                words[rng.integers(1, len(words))] = "other"
+            for at in range(min(3, len(words))):
+                assert automaton.match(words, at) == max(slow_lengths(parts, words, at), default=0)
+
+
+def test_whole_licenses_are_found(spark):
+    texts = {label: re.sub(r"<<any:\d+>>", "Jane Doe", re.sub(r"<<optional>>|<<end>>", "", t)) for label, t in reversed(licenses.TEMPLATES)}
+    rows = spark.createDataFrame([(k, f"Some file. {t.upper()}, and more", "en") for k, t in enumerate(texts.values())], "doc_id long, text string, labels string")
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.scan_licenses(rows).collect()}
+    for k, label in enumerate(texts):
+        assert label in got[k][0] and got[k][1] == 1.0
+    broken = spark.createDataFrame([(1, texts["bsd-3-clause"].replace("endorse", "praise"))], "doc_id long, text string")
+    assert licenses.scan_licenses(broken).first()["labels"] == "bsd"
+
+
 def test_url_filters(spark, small, duck):
     got, want = same_rows(url_filters.query(spark, small), duck, url_filters.ORACLE_SQL)
     assert got == want

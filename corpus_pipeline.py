@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import decontaminate, packing, quality, similar, suffix_dedup
-from tallygrid.llm.common import shared_dir, table
+from tallygrid.llm.common import drop_folder, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingle sets at least 0.8 similar."""
+    """One document of each group of near-duplicates, found by SimHash ball hashing and checked: five-word shingle sets at
+    least 0.8 similar."""
     return similar.without_similar(docs)
 
 
@@ -47,9 +48,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages in turn, each written to the shared folder and read again; what a stage has read goes once it is done.
+
+    A null text counts as an empty one, and is an empty one from the repeats on. Texts without words are scored like
+    others and are copies of each other in near_duplicates. Of equal doc_ids with different texts each stays on its
+    own; rows that repeat doc_id and text stay or go together, and a null doc_id is a value like others but comes first.
+    Ties are broken by doc_id, then by a hash of doc_id and text. Other columns of documents go along until packing,
+    whatever their names. Empty tables give an empty result with the same columns; without labels nothing is rejected.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        at = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            drop_folder(spark, before)
+        before = at
     return docs

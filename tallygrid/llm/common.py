@@ -35,6 +35,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32(column as text) mod n; null if the column is null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -75,6 +75,37 @@ def test_language_identification(spark, docs, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify_languages(odd, None).collect()} == {"und"}
 
 
+def test_language_model_against_plain_loops(docs):
+    """Counts, log-odds, decoding and the flag of ambiguity, worked out without the library's array code."""
+    taught = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    model, size = language_id.train(taught), language_id.DIMS
+
+    def codes(text):
+        low = [b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode()]
+        words = [low[k] << 16 | low[k + 1] << 8 | low[k + 2] for k in range(len(low) - 2)]
+        return [(w * 2654435761 & 0xFFFFFFFF) >> 16 for w in words if w != 0x202020]
+
+    counts = {x: np.zeros(size) for x in model.langs}
+    for r in taught.collect():
+        if r["text"] and r["lang"]:
+            np.add.at(counts[r["lang"]], codes(r["text"]), 1)
+    share = {x: (n + 0.5) / (n.sum() + 0.5 * size) for x, n in counts.items()}
+    for b in range(model.code.shape[1]):
+        side = [np.mean([share[x] for x, word in zip(model.langs, model.code, strict=True) if word[b] == s], axis=0) for s in (1, -1)]
+        assert np.allclose(model.weights[:size, b], np.log(side[0] / side[1]), atol=1e-4)
+    got = {r["doc_id"]: r for r in language_id.identify_languages(docs, model).collect()}
+    for r in docs.limit(25).collect():
+        if not codes(r["text"] or ""):
+            continue
+        margin = np.mean([model.weights[c] for c in codes(r["text"])], axis=0) / model.scale
+        loss = [sum(t * np.exp(-np.clip(m, -4, 4) * w) for m, w, t in zip(margin, word, trust, strict=True)) for word, trust in zip(model.code, model.trust, strict=True)]
+        p = np.exp(-language_id.SHARPNESS * (np.array(loss) - min(loss)))
+        p = np.sort(p / p.sum())[::-1]
+        own = got[r["doc_id"]]
+        if own["lang_pred"] != "und":
+            assert abs(own["score"] - p[0]) < 1e-3 and (own["ambiguous"] == (p[0] - p[1] < 0.1) or abs(p[0] - p[1] - 0.1) < 1e-3)
+
+
 def test_codebooks_tell_languages_apart():
     for k in (2, 3, 5, 9, 30):
         code = language_id.codebook(k)
@@ -362,6 +393,25 @@ def test_quality(spark, odd, empty):
     assert quality.keep_good(odd, none).columns == odd.columns and quality.keep_good(odd, none).count() == len(ODD)
 
 
+def test_quality_model_against_plain_numpy(spark):
+    """Summed normal equations, ridge weights and calibration; features against the Gaussian kernel they stand for."""
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.training_rows(quality.described(docs), labels)
+    model, some = quality.train(rows), rows.toPandas()
+    x, y, kept = np.array(some.stats.tolist(), np.float64), some.label.to_numpy(float), some.calibrate.to_numpy(bool)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0) + 1e-3)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-3), -5, 5)
+    phi = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.project + model.phase), np.ones((len(z), 1))])
+    t = phi[~kept]
+    weights = np.linalg.solve(t.T @ t + np.diag([quality.RIDGE] * quality.FEATURES + [1e-6]), t.T @ y[~kept])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    k = np.clip(((phi[kept] @ weights + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    assert np.allclose(model.curve, quality.isotonic(np.bincount(k, y[kept], quality.BINS), np.bincount(k, minlength=quality.BINS)), atol=1e-6)
+    scale = quality.KERNEL_WIDTH**2 * z.shape[1] / 8
+    kernel = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(2) / scale / 2)
+    assert np.abs(phi[:40, :-1] @ phi[:40, :-1].T - kernel).mean() < 0.1
+
+
 def test_isotonic_is_monotone_and_right_for_monotone_data():
     n = np.array([4.0, 0, 4, 4])
     assert np.allclose(quality.isotonic(np.array([1.0, 0, 2, 4]), n), [0.25, 0.375, 0.5, 1])

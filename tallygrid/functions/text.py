@@ -93,3 +93,12 @@ def value_type(v: Column) -> Column:
     return (
         F.when(v.isNull(), "Other").when(v == 0, "Zero").when(v < 0, "Negative").when(F.abs(v) <= 1, "Percentage-like").when(v == F.floor(v), "Whole").otherwise("Decimal")
     )
+
+
+def safe_file_name(path: Column) -> Column:
+    """name and ext of a file name without folders or unusual characters: name up to 100 of letters, digits, spaces and
+    -_(), `file` if nothing is left; ext up to 10 with its dot."""
+    base = F.regexp_extract(F.coalesce(F.nullif(path, F.lit("")), F.lit("file")), r"([^/]*)/*$", 1)
+    ext = F.regexp_extract(base, r"^.+?(\.[^.]*)$", 1)
+    name = F.btrim(F.regexp_replace(F.left(base, F.length(base) - F.length(ext)), r"[^a-zA-Z0-9 _\-()]", ""))
+    return F.struct(F.left(F.when(name == "", "file").otherwise(name), F.lit(100)).alias("name"), F.regexp_replace(F.left(ext, F.lit(10)), r"[^a-zA-Z0-9.]", "").alias("ext"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallygrid.operators.core import first_of
+
 #: Hints of key outputs. Risk scores don't look for the first of the two.
 KEY_OUTPUT_HINTS = (
     "terminal value", "valuation", "debt", "interest", "liquidity", "funding", "covenant", "dscr", "dsra", "ownership", "dilution", "equity", "tax", "gst", "circular", "external",
@@ -110,8 +112,8 @@ def root_causes(findings: DataFrame, shown: int = SHOWN) -> DataFrame:
     spot = cells.groupBy(*by, "sheet", "row", "col", "cell").agg(F.count("*").alias("n"))
     sheets = spot.groupBy(*by, "sheet").agg(F.sum("n").alias("n"))
     counts = sheets.groupBy(*by).agg(F.sum("n").alias("cell_count"), F.count("*").alias("sheet_count"))
-    some = _first_of(spot, by, ["sheet", "row", "col", "cell"], shown).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", "cell"))), lambda x: x["cell"]).alias("affected_cells"))
-    few = _first_of(sheets, by, ["sheet"], shown).groupBy(*by).agg(F.array_sort(F.collect_list("sheet")).alias("affected_sheets"))
+    some = first_of(spot, by, ["sheet", "row", "col", "cell"], shown).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", "cell"))), lambda x: x["cell"]).alias("affected_cells"))
+    few = first_of(sheets, by, ["sheet"], shown).groupBy(*by).agg(F.array_sort(F.collect_list("sheet")).alias("affected_sheets"))
     out = sums
     for more in (counts, some, few):
         out = out.join(more, by, "left")
@@ -122,13 +124,6 @@ def root_causes(findings: DataFrame, shown: int = SHOWN) -> DataFrame:
     )
 
 
-def _first_of(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group. Groups are first cut into 64 parts by a hash, so that a large one isn't one task."""
-    part = F.pmod(F.xxhash64(*order), F.lit(64))
-    rows = rows.withColumn("_part", part).withColumn("_k", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_k") <= n)
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_part", "_k")
-
-
 def breakdown(findings: DataFrame) -> DataFrame:
     """Counts by priority with the grand total (priority null), and whether a priority is confirmed."""
     return findings.cube("priority").agg(F.count("*").alias("findings"), F.count_if(F.col("priority").isin(*CONFIRMED)).alias("confirmed"))
@@ -236,3 +231,29 @@ def timing(due_on: Column, today: Column, soon: int = 7) -> Column:
 def with_scores(findings: DataFrame, index: DataFrame) -> DataFrame:
     """Findings with the complexity score of their cell."""
     return findings.join(index.select("workbook_id", "sheet", "row", "col", "fscore", "band"), ["workbook_id", "sheet", "row", "col"], "left")
+
+
+#: Review modes that read formulas themselves.
+GROUNDED = ("llm_with_partial_formulas", "llm_full_parse", "llm_with_formulas")
+
+
+def review_depth(findings: DataFrame) -> DataFrame:
+    """Of each workbook's review findings (T2-): how many there are, how many read formulas, and their share in whole
+    percent (half to even). Without a mode a finding reads labels and values alone."""
+    reviews = findings.where(F.startswith("check_id", F.lit("T2-")))
+    grounded = F.count_if(F.coalesce(F.col("review_mode"), F.lit("")).isin(*GROUNDED))
+    return reviews.groupBy("workbook_id").agg(F.count("*").alias("findings"), grounded.alias("grounded")).withColumn("percent", F.bround(100.0 * F.col("grounded") / F.col("findings")).cast("int"))
+
+
+def unusable_locations(findings: DataFrame, sheets: DataFrame) -> DataFrame:
+    """How many findings of each workbook lead nowhere (cell A1, no sheet, or none that exists whatever its case), and their
+    share in whole percent."""
+    real = sheets.select("workbook_id", F.lower("sheet").alias("low"), F.lit(True).alias("real")).distinct()
+    rows = findings.withColumn("low", F.lower("sheet")).join(real, ["workbook_id", "low"], "left")
+    bad = (F.col("addr") == "A1") | F.col("real").isNull()
+    return rows.groupBy("workbook_id").agg(F.count("*").alias("findings"), F.count_if(bad).alias("unusable")).withColumn("percent", F.floor(100.0 * F.col("unusable") / F.col("findings") + 0.5).cast("int"))
+
+
+def completion(stated: Column, rules: Column, open_findings: Column) -> Column:
+    """Percent of the audit that is done: what was stated (unless 0), else the share of rules without a finding."""
+    return F.coalesce(F.nullif(stated, F.lit(0)), F.floor(100.0 * (rules - open_findings) / rules + 0.5)).cast("int")

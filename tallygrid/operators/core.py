@@ -100,14 +100,24 @@ def error_cells(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("err").isin(*ERRORS))
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group, ranked in column k. Groups are first cut into 64 parts by a hash of the order, so
+    that a large one isn't one task."""
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    rows = rows.withColumn("_part", part).withColumn("k", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(F.col("k") <= n)
+    return rows.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("k") <= n).drop("_part")
+
+
 def error_matrix(cells: DataFrame) -> DataFrame:
     """Cells of each error code, the sheets they are on, and the first five places."""
-    place = F.concat("sheet", F.lit("!"), "addr")
-    rank = F.row_number().over(W.partitionBy("workbook_id", "err").orderBy(*POSITION))
-    rows = error_cells(cells).withColumn("k", rank)
-    return rows.groupBy("workbook_id", "err").agg(F.count("*").alias("cells"), F.count_distinct("sheet").alias("sheets"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", place.alias("at"))))), lambda x: x["at"]), ", ").alias("samples"))
+    by, found = ["workbook_id", "err"], error_cells(cells)
+    sheets = found.groupBy(*by, "sheet").agg(F.count("*").alias("n"))
+    counts = sheets.groupBy(*by).agg(F.sum("n").alias("cells"), F.count("*").alias("sheets"))
+    some = first_of(found.select(*by, *POSITION, F.concat("sheet", F.lit("!"), "addr").alias("at")).distinct(), by, [*POSITION, "at"], 5)
+    places = some.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda x: x["at"]), ", ").alias("samples"))
+    return counts.join(places.withColumnsRenamed({"workbook_id": "own", "err": "code"}), F.col("workbook_id").eqNullSafe(F.col("own")) & (F.col("err") == F.col("code"))).drop("own", "code")
 
 
 def samples(cells: DataFrame, condition: Column, n: int = SAMPLES) -> DataFrame:
     """The first n cells of each workbook that meet the condition."""
-    return cells.where(condition).withColumn("k", F.row_number().over(W.partitionBy("workbook_id").orderBy(*POSITION))).where(F.col("k") <= n)
+    return first_of(cells.where(condition), ["workbook_id"], list(POSITION), n)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.functions import text
 from tallygrid.model import Model
 from tallygrid.operators import algebra, cross, graph, labels, predicates, ranges, rules, series
 from tallygrid.plans.projections import FORMULAS, GRID, duck, project, table
@@ -282,3 +283,39 @@ def sheet_name_spaces(spark, sf):
     name = F.when(k == 0, F.concat(F.lit(" "), "s_name")).when(k == 1, F.col("s_name")).otherwise(F.concat("s_name", F.lit("  x")))
     cells = table(spark, sf, "supplier").select(F.lit("w").alias("workbook_id"), name.alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"))
     return predicates.sheet_names(Model.of(spark, cells)).select(F.col("sheet").alias("name")).distinct()
+
+
+REVIEWS = """SELECT concat('w', CAST(l_suppkey % 10 AS STRING)) AS workbook_id, concat('T', CAST(l_linenumber % 3 AS STRING), '-', CAST(l_orderkey AS STRING)) AS check_id,
+  CASE l_returnflag WHEN 'A' THEN 'llm_only' WHEN 'N' THEN 'llm_with_partial_formulas' END AS review_mode, concat('sheet', CAST(l_partkey % 6 AS STRING)) AS sheet, CASE WHEN l_quantity > 45 THEN 'A1' ELSE 'B2' END AS addr FROM {lineitem}"""
+
+
+@query(f"""SELECT workbook_id, count(*) AS findings, count(*) FILTER (WHERE review_mode = 'llm_with_partial_formulas') AS grounded, CAST(round_even(100.0 * count(*) FILTER (WHERE review_mode = 'llm_with_partial_formulas') / count(*), 0) AS INT) AS percent
+  FROM ({duck(REVIEWS)}) WHERE starts_with(check_id, 'T2-') GROUP BY workbook_id""")
+def review_depth(spark, sf):
+    """How many review findings read formulas themselves."""
+    return algebra.review_depth(project(spark, sf, REVIEWS))
+
+
+@query(f"""SELECT workbook_id, count(*) AS findings, count(*) FILTER (WHERE addr = 'A1' OR sheet = 'sheet5') AS unusable, CAST(floor(100.0 * count(*) FILTER (WHERE addr = 'A1' OR sheet = 'sheet5') / count(*) + 0.5) AS INT) AS percent FROM ({duck(REVIEWS)}) GROUP BY workbook_id""")
+def unusable_locations(spark, sf):
+    """Findings whose place leads nowhere."""
+    found = project(spark, sf, REVIEWS)
+    sheets = found.where("sheet <> 'sheet5'").select("workbook_id", F.upper("sheet").alias("sheet")).distinct()
+    return algebra.unusable_locations(found, sheets)
+
+
+@query("""SELECT c_nationkey, CASE WHEN c_nationkey % 3 = 1 THEN 42 ELSE CAST(floor(100.0 * (200 - n) / 200 + 0.5) AS INT) END AS percent FROM (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal < 0) AS n FROM customer GROUP BY c_nationkey)""")
+def audit_completion(spark, sf):
+    """How far an audit has come, as stated or by open findings."""
+    n = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") < 0).alias("n"))
+    stated = F.when(F.col("c_nationkey") % 3 == 0, 0).when(F.col("c_nationkey") % 3 == 1, 42)
+    return n.select("c_nationkey", algebra.completion(stated, F.lit(200), F.col("n")).alias("percent"))
+
+
+@query(r"""SELECT s_suppkey, CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN concat('Model ', s_suppkey, ' (v2)') WHEN 1 THEN 'passwd' WHEN 2 THEN 'file' WHEN 3 THEN concat('.hidden', s_suppkey)[2:] ELSE 'file' END AS name,
+  CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN '.xlsx' WHEN 4 THEN '.x' ELSE '' END AS ext FROM supplier""")
+def safe_file_names(spark, sf):
+    """File names made safe."""
+    k = F.col("s_suppkey")
+    path = F.when(k % 5 == 0, F.concat(F.lit("up/Model* "), k, F.lit(" (v2).xlsx"))).when(k % 5 == 1, "../../etc/passwd").when(k % 5 == 2, "").when(k % 5 == 3, F.concat(F.lit("a/.hidden"), k)).otherwise("***.x")
+    return table(spark, sf, "supplier").select("s_suppkey", text.safe_file_name(path).alias("f")).select("s_suppkey", "f.name", "f.ext")

@@ -242,9 +242,11 @@ class WorkbookReader(DataSourceReader):
 
 
 def workbook_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cells, sheets and defined_names of the workbooks at a path that Spark can read. A workbook is one row of bytes (up
-    to 20 MB pass the gate), so a task holds one at a time."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("id"), "content")
+    """cells, sheets and defined_names of the workbooks at a path that Spark can read, and `skipped`: path, length and state
+    of the files that the gate doesn't pass. A workbook is one row of bytes (up to 20 MB pass), so a task holds one at a
+    time."""
+    found = spark.read.format("binaryFile").load(path)
+    files = found.where(F.col("length") <= MOST_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("id"), "content")
 
     def rows(table: str):
         def run(batches):
@@ -259,7 +261,7 @@ def workbook_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
         return run
 
-    return {t: files.mapInPandas(rows(t), s) for t, s in TABLES.items()}
+    return {t: files.mapInPandas(rows(t), s) for t, s in TABLES.items()} | {"skipped": gate(found).where("state <> 'ok'")}
 
 
 def gate(files: DataFrame) -> DataFrame:

@@ -102,3 +102,13 @@ def safe_file_name(path: Column) -> Column:
     ext = F.regexp_extract(base, r"^.+?(\.[^.]*)$", 1)
     name = F.btrim(F.regexp_replace(F.left(base, F.length(base) - F.length(ext)), r"[^a-zA-Z0-9 _\-()]", ""))
     return F.struct(F.left(F.when(name == "", "file").otherwise(name), F.lit(100)).alias("name"), F.regexp_replace(F.left(ext, F.lit(10)), r"[^a-zA-Z0-9.]", "").alias("ext"))
+
+
+def percent_text(share: Column) -> Column:
+    return F.format_string("%.1f%%", share * 100)
+
+
+def money_text(value: Column) -> Column:
+    """In millions; what would show as nothing is taken to be in millions already."""
+    millions = F.when((value != 0) & (F.abs(value / 1e6) < 0.05), value).otherwise(value / 1e6)
+    return F.format_string("$%.1fM", millions)

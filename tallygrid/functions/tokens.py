@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\(")
 REF = re.compile(
-    r"(?:(?:'([^']+)'|([A-Za-z_][A-Za-z0-9_.]*))!)?"
+    r"(?:(?:'([^']+)'|([A-Za-z_][A-Za-z0-9_.]*(?::[A-Za-z_][A-Za-z0-9_.]*)?))!)?"
     r"(?:(\$?)([A-Z]{1,3})(\$?)(\d{1,7})(?::(\$?)([A-Z]{1,3})(\$?)(\d{1,7}))?|(\$?)([A-Z]{1,3}):(\$?)([A-Z]{1,3})|(\$?)(\d{1,7}):(\$?)(\d{1,7}))(?![A-Za-z0-9_(])"
 )
 CALLS = "formula string, pos int, fn string, depth int, open_at int, end_at int, args array<string>"
@@ -64,7 +64,8 @@ def calls_of(formula: str) -> list[tuple]:
 
 
 def refs_of(formula: str) -> list[tuple]:
-    """Every reference: a cell, a range, whole columns or whole rows, with corners in order."""
+    """Every reference: a cell, a range, whole columns or whole rows, with corners in order. The sheet of one over several
+    sheets is `first:last`."""
     out = []
     blank = re.sub(r'"[^"]*"', lambda m: " " * len(m[0]), formula)
     for m in REF.finditer(blank):

@@ -266,6 +266,51 @@ def taint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
 
 
+#: Functions that put another value in the place of an error.
+MASKS = r"(?i)\bIFERROR\s*\(|\bIFNA\s*\("
+
+
+def over_sheets(model: Model, refs: DataFrame) -> DataFrame:
+    """refs with one row for each sheet that a reference over several (`first:last`) spans, in the order of tabs; the two
+    named ones where either is unknown."""
+    end = lambda k: F.split_part("to_sheet", F.lit(":"), F.lit(k))
+    spans = refs.where(F.contains("to_sheet", F.lit(":"))).withColumns({"_a": end(1), "_b": end(2)})
+    tabs = model.sheets.select("workbook_id", "sheet", "sheet_idx")
+    known = lambda name, end: tabs.select("workbook_id", F.col("sheet").alias(end), F.col("sheet_idx").alias(name))
+    spans = spans.join(known("_i", "_a"), ["workbook_id", "_a"], "left").join(known("_j", "_b"), ["workbook_id", "_b"], "left")
+    inner = spans.where("_i IS NOT NULL AND _j IS NOT NULL").join(tabs.select("workbook_id", F.col("sheet").alias("_sheet"), F.col("sheet_idx").alias("_k")), "workbook_id").where("_k BETWEEN least(_i, _j) AND greatest(_i, _j)")
+    rest = spans.where("_i IS NULL OR _j IS NULL").withColumn("_sheet", F.explode(F.array_distinct(F.array("_a", "_b"))))
+    rows = [x.withColumn("to_sheet", F.col("_sheet")).select(refs.columns) for x in (inner, rest)]
+    return refs.where(~F.contains("to_sheet", F.lit(":"))).unionByName(rows[0]).unionByName(rows[1])
+
+
+def dependency_edges(model: Model, most_cells: int = 2000) -> DataFrame:
+    """Edges from each formula (src) to every cell there is (dst) in the ranges it refers to, over sheets as well; ranges of
+    over most_cells cells don't count. Ranges meet cells by bands of rows, so none is written out."""
+    from tallygrid.operators.ranges import covered
+
+    refs = model.refs.where((F.col("r2") - F.col("r1") + 1).cast("long") * (F.col("c2") - F.col("c1") + 1) <= most_cells)
+    rects = over_sheets(model, refs.select("workbook_id", "sheet", "row", "col", "to_sheet", "r1", "c1", "r2", "c2")).distinct()
+    rects = rects.select("workbook_id", F.struct("workbook_id", "sheet", "row", "col").alias("src"), "to_sheet", "r1", "c1", "r2", "c2")
+    met = covered(rects, model.cells.select("workbook_id", "sheet", "row", "col"))
+    return met.select("src", F.struct("workbook_id", F.col("to_sheet").alias("sheet"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col")).alias("dst")).distinct()
+
+
+def masking_seeds(model: Model, edges: DataFrame, broken: DataFrame) -> DataFrame:
+    """node of the formulas that may hide an error: those that catch errors, and those that refer to a broken cell (place)."""
+    node = F.struct("workbook_id", "sheet", "row", "col")
+    catching = model.formulas.where(F.col("formula").rlike(MASKS)).select(node.alias("node"))
+    users = edges.join(broken.select(node.alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("node"))
+    return catching.union(users).distinct()
+
+
+def likely_masked(model: Model, broken: DataFrame) -> DataFrame:
+    """workbook_id, sheet, row and col of all formulas whose value may rest on a hidden error: the seeds and what depends
+    on them. broken: places of cells that didn't resolve or lead out of the workbook."""
+    edges = cut(dependency_edges(model))
+    return taint(edges, masking_seeds(model, edges, broken)).select("node.*", "wave")
+
+
 def recalculation(cells: DataFrame, again: DataFrame, tainted: DataFrame) -> DataFrame:
     """Compares cached numbers with recalculated ones (place, value): mismatch, likely masked (tainted), unresolved (NaN
     or no value) or match. The tolerance is 1, or 0.1 % of the cached number if that is more."""

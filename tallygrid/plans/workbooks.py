@@ -319,3 +319,11 @@ def safe_file_names(spark, sf):
     k = F.col("s_suppkey")
     path = F.when(k % 5 == 0, F.concat(F.lit("up/Model* "), k, F.lit(" (v2).xlsx"))).when(k % 5 == 1, "../../etc/passwd").when(k % 5 == 2, "").when(k % 5 == 3, F.concat(F.lit("a/.hidden"), k)).otherwise("***.x")
     return table(spark, sf, "supplier").select("s_suppkey", text.safe_file_name(path).alias("f")).select("s_suppkey", "f.name", "f.ext")
+
+
+@query("SELECT o_orderkey, printf('%.1f%%', CAST(o_orderkey % 2000 AS DOUBLE) / 1e3 * 100) AS share, printf('$%.1fM', CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey * 1e5 / 1e6 ELSE CAST(o_orderkey AS DOUBLE) END) AS amount FROM orders")
+def percent_and_money(spark, sf):
+    """Shares and amounts as they are shown."""
+    k = F.col("o_orderkey")
+    amount = F.when(k % 5 == 0, k * 1e5).otherwise(k.cast("double"))
+    return table(spark, sf, "orders").select("o_orderkey", text.percent_text((k % 2000).cast("double") / 1e3).alias("share"), text.money_text(amount).alias("amount"))

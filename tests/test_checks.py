@@ -316,3 +316,15 @@ def test_report_tabs(spark):
     edges = spark.createDataFrame([("w", "S", "T", 5, "Low"), ("w", "S", "U", 900, "High"), ("w", "Z", "A", 901, "High")], "workbook_id string, target string, precedent string, link_count long, risk string")
     assert [r["precedent"] for r in report.dependency_tab(edges, 2).collect()] == ["U", "T"]
     assert report.score_rules(spark).count() == len(report.SCORE_RULES)
+
+
+def test_masked_errors_spread_over_ranges_and_sheets(spark):
+    """A broken cell, six hops on, a SUM over the range that holds the last, a sum over sheets, and what has no part in it."""
+    jan = {"A1": "=1/0", "A2": "=A1+1", "A3": "=A2", "A4": "=A3", "A5": "=A4", "A6": "=A5", "A7": "=A6*2", "A8": 5, "B1": "=SUM(A7:A8)", "C1": 3, "C2": "=C1+1", "C3": '=IFERROR(C1,0)', "C4": "=C3+1", "D1": "=SUM(A1:Z900)"}
+    m = model(spark, {"Jan": jan, "Feb": {"B1": 4, "C1": "=C2"}, "Mar": {"B1": 6, "E5": "=Dec!B1"}, "Dec": {"B1": "=SUM(Jan:Mar!B1)", "C1": "=SUM(Feb:Mar!B1)"}})
+    broken = m.cells.where("sheet = 'Jan' AND addr = 'A1'")
+    got = {(r["sheet"], r["row"], r["col"]): r["wave"] for r in graph.likely_masked(m, broken).collect()}
+    assert got == {("Jan", 2, 1): 0, ("Jan", 3, 1): 1, ("Jan", 4, 1): 2, ("Jan", 5, 1): 3, ("Jan", 6, 1): 4, ("Jan", 7, 1): 5, ("Jan", 1, 2): 6, ("Dec", 1, 2): 7, ("Mar", 5, 5): 8, ("Jan", 3, 3): 0, ("Jan", 4, 3): 1}
+    again = m.cells.select("workbook_id", "sheet", "row", "col").withColumn("value", F.lit(99.0))
+    states = {(r["sheet"], r["row"], r["col"]): r["state"] for r in graph.recalculation(m.cells.withColumns({"kind": F.lit("number"), "num": F.lit(1.0)}), again, graph.likely_masked(m, broken)).collect()}
+    assert states["Jan", 1, 2] == "likely masked" and states["Jan", 2, 3] == "mismatch"

@@ -35,7 +35,7 @@ BLOCK_PRINTS = 40_000
 #: Blocks are told apart by up to so many bits; counts of 2 ** DEPTH values go to the driver.
 DEPTH = 16
 #: Variants that a task holds at once.
-SLICE = 3_000_000
+SLICE = 1_500_000
 
 
 def lower_table() -> bytes:

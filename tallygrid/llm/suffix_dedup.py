@@ -182,8 +182,8 @@ def stand_earlier(key: np.ndarray, one: np.ndarray, sizes: np.ndarray, begin: np
     later = np.flatnonzero(np.concatenate([[False], like])) if len(order) else order
     lead = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~like]), np.arange(len(order)), 0))] if len(order) else order
     gone = np.zeros(len(order), bool)
-    for lo in range(0, len(later), 20_000):
-        some = later[lo : lo + 20_000]
+    for lo in range(0, len(later), 5000):
+        some = later[lo : lo + 5000]
         a, b = order[some], lead[some]
         unlike = pool[ranges(begin[a], sizes[a])] != pool[ranges(begin[b], sizes[b])]
         gone[a] = np.add.reduceat(unlike, np.cumsum(sizes[a]) - sizes[a]) == 0
@@ -247,14 +247,14 @@ def cut_pieces(buckets: int, length: int, longest: int):
         sizes = n + length - 1
         begin = np.cumsum(sizes) - sizes
         pool = np.concatenate([data[ranges(f, s)] for data, f, s in texts])
-        order = np.lexsort((start, doc))  # the first of equal ones is the earliest
-        doc, start, n, key, one, sizes, begin = (x[order] for x in (doc, start, n, key, one, sizes, begin))
+        at, where = begin, np.lexsort((start, doc))  # the first of equal ones is the earliest
+        doc, start, n, key, one, sizes, begin = (x[where] for x in (doc, start, n, key, one, sizes, begin))
         gone = stand_earlier(key, one, sizes, begin, pool)
         order = np.concatenate([np.flatnonzero(~gone), np.flatnonzero(gone)])
         fresh = len(order) - int(gone.sum())
-        sizes = np.where(gone, 0, sizes)[order]
-        text = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes()), pa.py_buffer(pool[ranges(begin[order], sizes)].tobytes())])
-        text = pa.concat_arrays([text[:fresh], pa.nulls(len(order) - fresh, pa.binary())])
+        # The pool holds the pieces in a row as they were cut; Arrow picks them without an index for each byte.
+        cut = pa.Array.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(np.append(at, len(pool)).astype(np.int32).tobytes()), pa.py_buffer(pool)])
+        text = pa.concat_arrays([cut.take(pa.array(where[order[:fresh]])), pa.nulls(len(order) - fresh, pa.binary())])
         bucket = np.where(gone, number % buckets, bucket_of(key, buckets))[order]
         cols = [bucket, key[order].view(np.int64), np.full(len(order), number), doc[order], start[order], n[order]]
         return pa.table([*(pa.array(c, k) for c, k in zip(cols, kinds[:-1], strict=True)), text], names=names)
@@ -320,11 +320,11 @@ def removed_from(rows: pa.Table, removed: pa.Table, length: int) -> Iterator[tup
     edges = np.searchsorted(doc, np.arange(docs.num_rows + 1))
     for k, doc_id in enumerate(docs.column("doc_id").to_pylist()):
         raw = texts[k].as_py()
-        depth = np.zeros(len(raw) + 1, np.int64)
+        depth = np.zeros(len(raw) + 1, np.int32)
         own = slice(edges[k], edges[k + 1])
         np.add.at(depth, start[own], 1)
         np.add.at(depth, end[own], -1)
-        yield doc_id, raw, np.cumsum(depth[:-1]) > 0
+        yield doc_id, raw, np.cumsum(depth[:-1], dtype=np.int32) > 0
 
 
 def report(length: int):

@@ -36,7 +36,7 @@ def conform(df: DataFrame, columns: T.StructType) -> DataFrame:
 
 @dataclass
 class Model:
-    """The tables that checks read. Formulas are tokenized once for all checks that need it."""
+    """The tables that checks read. calls and refs are frames, made again for each check; tokenized() writes them once."""
 
     cells: DataFrame
     sheets: DataFrame
@@ -63,6 +63,14 @@ class Model:
         """References with the place of their cell; to_sheet is the sheet they lead to."""
         return self.formulas.select(*PLACE, "sheet_idx", "addr", "formula").join(tokens.refs(self.formulas), "formula").withColumn("to_sheet", F.coalesce("tgt_sheet", "sheet"))
 
+    def tokenized(self) -> Model:
+        """The model with its calls and references written once to the shared folder, for audits of several checks."""
+        from tallygrid.operators.graph import cut  # which reads models itself
+
+        out = Model(self.cells, self.sheets, self.names)
+        out.__dict__.update(calls=cut(self.calls), refs=cut(self.refs))
+        return out
+
     @cached_property
     def texts(self) -> DataFrame:
         """Literal text cells."""

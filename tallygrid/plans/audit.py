@@ -88,8 +88,8 @@ _rows("T0-DAISYCHAIN-001", graph.daisy_chains, "hops")
 
 
 def run_checks(model: Model, names: list[str] | None = None) -> DataFrame:
-    """Findings of the named checks (all by default) in one frame."""
-    out = None
+    """Findings of the named checks (all by default) in one frame. Formulas are tokenized once for all of them."""
+    out, model = None, model.tokenized()
     for name in names or CHECKS:
         part = CHECKS[name](model)
         out = part if out is None else out.unionByName(part)

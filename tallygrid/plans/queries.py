@@ -103,7 +103,7 @@ def single_cell_checks(spark, sf):
   UNION ALL SELECT 'T0-PMTSIGN-001', NULL, NULL FROM {_F} HAVING count(*) FILTER (WHERE template_no = 18) > 0 AND count(*) FILTER (WHERE template_no = 19) > 0""")
 def call_checks(spark, sf):
     """Checks of calls and arguments."""
-    return calls.call_findings(formula_model(spark, sf)).select("check_id", "sheet", F.col("row").alias("row_no"))
+    return calls.call_findings(formula_model(spark, sf).tokenized()).select("check_id", "sheet", F.col("row").alias("row_no"))
 
 
 @query(f"SELECT sheet, row_no, '$A1:A$9' AS range FROM {_F} WHERE template_no = 14")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import re
 
 from pyspark.sql import Column
@@ -65,18 +67,23 @@ def first_term(text: Column, terms: tuple[str, ...]) -> Column:
     return out
 
 
+#: What is taken from a file name, in this order, and what stands for it.
+NOT_IDENTITY = (
+    (r"(?i)\.(xlsx|xlsm|xls|csv)$", ""),
+    (r"\(\d+\)", " "),
+    (r"[_\-.()]+", " "),
+    (r"\b\d{1,4} \d{1,2} \d{1,4}\b", " "),
+    (r"(?i)\bv\d+\b", " "),
+    (r"(?i)\b(ready|version|ver|rev|revision|release|draft|build)\s+\d+\b", "$1"),
+    (r"(?i)\b(audited|validated|draft|final|reviewed|approved|updated|revised|checked|copy|backup|old|new|latest|fixed|corrected|amended)\b", " "),
+    (r"\s+", " "),
+)
+
+
 def model_identity(file_name: Column) -> Column:
     """The name that versions, dates and revisions of one file share; never empty."""
-    words = r"audited|validated|draft|final|reviewed|approved|updated|revised|checked|copy|backup|old|new|latest|fixed|corrected|amended"
-    x = F.regexp_replace(file_name, r"(?i)\.(xlsx|xlsm|xls|csv)$", "")
-    x = F.regexp_replace(x, r"\(\d+\)", " ")
-    x = F.regexp_replace(x, r"[_\-.()]+", " ")
-    x = F.regexp_replace(x, r"\b\d{1,4} \d{1,2} \d{1,4}\b", " ")
-    x = F.regexp_replace(x, r"(?i)\bv\d+\b", " ")
-    x = F.regexp_replace(x, r"(?i)\b(ready|version|ver|rev|revision|release|draft|build)\s+\d+\b", "$1")
-    x = F.regexp_replace(x, rf"(?i)\b({words})\b", " ")
-    x = F.lower(F.btrim(F.regexp_replace(x, r"\s+", " ")))
-    return F.coalesce(F.nullif(x, F.lit("")), F.lower(file_name))
+    left = reduce(lambda name, row: F.regexp_replace(name, *row), NOT_IDENTITY, file_name)
+    return F.coalesce(F.nullif(F.lower(F.btrim(left)), F.lit("")), F.lower(file_name))
 
 
 def scaling_commas(num_fmt: Column) -> Column:

@@ -165,8 +165,15 @@ HANDLERS = {
 }
 
 
+#: Rules are broadcast; more of them are refused.
+MOST_RULES = 10_000
+
+
 def apply_rules(model: Model, rules: DataFrame) -> DataFrame:
-    """All rules of known types."""
+    """All rules of known types; at most MOST_RULES of them."""
+    n = rules.limit(MOST_RULES + 1).count()
+    if n > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
     return reduce(DataFrame.union, [handler(model, rules.where(F.col("type") == kind)) for kind, handler in HANDLERS.items()])
 
 

@@ -217,6 +217,9 @@ def read_table(content: bytes, workbook_id: str, table: str) -> Iterator[tuple]:
 
 
 class WorkbookSource(DataSource):
+    """Workbooks under a path of this machine (or one that is mounted on all), as tables. For stores that only Spark reads,
+    and for many tables at once, see workbook_tables()."""
+
     @classmethod
     def name(cls) -> str:
         return "workbook"

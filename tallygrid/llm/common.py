@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,35 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Returns memory that is free to the machine: a worker serves later stages too, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group's rows that gives memory back after each group."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        give_back()
+        return out
+
+    return each
+
+
+def lean_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for two cogrouped frames."""
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return each
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32(column as text) mod n; null if the column is null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import chunks, saved, table
+from tallygrid.llm.common import chunks, give_back, lean, saved, table
 from tallygrid.llm.components import connected_components
 
 WORDS, RADIUS, SEED, BITS = 4, 4, 42, 64
@@ -77,6 +77,7 @@ def with_fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
                 raw, at = data.tobytes(), at.tolist()
                 out += [fingerprint(shingle_hashes(raw[a:b], words, lower), bits_of) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(out, np.uint64).view(np.int64))], names=[*others, "f"])
+        give_back()
 
     schema = documents.select(*others).schema.add("f", "long")
     return documents.select(*others, "text").mapInArrow(run, schema)
@@ -240,7 +241,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 some = f[lo : lo + 20_000]
                 yield dealt_prints(blocks, 0, BITS, some.view(np.uint64))
 
-    return prints.select("f").mapInArrow(deal, DEALT).groupBy("block").applyInArrow(meeter(blocks, BITS), "a long, b long")
+    return prints.select("f").mapInArrow(deal, DEALT).groupBy("block").applyInArrow(lean(meeter(blocks, BITS)), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

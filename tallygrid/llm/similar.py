@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import chunks, saved
+from tallygrid.llm.common import chunks, give_back, lean, saved
 from tallygrid.llm.components import connected_components
 from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_prints, forest, lower_table, masks, meeter, shingle_hashes
 
@@ -118,6 +118,7 @@ def fingerprinter(words: int, lanes: int):
                 same += [xxhash.xxh128_digest(s.tobytes()) for s in sets]
                 wide += [x.tobytes() for x in wide_fingerprints(sets, lanes, bits_of)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "key", "same", "wide"])
+        give_back()
 
     return run
 
@@ -153,6 +154,7 @@ def dealer(layout: Layout, segments: range, blocks: Blocks):
                 f = layout.cut(rows_of(some.column(2)))
                 for k in segments:
                     yield dealt_prints(blocks, k, layout.bits, np.ascontiguousarray(f[:, k]), keys, nodes)
+        give_back()
 
     return run
 
@@ -174,7 +176,7 @@ def clusters(prints: DataFrame, layout: Layout) -> DataFrame:
             continue
         named = prints.withColumn("node", F.col("key")) if parts is None else prints.join(parts, prints["key"] == parts["node"], "left").select("key", F.coalesce("component", "key").alias("node"), "wide")
         blocks = blocks_of(prints.select("wide").mapInArrow(counter(layout, segments), "segment int, low int, n long"), layout.half, BLOCK_PRINTS, layout.depth)
-        met = named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT).groupBy("block").applyInArrow(meeter(blocks, layout.bits), "a long, b long").distinct()
+        met = named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT).groupBy("block").applyInArrow(lean(meeter(blocks, layout.bits)), "a long, b long").distinct()
         side = lambda name: prints.select(F.col("key").alias(name), F.col("wide").alias(f"w{name}"))
         new = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(related, "a long, b long")
         edges = saved(new if edges is None else edges.union(new))
@@ -188,6 +190,7 @@ def set_maker(words: int):
         for batch in batches:
             sets = [s for _, _, data, at in chunks(batch.column(2)) for s in shingle_sets(data, at, words, lower)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cluster", "n", "hashes"])
+        give_back()
 
     return run
 
@@ -251,7 +254,7 @@ def comparer(least: float):
 
 
 def compared(rows: DataFrame, similarity: float) -> DataFrame:
-    return rows.select("g", "key", "cluster", "label", "side", "n", "hashes").groupBy("g").applyInArrow(comparer(similarity), "a long, b long")
+    return rows.select("g", "key", "cluster", "label", "side", "n", "hashes").groupBy("g").applyInArrow(lean(comparer(similarity)), "a long, b long")
 
 
 def exact_links(sets: DataFrame, similarity: float) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm.common import blocks_for, chunks, dealt_by_ranges, packed, table, unpacked
+from tallygrid.llm.common import blocks_for, chunks, dealt_by_ranges, lean, lean_pair, packed, table, unpacked
 from tallygrid.llm.suffixes import sorted_suffixes
 
 LENGTH = 100
@@ -355,10 +355,10 @@ def cleaned(length: int, columns: list[str]):
 def runs_and_removed(documents: DataFrame, length: int, hot: int = HOT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     n = blocks_for(documents)
     runs = dealt_by_ranges(documents, "doc_id")
-    marks = runs.groupBy("run").applyInArrow(mark(-(-n // RUNS), length, longest), "bucket int, run int, hashes binary")
-    twice = marks.groupBy("bucket").applyInArrow(repeated(hot), "run int, hashes binary")
-    pieces = runs.groupBy("run").cogroup(twice.groupBy("run")).applyInArrow(cut_pieces(n, length, longest), PIECES)
-    return runs, pieces.groupBy("bucket").applyInArrow(sort_bucket(length), "run int, block binary")
+    marks = runs.groupBy("run").applyInArrow(lean(mark(-(-n // RUNS), length, longest)), "bucket int, run int, hashes binary")
+    twice = marks.groupBy("bucket").applyInArrow(lean(repeated(hot)), "run int, hashes binary")
+    pieces = runs.groupBy("run").cogroup(twice.groupBy("run")).applyInArrow(lean_pair(cut_pieces(n, length, longest)), PIECES)
+    return runs, pieces.groupBy("bucket").applyInArrow(lean(sort_bucket(length)), "run int, block binary")
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, longest: int = LONGEST) -> DataFrame:
@@ -370,7 +370,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT, longest:
     with none) are in one run.
     """
     runs, removed = runs_and_removed(documents.select("doc_id", "text"), length, hot, longest)
-    return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(report(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(lean_pair(report(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -378,7 +378,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     follows the text where there is such a column. A null text becomes an empty one."""
     columns = documents.columns
     runs, removed = runs_and_removed(documents, length)
-    return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(cleaned(length, columns), documents.schema)
+    return runs.groupBy("run").cogroup(removed.groupBy("run")).applyInArrow(lean_pair(cleaned(length, columns)), documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

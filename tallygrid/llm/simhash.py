@@ -228,6 +228,11 @@ def meeter(blocks: Blocks, bits: int):
     return run
 
 
+def met(dealt: DataFrame, blocks: Blocks, bits: int) -> DataFrame:
+    """The links of all blocks, about one block to a task: a block ships little and takes long, so its bytes say nothing."""
+    return dealt.repartition(max(1, len(blocks.leaves)), "block").groupBy("block").applyInArrow(lean(meeter(blocks, bits)), "a long, b long")
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """From rows of f (longs, distinct): pairs a, b of fingerprints within the radius that connect all that are."""
     half = radius // 2
@@ -241,7 +246,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 some = f[lo : lo + 20_000]
                 yield dealt_prints(blocks, 0, BITS, some.view(np.uint64))
 
-    return prints.select("f").mapInArrow(deal, DEALT).groupBy("block").applyInArrow(lean(meeter(blocks, BITS)), "a long, b long")
+    return met(prints.select("f").mapInArrow(deal, DEALT), blocks, BITS)
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

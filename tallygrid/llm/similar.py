@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import chunks, give_back, lean, saved
 from tallygrid.llm.components import connected_components
-from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_prints, forest, lower_table, masks, meeter, shingle_hashes
+from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_prints, forest, lower_table, masks, met, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: The chance that a pair at the least similarity meets; how many chance meets a set may have in a segment.
@@ -176,9 +176,9 @@ def clusters(prints: DataFrame, layout: Layout) -> DataFrame:
             continue
         named = prints.withColumn("node", F.col("key")) if parts is None else prints.join(parts, prints["key"] == parts["node"], "left").select("key", F.coalesce("component", "key").alias("node"), "wide")
         blocks = blocks_of(prints.select("wide").mapInArrow(counter(layout, segments), "segment int, low int, n long"), layout.half, BLOCK_PRINTS, layout.depth)
-        met = named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT).groupBy("block").applyInArrow(lean(meeter(blocks, layout.bits)), "a long, b long").distinct()
+        links = met(named.select("key", "node", "wide").mapInArrow(dealer(layout, segments, blocks), DEALT), blocks, layout.bits).distinct()
         side = lambda name: prints.select(F.col("key").alias(name), F.col("wide").alias(f"w{name}"))
-        new = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(related, "a long, b long")
+        new = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(related, "a long, b long")
         edges = saved(new if edges is None else edges.union(new))
         parts = connected_components(edges)
     return parts

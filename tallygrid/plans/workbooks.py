@@ -96,7 +96,7 @@ def distribution_gate(spark, sf):
 
 
 REGIMES = """SELECT DISTINCT 'W' AS sheet, CAST(o_custkey % 300 AS INT) + 2 AS row_no, CAST(o_orderkey % 24 AS INT) + 2 AS col_no,
-  concat(chr(CAST(o_orderkey % 24 AS INT) + 65), CAST(o_custkey % 300 + 2 AS STRING), CASE WHEN o_orderkey % 24 < 5 + o_custkey % 7 THEN '*2' ELSE '+1' END) AS formula FROM {orders}"""
+  concat(chr(CAST(o_orderkey % 24 AS INT) + 65), CAST(o_custkey % 300 + 2 AS STRING), CASE WHEN o_orderkey % 24 < 5 + o_custkey % 300 % 7 THEN '*2' ELSE '+1' END) AS formula FROM {orders}"""
 
 
 @query(f"""WITH c AS (SELECT row_no, col_no, (col_no - 2 < 5 + (row_no - 2) % 7) AS first FROM ({duck(REGIMES)})) SELECT row_no, count(*) AS total, count(*) FILTER (WHERE first) AS before, min(col_no) FILTER (WHERE NOT first) AS change_at FROM c

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, divergence, fingerprints, language_id, licenses, packing, quality, simhash, suffix_dedup, token_files, url_filters
+from tallygrid.llm import decontaminate, divergence, fingerprints, language_id, licenses, negatives, packing, quality, simhash, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_decontamination": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_negatives": negatives.query,
     "op13_divergence": divergence.query,
 }
-ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL = {"op7_url_filters": url_filters.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op11_negatives": negatives.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}

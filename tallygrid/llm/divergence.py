@@ -63,10 +63,17 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with it), and one row with a null term for each group."""
-    rows = documents.select("lang", "source", "text").mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def kept_counts(documents: DataFrame, least_documents: int) -> DataFrame:
+    """lang, source, term, n (occurrences in the group), lang_n (in the lang), and first (of one source of the term only),
+    of terms in so many documents of the lang; and one row with a null term for each group.
+
+    What tasks have counted goes to its (lang, term) once; sums by source and over the lang are made there.
+    """
+    rows = documents.select("lang", "source", "text").mapInArrow(count_terms, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    term = Window.partitionBy("lang", "term")
+    rows = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = rows.select("lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), F.sum("docs").over(term).alias("docs"), (F.min("source").over(term) == F.col("source")).alias("first"))
+    return rows.where(F.col("term").isNull() | (F.col("docs") >= least_documents)).drop("docs")
 
 
 def share(n: Column, total: Column) -> Column:
@@ -87,11 +94,9 @@ class Postings:
     """What both parts start from: groups and the kept terms' postings, each written once."""
 
     def __init__(self, documents: DataFrame, least_documents: int = LEAST_DOCUMENTS):
-        counts = saved(term_counts(documents))
-        terms = counts.where("term IS NOT NULL")
-        kept = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_documents).drop("docs")
-        rows = saved(terms.drop("docs").join(kept, ["lang", "term"]))
-        langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+        counts = saved(kept_counts(documents, least_documents))
+        rows = counts.where("term IS NOT NULL")
+        langs = rows.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
         totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
         groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "v", "lang_total"])
         #: lang, source, total (N), terms (kept terms it has), v, lang_total, none (its share of a term that it hasn't).

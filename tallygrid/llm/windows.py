@@ -12,19 +12,19 @@ grouped one by one, with one copy of each that stands more often. Equal pieces a
 so a passage that a third of all texts share costs no more than one row a task.
 
 The sketch is a table of bits in every task, so its size is bounded (MOST_CELLS). Beyond some 20 GB of text it lets more
-anchors through; the second pass then groups more pieces, about a row for each 15 words of text, and stays exact.
+anchors through; the second pass then groups more pieces, about a row for each 10 words of text, and stays exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +32,11 @@ from pyspark.sql.functions import arrow_udf
 
 from tallygrid.llm.common import BLOCK_BYTES, chunks, drop_folder, give_back, saved, shared_dir, table
 
-WORDS, GRAM = 35, 8
+WORDS, GRAM = 35, 12
 #: Rows of the sketch, cells of a row at most, cells of a slice, partition sketches merged at once.
 ROWS, MOST_CELLS, SLICE, MERGED = 2, 1 << 28, 1 << 20, 512
 #: Bytes of text to an anchor, about; cells to an anchor.
-ANCHOR_BYTES, CELLS = 80, 4
+ANCHOR_BYTES, CELLS = 64, 4
 #: What a task holds before it passes it on: anchors for the sketch, places of pieces or windows.
 HELD_ANCHORS, HELD_PLACES = 1 << 20, 200_000
 WHITE = np.zeros(256, bool)
@@ -46,7 +46,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 ROW_FACTORS, STEP = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 0xD6E8FEB86659FD93
 #: A place: the text's key, a word, and how many windows from it on.
-PLACE, PLACE_BYTES = "<16sIH", 22
+PLACE = np.dtype([("key", "S16"), ("first", "<u4"), ("n", "<u2")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -217,24 +217,39 @@ class Found:
     """Digests with their places, as rows: equal ones fall together."""
 
     def __init__(self):
-        self.held: dict[bytes, list] = {}
+        self.held: list[tuple] = []
         self.size = 0
 
-    def add(self, digest: bytes, anchor: int, place: bytes | None) -> None:
-        row = self.held.setdefault(digest, [anchor, 0, []])
-        row[1] += 1
-        if place is not None:
-            row[2].append(place)
-        self.size += 1
+    def add(self, digests: list[bytes], anchors: np.ndarray, places: np.ndarray, placed: np.ndarray) -> None:
+        """placed: which places go along; the others count only."""
+        self.held.append((np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2), anchors, places, placed))
+        self.size += len(digests)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            anchors, n, places = zip(*self.held.values(), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(self.held, pa.binary()), pa.array(anchors, pa.int64()), pa.array(n, pa.int64()), pa.array([p[0][:20] if p else None for p in places], pa.binary()), pa.array([b"".join(p) for p in places], pa.binary())],
-                names=[c.split()[0] for c in FOUND.split(", ")],
-            )
-        self.held, self.size = {}, 0
+        if self.size:
+            digest, anchors, places, placed = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            order = np.lexsort((~placed, digest[:, 1], digest[:, 0]))
+            digest, anchors, places, placed = digest[order], anchors[order], places[order], placed[order]
+            first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]).any(1)]))
+            ends = np.append(first, len(order))
+            at = np.concatenate([[0], np.cumsum(placed)])[ends]
+            raw = places.view(np.uint8).reshape(-1, PLACE.itemsize)
+            columns = [binaries(digest[first]), pa.array(anchors[first]), pa.array(np.diff(ends)), binaries(raw[first, :20]), binaries(raw[placed], at)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+        self.held, self.size = [], 0
+
+
+def binaries(rows: np.ndarray, at: np.ndarray | None = None) -> pa.Array:
+    """Each row's bytes as a value; with `at`, those of the rows from one place to the next."""
+    rows = np.ascontiguousarray(rows)
+    at = np.arange(len(rows) + 1) if at is None else at
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * (rows.shape[1] * rows.itemsize)).astype(np.int32)), pa.py_buffer(rows)])
+
+
+def places_of(keys: np.ndarray, first: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(first), PLACE)
+    out["key"], out["first"], out["n"] = keys, first, n
+    return out
 
 
 def pieces_found(sketch, width: int, words: int) -> Callable:
@@ -243,7 +258,7 @@ def pieces_found(sketch, width: int, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, found = sketch.value, Found()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys = np.array(batch.column(0).to_pylist(), "S16")
             for lo, _, data, at in chunks(batch.column(1), 1 << 20):
                 text = Text(data, at)
                 first, n, anchors = text.pieces(words)
@@ -253,9 +268,7 @@ def pieces_found(sketch, width: int, words: int) -> Callable:
                     often &= (bits[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 first, n, anchors = first[often], n[often], anchors[often].view(np.int64)
                 where = text.text[first]
-                each = zip(text.digests(first, first + n + words - 2), anchors.tolist(), where.tolist(), (first - text.first[where]).tolist(), n.tolist(), strict=True)
-                for digest, anchor, k, at_word, many in each:
-                    found.add(digest, anchor, struct.pack(PLACE, keys[lo + k], at_word, many))
+                found.add(list(text.digests(first, first + n + words - 2)), anchors, places_of(keys[lo + where], first - text.first[where], n), np.ones(len(first), bool))
                 if found.size > HELD_PLACES:
                     yield from found.rows()
         yield from found.rows()
@@ -270,15 +283,17 @@ def windows_found(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found()
         for batch in batches:
-            keys, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, _, data, at in chunks(batch.column(1), 1 << 20):
+            keys, marks = np.array(batch.column(0).to_pylist(), "S16"), batch.column(2).flatten()
+            row = np.repeat(np.arange(len(keys)), batch.column(2).value_lengths().to_numpy())
+            first, n, kind = (marks.field(c).to_numpy() for c in ("first", "n", "kind"))
+            for lo, hi, data, at in chunks(batch.column(1), 1 << 20):
                 text = Text(data, at)
-                for k in range(len(at) - 1):
-                    for m in marks[lo + k]:
-                        if m["kind"] > 1:
-                            first = text.first[k] + np.arange(m["first"], m["first"] + m["n"])
-                            for j, digest in enumerate(text.digests(first, first + words - 1)):
-                                found.add(digest, 0, struct.pack(PLACE, keys[lo + k], m["first"] + j, 1) if m["kind"] == 2 else None)
+                some = slice(*np.searchsorted(row, [lo, hi]))
+                many = n[some]
+                of = np.repeat(np.arange(len(many)), many)
+                word = np.repeat(first[some], many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                start = text.first[row[some][of] - lo] + word
+                found.add(list(text.digests(start, start + words - 1)), np.zeros(len(of), np.int64), places_of(keys[row[some][of]], word, 1), kind[some][of] == 2)
                 if found.size > HELD_PLACES:
                     yield from found.rows()
         yield from found.rows()
@@ -290,13 +305,13 @@ def windows_found(words: int) -> Callable:
 def places_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of places, kind and lead: a row for each place; a piece of kind 3 (repeated, of an open anchor) is of kind 1 but at lead."""
     for batch in batches:
-        for places, kind, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if places:
-                at = np.frombuffer(places, np.dtype([("key", "S16"), ("first", "<u4"), ("n", "<u2")]))
-                raw = np.frombuffer(places, np.uint8).reshape(-1, PLACE_BYTES)
-                kinds = np.where((kind != 3) | (raw[:, :20] == np.frombuffer(lead, np.uint8)).all(1), kind, 1) if kind == 3 else np.full(len(at), kind)
-                key = pa.array([bytes(r) for r in raw[:, :16]], pa.binary())
-                yield pa.RecordBatch.from_arrays([key, pa.array(at["first"].astype(np.int32)), pa.array(at["n"].astype(np.int32)), pa.array(kinds.astype(np.int32))], names=["key", "first", "n", "kind"])
+        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, PLACE.itemsize)
+        many = pc.binary_length(batch.column(0)).to_numpy() // PLACE.itemsize
+        of = np.repeat(np.arange(len(many)), many)
+        at, kind = raw.reshape(-1).view(PLACE), batch.column(1).to_numpy()[of]
+        lead = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 20)[of]
+        kind = np.where((kind == 3) & (raw[:, :20] != lead).any(1), 1, kind)
+        yield pa.RecordBatch.from_arrays([binaries(raw[:, :16]), pa.array(at["first"].astype(np.int32)), pa.array(at["n"].astype(np.int32)), pa.array(kind.astype(np.int32))], names=["key", "first", "n", "kind"])
 
 
 MARKS = "key binary, first int, n int, kind int"

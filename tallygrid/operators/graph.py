@@ -25,7 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return df.checkpoint(eager=True)
+    saved = df.checkpoint(eager=True)
+    # As rows of unknown size: a checkpoint keeps the estimate of its plan, which joins of a frame with itself square in
+    # each round, until estimating takes longer than joining.
+    return DataFrame(spark._jsparkSession.createDataFrame(saved._jdf.javaRDD(), saved._jdf.schema()), spark)
 
 
 #: Chains of single links up to so many hops are walked step by step.
@@ -96,51 +99,121 @@ def _reach_by_jumps(edges: DataFrame, seen: DataFrame, jumps: list[DataFrame]) -
 def component_of_cycle(edges: DataFrame) -> DataFrame:
     """node and cycle (its smallest node) of all nodes on cycles of edges (src, dst).
 
-    Nodes without a way in or out are trimmed first. Then each round gives every node the smallest node that reaches
-    it; among nodes with the same one, those that reach it back are its cycle's and leave the graph.
+    Chains are contracted first, by doubling: nodes with one way out go into the node that ends their chain, then nodes
+    with one way in. A chain that closes on itself is a cycle. What is left is painted: every node gets the ancestor of
+    least rank in a random order, and those that it reaches back are its cycle's. An edge between colours is on no
+    cycle, so it goes, and the rest is worked through again in another order. Last, chains are put back where a cycle
+    runs through them.
     """
     edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle"))
-    found = None
-    while True:
-        edges = _trimmed(edges)
-        if edges.isEmpty():
-            break
-        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-        color = _least_ancestor(edges, nodes)
-        paint = color.select(F.col("node").alias("src"), F.col("color").alias("c1")), color.select(F.col("node").alias("dst"), F.col("color").alias("c2"))
-        same = cut(edges.join(paint[0], "src").join(paint[1], "dst").where("c1 = c2").select("src", "dst"))
-        back = reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), color.where("node = color").select("node"))
-        members = cut(back.select("node").join(color, "node").select("node", F.col("color").alias("cycle")))
-        found = members if found is None else found.union(members)
-        gone = members.select("node")
-        edges = cut(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    found = _cycles_of(edges.where("src <> dst"), 0)
     if found is None:
         return loops
-    size = found.groupBy("cycle").agg(F.count("*").alias("n"))
-    rings = found.join(size.where("n > 1"), "cycle").select("node", "cycle")
+    least = found.groupBy("cycle").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rings = cut(found.join(least, "cycle").select("node", F.col("least").alias("cycle")))
     return rings.union(loops.join(rings.select("node"), "node", "left_anti"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    before = -1
-    while True:
-        sources, targets = edges.select(F.col("src").alias("n")).distinct(), edges.select(F.col("dst").alias("n")).distinct()
-        edges = cut(edges.join(targets, edges["src"] == targets["n"], "left_semi").join(sources, edges["dst"] == sources["n"], "left_semi"))
-        n = edges.count()
-        if n in (before, 0):
-            return edges
-        before = n
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _joined(*found: DataFrame | None) -> DataFrame | None:
+    some = [f for f in found if f is not None]
+    out = some[0] if some else None
+    for f in some[1:]:
+        out = out.union(f)
+    return out
 
 
-def _least_ancestor(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    color = cut(nodes.withColumn("color", F.col("node")))
+def _cycles_of(edges: DataFrame, order: int) -> DataFrame | None:
+    """node and cycle of a graph without self-links; None if it has no cycle. order: the random order of this round."""
+    out = _Chains(edges)
+    back = _Chains(_turned(out.rest))
+    core, found = _turned(back.rest), _joined(out.rings, back.rings)
+    if not core.isEmpty():
+        ahead = _least_ancestor(core, order).select("node", F.col("color").alias("ahead"))
+        pair = lambda color, name: (color.select(F.col("node").alias("src"), F.col(name).alias("c1")), color.select(F.col("node").alias("dst"), F.col(name).alias("c2")))
+        a, b = pair(ahead, "ahead")
+        same = cut(core.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("ahead")))
+        behind = _least_ancestor(_turned(same), order) if not same.isEmpty() else None
+        if behind is not None:
+            colors = cut(behind.join(ahead, "node"))
+            a, b = pair(colors, "color")
+            # A cycle's nodes have both colours in common; those that share them with their root are done.
+            rest = cut(same.join(a, "src").join(b, "dst").where("c1 = c2 AND c1 <> ahead").select("src", "dst"))
+            found = _joined(found, colors.where("color = ahead").select("node", F.col("ahead").alias("cycle")))
+            if not rest.isEmpty():
+                found = _joined(found, _cycles_of(rest, order + 1))
+    found = out.put_back(back.put_back(found))
+    return found if found is None else cut(found)
+
+
+class _Chains:
+    """Nodes with a single way on, taken out of a graph: rest (edges between the others; what a chain leads to stands for
+    the chain), rings (node, cycle: chains that close on themselves), and what put_back() needs."""
+
+    def __init__(self, edges: DataFrame):
+        self.rest, self.rings, self.looped = edges, None, None
+        links = cut(edges.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("at")).where("n = 1").select(F.col("src").alias("node"), "at", F.least("src", "at").alias("least")))
+        self.n = links.count()
+        if not self.n:
+            return
+        inner = links.select(F.col("node").alias("at"))
+        #: For 1, 2, 4, ... hops: where they lead from each node, its end at most; open: not at its end.
+        self.jumps, hops = [cut(links.join(inner.withColumn("open", F.lit(True)), "at", "left").select("node", "at", "least", F.coalesce("open", F.lit(False)).alias("open")))], 1
+        while hops <= self.n and not (last := self.jumps[-1]).where("open").isEmpty():
+            onward = last.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("least").alias("least_on"), F.col("open").alias("open_on"))
+            step = last.join(onward, "at", "left")
+            self.jumps.append(cut(step.select("node", F.coalesce("further", "at").alias("at"), F.least("least", F.coalesce("least_on", "least")).alias("least"), F.coalesce("open_on", F.lit(False)).alias("open"))))
+            hops *= 2
+        last = self.jumps[-1]
+        # Who is still on the way after more hops than there are nodes is on a ring, and every node of one is led to.
+        on_ring = last.where("open").select(F.col("at").alias("node")).distinct()
+        self.rings = last.join(on_ring, "node", "left_semi").select("node", F.col("least").alias("cycle"))
+        ends = last.where("NOT open").select(F.col("node").alias("dst"), F.col("at").alias("end"))
+        others = edges.join(links.select(F.col("node").alias("src")), "src", "left_anti")
+        chains = links.select(F.col("node").alias("dst"), F.lit(True).alias("chain"))
+        mapped = cut(others.join(chains, "dst", "left").join(ends, "dst", "left").where("chain IS NULL OR end IS NOT NULL").select("src", F.coalesce("end", "dst").alias("dst"), F.when(F.col("chain"), F.col("dst")).alias("entry")))
+        self.entries = mapped.where("entry IS NOT NULL")
+        self.looped = mapped.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")).distinct()
+        ways = mapped.where("src <> dst").select("src", "dst").distinct()
+        self.rest = cut(ways.join(mapped.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+
+    def put_back(self, found: DataFrame | None) -> DataFrame | None:
+        """found, with the chains that its cycles run through: from an entry that one of a cycle's nodes leads to, up to a
+        node of the same cycle."""
+        if self.looped is None:
+            return found
+        looped = self.looped if found is None else self.looped.join(found.select("node"), "node", "left_anti")
+        found = cut(_joined(found, looped))
+        if found.isEmpty():
+            return None
+        at = lambda name, cycle: found.select(F.col("node").alias(name), F.col("cycle").alias(cycle))
+        marks = cut(self.entries.join(at("src", "c1"), "src").join(at("dst", "c2"), "dst").where("c1 = c2").select(F.col("entry").alias("node"), F.col("c1").alias("cycle")).distinct())
+        for jump in self.jumps:
+            if marks.isEmpty():
+                break
+            on = marks.join(jump.where("open").select("node", "at"), "node").select(F.col("at").alias("node"), "cycle")
+            marks = cut(marks.union(on).distinct())
+        return found.union(marks.join(found.select("node"), "node", "left_anti"))
+
+
+def _least_ancestor(edges: DataFrame, order: int) -> DataFrame:
+    """node and color: of the node and all that lead to it the least in a random order. A colour is an ancestor, so its
+    own colour is one too: each step also takes that, and reach grows by a factor."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    color = cut(nodes.withColumn("color", F.struct(F.xxhash64("node", F.lit(order)).alias("rank"), F.col("node").alias("node"))))
     while True:
         sent = edges.join(color, edges["src"] == color["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("got"))
-        after = cut(color.join(sent, "node", "left").select("node", F.least("color", F.coalesce("got", "color")).alias("color"), (F.coalesce("got", "color") < F.col("color")).alias("changed")))
-        if after.where("changed").isEmpty():
-            return after.drop("changed")
-        color = after.drop("changed")
+        hop = color.join(sent, "node", "left").select("node", "color", F.least("color", F.coalesce("got", "color")).alias("new"))
+        further = color.select(F.col("node").alias("at"), F.col("color").alias("jump"))
+        hop = hop.withColumn("at", F.col("new.node")).join(further, "at").select("node", F.least("new", "jump").alias("new"), "color")
+        color = cut(hop.select("node", F.col("new").alias("color"), (F.col("new") < F.col("color")).alias("changed")))
+        if color.where("changed").isEmpty():
+            return color.select("node", F.col("color.node").alias("color"))
+        color = color.drop("changed")
 
 
 def chain_ends(links: DataFrame, most: int | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Checks that follow references into the cells they cover.
 
-A reference to a rectangle meets its cells by an equi-join on sheet and band of rows, then by the exact bounds: each
-rectangle is sent to the bands it touches, each cell to its own, so no pair of all with all is formed.
+Sums, counts and whether a cell is covered come from running sums along a column or row: a range is two marks on each
+line, so the cost is that of the cells and the ranges, however much they overlap. Where the cells themselves are needed,
+a rectangle meets them by an equi-join on sheet and band of rows, then by the exact bounds: each rectangle is sent to
+the bands it touches, each cell to its own, so no pair of all with all is formed.
 """
 
 from __future__ import annotations
@@ -36,6 +38,55 @@ def numbers(model: Model) -> DataFrame:
     return model.cells.where("kind = 'number' AND num IS NOT NULL").select("workbook_id", "sheet", "row", "col", F.col("num").alias("value"))
 
 
+#: Sums are of decimals, so that differences of running sums are exact; larger numbers are summed one by one.
+EXACT, HUGE = "decimal(38,8)", 1e22
+
+
+def _along(line: str) -> W:
+    return W.partitionBy("workbook_id", "sheet", line).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+
+
+def sums_up_to(cells: DataFrame, marks: DataFrame, line: str, along: str) -> DataFrame:
+    """marks (workbook_id, sheet, `line` (row or col), at, and others) with total, n and huge: sum, count, and count of very
+    large ones, of the numbers (row, col, value) on their line up to their place `at`."""
+    others = [c for c in marks.columns if c not in ("workbook_id", "sheet", line, "at")]
+    small = F.abs("value") < HUGE
+    values = cells.select("workbook_id", "sheet", line, F.col(along).alias("at"), F.when(small, F.col("value")).otherwise(0).cast(EXACT).alias("v"), F.lit(1).alias("one"), F.when(small, 0).otherwise(1).alias("large"))
+    mark = F.struct(*others) if others else F.struct(F.lit(0).alias("_"))
+    rows = values.withColumn("mark", F.lit(None).cast(marks.select(mark.alias("m")).schema["m"].dataType)).union(marks.select("workbook_id", "sheet", line, "at", F.lit(0).cast(EXACT), F.lit(0), F.lit(0), mark))
+    over = _along(line)
+    rows = rows.select("workbook_id", "sheet", line, "at", "mark", *(F.sum(c).over(over).alias(name) for c, name in (("v", "total"), ("one", "n"), ("large", "huge"))))
+    return rows.where("mark IS NOT NULL").select("workbook_id", "sheet", line, "at", "mark.*", "total", "n", "huge")
+
+
+def lines_of(rects: DataFrame, cells: DataFrame) -> DataFrame:
+    """rects (workbook_id, to_sheet, r1, c1, r2, c2 and others), one row for each column (col) of them that their sheet uses."""
+    used = cells.groupBy("workbook_id", F.col("sheet").alias("to_sheet")).agg(F.max("col").alias("_last"))
+    rects = rects.join(used, ["workbook_id", "to_sheet"]).where("c1 <= least(c2, _last) AND r1 <= r2")
+    return rects.withColumn("col", F.explode(F.sequence("c1", F.least("c2", "_last")))).drop("_last")
+
+
+def range_sums(rects: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
+    """key, total and n: sum and count of the numbers (row, col, value) in each rectangle, which `key` names."""
+    ends = F.explode(F.array(F.struct(F.col("r2").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("r1") - 1).alias("at"), F.lit(-1).alias("sign"))))
+    marks = lines_of(rects, cells).select("workbook_id", F.col("to_sheet").alias("sheet"), "col", ends.alias("end"), F.struct(*key).alias("key"), F.struct("workbook_id", "to_sheet", "r1", "c1", "r2", "c2").alias("rect"))
+    marks = marks.select("workbook_id", "sheet", "col", "end.at", "end.sign", "key", "rect")
+    sums = sums_up_to(cells, marks, "col", "row").groupBy("key", "rect").agg(*(F.sum(F.col("sign") * F.coalesce(c, F.lit(0))).alias(c) for c in ("total", "n", "huge"))).where("n > 0")
+    exact = sums.where("huge = 0").select("key.*", F.col("total").cast("double").alias("total"), "n")
+    large = covered(sums.where("huge > 0").select("key", "rect.*"), cells).groupBy("key").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    return exact.union(large.select("key.*", "total", "n"))
+
+
+def covered_cells(rects: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells (workbook_id, sheet, row, col) that lie in some rectangle, with `ranges`, how many they lie in."""
+    ends = F.explode(F.array(F.struct(F.col("r1").alias("at"), F.lit(1).alias("step")), F.struct((F.col("r2") + 1).alias("at"), F.lit(-1).alias("step"))))
+    steps = lines_of(rects, cells).select("workbook_id", F.col("to_sheet").alias("sheet"), "col", ends.alias("end"))
+    steps = steps.groupBy("workbook_id", "sheet", "col", F.col("end.at").alias("at")).agg(F.sum("end.step").alias("step")).withColumn("cell", F.lit(False))
+    places = cells.select("workbook_id", "sheet", "col", F.col("row").alias("at"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("cell"))
+    rows = steps.union(places).withColumn("ranges", F.sum("step").over(_along("col")))
+    return rows.where("cell AND ranges > 0").select("workbook_id", "sheet", F.col("at").alias("row"), "col", "ranges")
+
+
 def aggregate_ranges(model: Model) -> DataFrame:
     """Aggregate calls over one range of their own sheet: the cell, fn and the range's corners."""
     one = model.calls.where(F.col("fn").isin(*AGGREGATES) & (F.size("args") == 1))
@@ -65,7 +116,7 @@ def aggregate_mismatches(model: Model, most_cells: int = 500, tolerance: float =
     """Formulas that are one SUM (of up to most_cells) whose cached value is off by more than tolerance."""
     whole = aggregate_ranges(model).where("fn = 'SUM' AND pos = 0 AND end_at = length(formula)").where((F.col("c2") - F.col("c1") + 1) * (F.col("r2") - F.col("r1") + 1) <= most_cells)
     place = ["workbook_id", "sheet", "row", "col"]
-    sums = covered(whole, numbers(model)).groupBy(*place).agg(F.sum("value").alias("resum"))
+    sums = range_sums(whole, numbers(model), place).withColumnRenamed("total", "resum")
     cached = model.cells.where("kind = 'number' AND num IS NOT NULL").select(*place, "addr", F.col("num").alias("cached"))
     return cached.join(sums, place).where(F.abs(F.col("cached") - F.col("resum")) > tolerance).select(*place, "addr", "cached", "resum")
 
@@ -105,10 +156,14 @@ def cross_casts(model: Model, span: int = 100, tolerance: float = 0.5) -> DataFr
     rows = lab.where("col <= 3").select("workbook_id", "sheet", F.col("row").alias("total_row")).distinct()
     cols = lab.where("row <= 5 AND col > 3").select("workbook_id", "sheet", F.col("col").alias("total_col"), F.col("row").alias("head")).distinct()
     pairs = rows.join(cols, ["workbook_id", "sheet"]).where(f"total_row > head AND total_row - head <= {span}")
-    cells = numbers(model)
-    in_row = pairs.join(cells, ["workbook_id", "sheet"]).where("row = total_row AND col < total_col").groupBy("workbook_id", "sheet", "total_row", "total_col", "head").agg(F.sum("value").alias("across"), F.count("*").alias("n_across"))
-    in_col = pairs.join(cells, ["workbook_id", "sheet"]).where("col = total_col AND row > head AND row < total_row").groupBy("workbook_id", "sheet", "total_row", "total_col", "head").agg(F.sum("value").alias("down"), F.count("*").alias("n_down"))
-    both = in_row.join(in_col, ["workbook_id", "sheet", "total_row", "total_col", "head"])
+    pairs = pairs.select("workbook_id", "sheet", "total_row", "total_col", "head")
+    cells, key = numbers(model), F.struct("total_row", "total_col", "head").alias("key")
+    rows = sums_up_to(cells, pairs.select("workbook_id", "sheet", F.col("total_row").alias("row"), (F.col("total_col") - 1).alias("at"), key), "row", "col")
+    ends = F.explode(F.array(F.struct((F.col("total_row") - 1).alias("at"), F.lit(1).alias("sign")), F.struct(F.col("head").alias("at"), F.lit(-1).alias("sign"))))
+    down = sums_up_to(cells, pairs.select("workbook_id", "sheet", F.col("total_col").alias("col"), ends.alias("end"), key).select("workbook_id", "sheet", "col", "end.*", "key"), "col", "row")
+    in_row = rows.select("workbook_id", "sheet", "key", F.col("total").cast("double").alias("across"), F.col("n").alias("n_across"))
+    in_col = down.groupBy("workbook_id", "sheet", "key").agg(F.sum(F.col("sign") * F.col("total")).cast("double").alias("down"), F.sum(F.col("sign") * F.col("n")).alias("n_down"))
+    both = in_row.join(in_col, ["workbook_id", "sheet", "key"]).select("workbook_id", "sheet", "key.*", "across", "n_across", "down", "n_down")
     return both.where((F.col("n_across") >= 2) & (F.col("n_down") >= 2) & (F.abs(F.col("across") - F.col("down")) > tolerance))
 
 
@@ -203,8 +258,8 @@ def redundant_inputs(model: Model) -> DataFrame:
     inputs = runs.join(size, ["workbook_id", "sheet", "col", "step", "island"]).where("NOT (n >= 3 AND first IN (0, 1))")
     own = model.refs.where("tgt_sheet IS NULL").join(sheets, ["workbook_id", "sheet"], "left_semi")
     rects = model.refs.where("tgt_sheet IS NOT NULL").unionByName(own).select("workbook_id", "to_sheet", "r1", "c1", "r2", "c2").distinct()
-    hit = covered(rects, inputs.select("workbook_id", "sheet", "row", "col")).select("workbook_id", F.col("to_sheet").alias("sheet"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col")).distinct()
-    return inputs.join(hit, ["workbook_id", "sheet", "row", "col"], "left_anti").select("workbook_id", "sheet", "row", "col", "addr", "num", "label")
+    hit = covered_cells(rects, inputs.select("workbook_id", "sheet", "row", "col"))
+    return inputs.join(hit.drop("ranges"), ["workbook_id", "sheet", "row", "col"], "left_anti").select("workbook_id", "sheet", "row", "col", "addr", "num", "label")
 
 
 def named_range_issues(model: Model) -> DataFrame:

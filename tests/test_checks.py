@@ -1,7 +1,11 @@
 """Checks on small grids: what they must find, and what they must leave alone."""
 
+import math
+import random
+import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.functions import addresses, scoring, text, tokens
@@ -328,3 +332,88 @@ def test_masked_errors_spread_over_ranges_and_sheets(spark):
     again = m.cells.select("workbook_id", "sheet", "row", "col").withColumn("value", F.lit(99.0))
     states = {(r["sheet"], r["row"], r["col"]): r["state"] for r in graph.recalculation(m.cells.withColumns({"kind": F.lit("number"), "num": F.lit(1.0)}), again, graph.likely_masked(m, broken)).collect()}
     assert states["Jan", 1, 2] == "likely masked" and states["Jan", 2, 3] == "mismatch"
+
+
+def slow_cycles(edges):
+    """node and smallest node of its cycle, by a search in depth there and back."""
+    ahead, back = {}, {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    seen, order = set(), []
+    for start in {x for e in edges for x in e}:
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead.get(start, [])))]
+        while stack:
+            node, onward = stack[-1]
+            new = next((x for x in onward if x not in seen), None)
+            if new is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(new)
+                stack.append((new, iter(ahead.get(new, []))))
+    of = {}
+    for start in reversed(order):
+        if start not in of:
+            group, todo = {start}, [start]
+            while todo:
+                todo += [x for x in back.get(todo.pop(), []) if x not in of and x not in group and not group.add(x)]
+            of |= dict.fromkeys(group, min(group))
+    size = {c: list(of.values()).count(c) for c in set(of.values())} if len(of) < 1000 else {c: 2 for c in set(of.values())}
+    return {(n, c) for n, c in of.items() if size[c] > 1 or (n, n) in edges}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cycles_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    n = r.choice([5, 15, 40, 90])
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(int(n * r.choice([0.8, 1.2, 1.6, 2.5])))]
+    got = {(x["node"], x["cycle"]) for x in graph.component_of_cycle(spark.createDataFrame([*edges, (None, 1), (2, None)], "src int, dst int")).collect()}
+    assert got == slow_cycles(edges)
+
+
+def test_long_rings_and_tails_take_few_rounds(spark):
+    n, at = 5000, list(range(15000))
+    random.Random(1).shuffle(at)
+    ring = [(at[k], at[(k + 1) % n]) for k in range(n)]
+    into = [(at[n + k], at[n + k + 1]) for k in range(n - 1)] + [(at[2 * n - 1], at[0])]
+    out = [(at[7], at[2 * n])] + [(at[2 * n + k], at[2 * n + k + 1]) for k in range(n - 1)]
+    began = time.time()
+    got = {(x["node"], x["cycle"]) for x in graph.component_of_cycle(spark.createDataFrame(ring + into + out, "src int, dst int")).collect()}
+    assert got == {(x, min(at[:n])) for x in at[:n]} and time.time() - began < 120
+
+
+def some_ranges(seed):
+    r = random.Random(seed)
+    cells = [("w", "S", row, col, r.choice([r.uniform(-9, 9), r.uniform(-1e15, 1e15), 3e25])) for row in range(1, 200) for col in range(1, 8) if r.random() < 0.6]
+    rects = []
+    for k in range(60):
+        r1, c1 = r.randrange(1, 210), r.randrange(1, 10)
+        rects.append((k, "w", "S", r1, c1, r1 + r.choice([0, 3, 100, 1_048_000]), c1 + r.choice([0, 0, 2, 16_000])))
+    return cells, [*rects, (60, "w", "S", 9, 1, 3, 1), (61, "w", "Other", 1, 1, 9, 9), *[(100 + k, *rects[0][1:]) for k in range(3)]]
+
+
+def test_ranges_by_running_sums(spark):
+    """Sums, counts and coverage of overlapping, empty, very high and very wide ranges, with numbers of any size."""
+    cells, rects = some_ranges(5)
+    inside = lambda q: [c[4] for c in cells if c[1] == q[2] and q[3] <= c[2] <= q[5] and q[4] <= c[3] <= q[6]]
+    frame = spark.createDataFrame(cells, "workbook_id string, sheet string, row int, col int, value double")
+    boxes = spark.createDataFrame(rects, "k int, workbook_id string, to_sheet string, r1 int, c1 int, r2 int, c2 int")
+    got = {r["k"]: (r["total"], r["n"]) for r in ranges.range_sums(boxes, frame, ["k"]).collect()}
+    want = {q[0]: (math.fsum(inside(q)), len(inside(q))) for q in rects if inside(q)}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and math.isclose(got[k][0], want[k][0], rel_tol=1e-9, abs_tol=1e-5) for k in want)
+    hits = {(r["row"], r["col"]): r["ranges"] for r in ranges.covered_cells(boxes, frame).collect()}
+    many = {(c[2], c[3]): sum(q[2] == "S" and q[3] <= c[2] <= q[5] and q[4] <= c[3] <= q[6] for q in rects) for c in cells}
+    assert hits == {k: n for k, n in many.items() if n}
+    plan = ranges.range_sums(boxes, frame, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 2  # one for exact sums, one that finds the large numbers: neither joins ranges with cells
+
+
+def test_ten_thousand_ranges_over_one_column(spark):
+    cells = spark.range(1, 300_001).select(F.lit("w").alias("workbook_id"), F.lit("S").alias("sheet"), F.col("id").cast("int").alias("row"), F.lit(1).alias("col"), (F.col("id") % 10).cast("double").alias("value"))
+    boxes = spark.range(10_000).select("id", F.lit("w").alias("workbook_id"), F.lit("S").alias("to_sheet"), (F.col("id") + 1).cast("int").alias("r1"), F.lit(1).alias("c1"), (300_000 - F.col("id")).cast("int").alias("r2"), F.lit(1).alias("c2"))
+    began = time.time()
+    r = ranges.range_sums(boxes, cells, ["id"]).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("total").alias("most")).first()
+    assert (r["k"], r["n"], r["most"]) == (10_000, sum(300_000 - 2 * k for k in range(10_000)), 1_350_000.0) and time.time() - began < 120

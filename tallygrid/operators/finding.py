@@ -28,6 +28,7 @@ EMITS = {
     "T0-BLANKCELLREF": ("low", 40, "S"), "T0-BASISMISMATCH": ("medium", 70, "N"), "T0-RI-001": ("medium", 95, "N"), "T0-NR-001": ("critical", 95, "N"), "T0-NR-002": ("high", 85, "N"),
     "T0-DSCRGATE-001": ("critical", 65, "N"), "T0-REVCASH-001": ("medium", 50, "N"), "T0-TAXRATE-001": ("medium", 45, "N"), "T0-LINK-001": ("critical", 90, "N"),
     "T0-CIRC-001": ("high", 80, "N"), "T0-CIRC-002": ("low", 75, "W"), "T0-CHAIN": ("medium", 70, "N"), "T0-DAISYCHAIN-001": ("low", 50, "S"), "T0-RECALC-001": ("high", 95, "N"), "T0-RECALC-002": ("high", 90, "N"),
+    "T0-VBA-001": ("medium", 100, "N"), "T0-VBA-002": ("high", 100, "N"), "T0-VBA-003": ("medium", 95, "N"), "T0-VBA-004": ("high", 95, "N"), "T0-VBA-005": ("high", 90, "N"),
 }
 
 

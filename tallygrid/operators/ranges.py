@@ -69,7 +69,9 @@ def lines_of(rects: DataFrame, cells: DataFrame) -> DataFrame:
 def range_sums(rects: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
     """key, total and n: sum and count of the numbers (row, col, value) in each rectangle, which `key` names."""
     ends = F.explode(F.array(F.struct(F.col("r2").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("r1") - 1).alias("at"), F.lit(-1).alias("sign"))))
-    marks = lines_of(rects, cells).select("workbook_id", F.col("to_sheet").alias("sheet"), "col", ends.alias("end"), F.struct(*key).alias("key"), F.struct("workbook_id", "to_sheet", "r1", "c1", "r2", "c2").alias("rect"))
+    corners = ["workbook_id", "to_sheet", "r1", "c1", "r2", "c2"]
+    named = rects.select(*corners, F.struct(*key).alias("key"))  # key may have a col of its own
+    marks = lines_of(named, cells).select("workbook_id", F.col("to_sheet").alias("sheet"), "col", ends.alias("end"), "key", F.struct(*corners).alias("rect"))
     marks = marks.select("workbook_id", "sheet", "col", "end.at", "end.sign", "key", "rect")
     sums = sums_up_to(cells, marks, "col", "row").groupBy("key", "rect").agg(*(F.sum(F.col("sign") * F.coalesce(c, F.lit(0))).alias(c) for c in ("total", "n", "huge"))).where("n > 0")
     exact = sums.where("huge = 0").select("key.*", F.col("total").cast("double").alias("total"), "n")

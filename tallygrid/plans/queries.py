@@ -244,8 +244,8 @@ def _rects(spark, sf):
 
 @query(f"SELECT id, count(*) AS cells, round(sum(num), 2) AS resum FROM {_RECT} r JOIN {_G} g ON g.sheet = r.sheet AND row_no BETWEEN r1 AND r2 AND col_no BETWEEN c1 AND c2 GROUP BY id")
 def range_resum(spark, sf):
-    """Sums of the cells inside rectangles, by bands of rows."""
-    return ranges.covered(_rects(spark, sf), ranges.numbers(grid_model(spark, sf))).groupBy("id").agg(F.count("*").alias("cells"), F.round(F.sum("value"), 2).alias("resum"))
+    """Sums of the cells inside rectangles, by running sums."""
+    return ranges.range_sums(_rects(spark, sf), ranges.numbers(grid_model(spark, sf)), ["id"]).select("id", F.col("n").alias("cells"), F.round("total", 2).alias("resum"))
 
 
 @query(f"SELECT id, min(row_no) AS subtotal_row FROM {_RECT} r JOIN {_L} l ON l.sheet = r.sheet AND row_no > r1 AND row_no < r2 AND txt = 'Total revenue' GROUP BY id")
@@ -451,14 +451,14 @@ def token_estimate(spark, sf):
     return sampling.token_estimate(formula_model(spark, sf).cells).drop("workbook_id")
 
 
-@query("""WITH b AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL), a AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL)
+@query("""WITH b AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL), a AS (SELECT l_returnflag AS check_id, CAST(l_suppkey AS VARCHAR) AS sha256, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL)
   SELECT check_id, sha256, b.n AS before, a.n AS after, CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'gone' ELSE 'changed' END AS what FROM b FULL JOIN a USING (check_id, sha256) WHERE b.n IS NULL OR a.n IS NULL OR a.n <> b.n""")
 def snapshot_diff(spark, sf):
     """Counts that changed between two snapshots."""
     from tallygrid.operators import sampling
 
     part = lambda c: table(spark, sf, "lineitem").where(c).groupBy(F.col("l_returnflag").alias("check_id"), F.col("l_suppkey").cast("string").alias("sha256")).agg(F.count("*").alias("n"))
-    return sampling.snapshot_changes(part("l_linenumber <= 2"), part("l_linenumber = 3"))
+    return sampling.snapshot_changes(part("l_linenumber % 2 = 1"), part("l_linenumber % 2 = 0"))
 
 
 @query("""SELECT 'n' || CAST(src AS VARCHAR) AS target, 'n' || CAST(dst AS VARCHAR) AS precedent, CAST(link_count * 150 AS BIGINT) AS link_count, 'Normal' AS direction, CASE WHEN link_count * 150 > 500 THEN 'High' WHEN link_count * 150 > 100 THEN 'Moderate' ELSE 'Low' END AS risk FROM (""" + duck(EDGES) + ")")

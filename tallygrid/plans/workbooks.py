@@ -43,6 +43,38 @@ def redundant_inputs_range(spark, sf):
     return ranges.redundant_inputs(model_of(spark, sf, INPUTS, SUMS)).select("sheet", F.col("row").alias("row_no"), F.col("col").alias("col_no"), "num")
 
 
+GRID_SHEETS = f"SELECT sheet, row_no, col_no, num FROM ({GRID})"
+OWN_SUMS = """SELECT concat('S', CAST(CAST(s_suppkey % 5 AS INT) AS STRING)) AS sheet, CAST(s_suppkey AS INT) + 1 AS row_no, 500 AS col_no, s_acctbal AS num, concat('SUM(C', CAST(s_suppkey % 200 + 2 AS STRING),
+  ':', chr(67 + CAST(s_suppkey % 8 AS INT)), CAST(s_suppkey % 200 + 2 + s_suppkey % 40 AS STRING), ')') AS formula FROM {supplier}"""
+
+
+@query(f"""SELECT concat('S', CAST(CAST(s_suppkey % 5 AS INT) AS VARCHAR)) AS sheet, CAST(s_suppkey AS INT) + 1 AS row_no, round(any_value(s_acctbal), 2) AS cached, round(sum(num), 2) AS resum
+  FROM supplier JOIN ({duck(GRID_SHEETS)}) g ON g.sheet = concat('S', CAST(CAST(s_suppkey % 5 AS INT) AS VARCHAR)) AND row_no BETWEEN s_suppkey % 200 + 2 AND s_suppkey % 200 + 2 + s_suppkey % 40 AND col_no BETWEEN 3 AND 3 + s_suppkey % 8
+  GROUP BY s_suppkey HAVING abs(any_value(s_acctbal) - sum(num)) > 1""")
+def aggregate_mismatch(spark, sf):
+    """SUM formulas whose value isn't the sum of their range."""
+    rows = ranges.aggregate_mismatches(model_of(spark, sf, GRID_SHEETS, OWN_SUMS))
+    return rows.select("sheet", F.col("row").alias("row_no"), F.round("cached", 2).alias("cached"), F.round("resum", 2).alias("resum"))
+
+
+#: A table to an order: a total row of two numbers, and a total column of its lines.
+TABLES = (
+    "SELECT concat('O', CAST(l_orderkey AS STRING)) AS sheet, CAST(l_linenumber AS INT) + 1 AS row_no, 6 AS col_no, l_extendedprice AS num, CAST(NULL AS STRING) AS txt FROM {lineitem}",
+    "SELECT concat('O', CAST(o_orderkey AS STRING)) AS sheet, 9 AS row_no, 4 AS col_no, floor(o_totalprice) AS num, CAST(NULL AS STRING) AS txt FROM {orders}",
+    "SELECT concat('O', CAST(o_orderkey AS STRING)) AS sheet, 9 AS row_no, 5 AS col_no, 1.0 AS num, CAST(NULL AS STRING) AS txt FROM {orders}",
+    "SELECT concat('O', CAST(o_orderkey AS STRING)) AS sheet, 9 AS row_no, 1 AS col_no, CAST(NULL AS DOUBLE) AS num, 'Total' AS txt FROM {orders}",
+    "SELECT concat('O', CAST(o_orderkey AS STRING)) AS sheet, 1 AS row_no, 6 AS col_no, CAST(NULL AS DOUBLE) AS num, 'Grand total' AS txt FROM {orders}",
+)
+
+
+@query("""SELECT concat('O', CAST(o_orderkey AS VARCHAR)) AS sheet, round(any_value(floor(o_totalprice)) + 1, 2) AS across, round(sum(l_extendedprice), 2) AS down, count(*) AS n_down
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING count(*) >= 2 AND abs(any_value(floor(o_totalprice)) + 1 - sum(l_extendedprice)) > 0.5""")
+def cross_cast(spark, sf):
+    """Tables whose total row and total column differ."""
+    rows = ranges.cross_casts(model_of(spark, sf, *TABLES))
+    return rows.select("sheet", F.round("across", 2).alias("across"), F.round("down", 2).alias("down"), "n_down")
+
+
 ONE_SHEET = f"SELECT 'M' AS sheet, row_no, col_no, num, formula FROM ({FORMULAS})"
 FILLED = """SELECT 'M' AS sheet, CAST(p_partkey AS INT) + 1 AS row_no, 1 AS col_no, p_retailprice AS num FROM {part} WHERE p_partkey % 10 <> 3
   UNION ALL SELECT 'M', CAST(p_partkey AS INT) + 1, 2, p_retailprice FROM {part} WHERE p_partkey % 4 = 1"""

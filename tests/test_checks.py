@@ -407,6 +407,8 @@ def test_ranges_by_running_sums(spark):
     hits = {(r["row"], r["col"]): r["ranges"] for r in ranges.covered_cells(boxes, frame).collect()}
     many = {(c[2], c[3]): sum(q[2] == "S" and q[3] <= c[2] <= q[5] and q[4] <= c[3] <= q[6] for q in rects) for c in cells}
     assert hits == {k: n for k, n in many.items() if n}
+    by_place = ranges.range_sums(boxes.withColumns({"row": F.col("k"), "col": F.col("k")}), frame, ["row", "col"]).collect()
+    assert {r["row"]: r["n"] for r in by_place} == {k: n for k, (_, n) in got.items()} and all(r["row"] == r["col"] for r in by_place)
     plan = ranges.range_sums(boxes, frame, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 2  # one for exact sums, one that finds the large numbers: neither joins ranges with cells
 

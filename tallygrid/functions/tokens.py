@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +125,35 @@ def refs(cells: DataFrame) -> DataFrame:
     return _explode(cells, "formula", refs_of, REFS)
 
 
-def with_relative_form(cells: DataFrame) -> DataFrame:
-    """Adds template, the formula relative to the cell's row and col; null without a formula."""
+CORNER = "struct<before: string, row: int, fixed_row: boolean, col: int, fixed_col: boolean>"
+
+
+def corners_of(formula: str) -> tuple[list[dict], str]:
+    """A formula as its corners of references, each with the text before it, and the text after the last."""
+    out, at = [], 0
+    for m in RELATIVE.finditer(formula):
+        for letters, digits, mark, mark2 in (("b", "d", "a", "c"), ("f", "h", "e", "g")):
+            if m[letters]:
+                before = formula[at : m.start("a")] if letters == "b" else ":"
+                out.append({"before": before, "row": int(m[digits]), "fixed_row": bool(m[mark2]), "col": number_of(m[letters]), "fixed_col": bool(m[mark])})
+        at = m.end()
+    return out, formula[at:]
 
-    @F.pandas_udf("string")
-    def relative(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else relative_form(f, r, c) for f, r, c in zip(formula, row, col, strict=True)], dtype=object)
 
-    return cells.withColumn("template", relative("formula", "row", "col"))
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    corner = pa.struct([("before", pa.string()), ("row", pa.int32()), ("fixed_row", pa.bool_()), ("col", pa.int32()), ("fixed_col", pa.bool_())])
+    for batch in batches:
+        found = [corners_of(f) for f in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.list_(corner)), pa.array([tail for _, tail in found], pa.string())], names=["formula", "_corners", "_tail"])
+
+
+def with_relative_form(cells: DataFrame) -> DataFrame:
+    """Adds template, the formula relative to the cell's row and col (see relative_form); null without a formula.
+
+    Distinct formulas are taken apart once; a cell's form is then put together from the corners and its place.
+    """
+    parts = cells.select("formula").where("formula IS NOT NULL").distinct().mapInArrow(_corners, f"formula string, _corners array<{CORNER}>, _tail string")
+    at = lambda mark, fixed, there, here: F.concat(F.lit(mark), F.when(fixed, there.cast("string")).otherwise(F.concat(F.lit("["), (there - here).cast("string"), F.lit("]"))))
+    one = lambda c: F.concat(c["before"], at("R", c["fixed_row"], c["row"], F.col("row")), at("C", c["fixed_col"], c["col"], F.col("col")))
+    template = F.concat(F.array_join(F.transform("_corners", one), ""), "_tail")
+    return cells.join(parts, "formula", "left").select(*cells.columns, template.alias("template"))

@@ -26,6 +26,16 @@ def test_relative_forms():
         assert tokens.relative_form(formula, row, col) == want
 
 
+def test_relative_forms_of_cells_are_put_together_in_columns(spark):
+    forms = ["A1+$B$2", "SUM($A1:B$9)*'My Sheet'!C3-Other!D4:$E$5", "NOW()", "", 'IF(A1="B2",LOG10(A1),XFD1048576)', "A1:B2:C3", "$A$1", None]
+    rows = [(f, r, c, 1) for f in forms for r, c in ((1, 1), (70, 30))]
+    got = tokens.with_relative_form(spark.createDataFrame(rows, "formula string, row int, col int, n int"))
+    assert got.columns == ["formula", "row", "col", "n", "template"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*r, None if r[0] is None else tokens.relative_form(*r[:3]))) for r in rows)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+
 def test_tokens():
     assert [c[2:4] + (c[6],) for c in tokens.calls_of("IF(A1>1,SUM(B1,2),0)")] == [("IF", 0, ["A1>1", "SUM(B1,2)", "0"]), ("SUM", 1, ["B1", "2"])]
     assert tokens.calls_of("SUM(A1") == [] and tokens.top_level_args("a, (b,c) ,") == ["a", "(b,c)"]

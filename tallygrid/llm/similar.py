@@ -5,6 +5,13 @@ distinct word shingles of a text make a longer fingerprint, which is cut into se
 fingerprint emits all variants within half the radius and equal variants meet, as in simhash.py. How long a segment is
 and how many there are comes from the number of sets: so long that chance meets are rare however many sets there are,
 and so many that a pair at the least similarity meets in one of them with a chance of RECALL (over 99.99 % from 0.85 on).
+Bits of small sets differ more often than the angle between them says, so that chance is reckoned at the set size where
+they differ most.
+
+Sets of up to SHORT shingles have no fingerprint: each emits itself and what is left of it without as many shingles as
+may differ, and so do those slightly larger that may be similar to one of them. Two sets are similar enough if and only
+if they meet in what they have in common and neither lacks too much, so all short pairs are found, however many sets
+there are. What meets is linked to the one that has least besides, which connects all that are similar.
 
 1. What meets in the first FIRST segments, directly or over others, is one node when the rest meet, so that a family of
    thousands of near copies gives a link for each member and no more. Links between fingerprints that differ like
@@ -20,6 +27,7 @@ products of matrices; no pair leaves a task).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -36,6 +44,10 @@ from tallygrid.llm.simhash import DEALT, Blocks, bit_table, blocks_of, dealt_pri
 WORDS, SIMILARITY = 5, 0.8
 #: The chance that a pair at the least similarity meets; how many chance meets a set may have in a segment.
 RECALL, CHANCE = 0.999, 0.1
+#: Sets of up to so many shingles meet by what they have in common.
+SHORT = 9
+#: Larger sets are held to differ as their angle says.
+LARGE = 64
 #: Segments whose meets are connected before the rest meet.
 FIRST = 2
 #: Fingerprints that are meant to meet in one block of a segment.
@@ -51,11 +63,34 @@ BROADCAST_KEYS = 2_000_000
 SETS = "key long, cluster long, n long, hashes binary"
 
 
+def may_differ(common: int, similarity: float) -> int:
+    """How many shingles two similar sets may have besides the common ones, together."""
+    return math.floor(common * (1 - similarity) / similarity + 1e-9)
+
+
+def share_differing(common: int, x: int, y: int) -> float:
+    """The share of bits in which the fingerprints of two sets differ that have so many hashes in common, and x and y
+    besides."""
+    chances = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    k = np.arange(common + 1)[:, None]
+    one = [(chances(own)[None, :] * (2 * (k + np.arange(own + 1)) > common + own)).sum(1) for own in (x, y)]
+    return float(chances(common) @ (one[0] * (1 - one[1]) + one[1] * (1 - one[0])))
+
+
+def most_differing(similarity: float, above: int) -> float:
+    """The largest share of differing bits of two similar sets of which one has over `above` hashes."""
+    found = [math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi]
+    for common in range(1, LARGE + 1):
+        own = may_differ(common, similarity)
+        found += [share_differing(common, own - y, y) for y in range(own // 2 + 1) if common + own - y > above and common + y > above]
+    return max(found)
+
+
 class Layout:
-    """Bits of a segment, half radius and number of segments for n sets."""
+    """Bits of a segment, half radius and number of segments for n sets, each of over `above` hashes."""
 
-    def __init__(self, n: int, similarity: float):
-        p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # the share of bits that differ
+    def __init__(self, n: int, similarity: float, above: int = SHORT):
+        p = most_differing(similarity, above)
         best = None
         for half in (1, 2):
             for bits in range(16, 65):
@@ -106,18 +141,22 @@ def wide_fingerprints(sets: list[np.ndarray], lanes: int, bits_of: np.ndarray) -
     return out
 
 
-def fingerprinter(words: int, lanes: int):
-    """To doc_id, key and text: a digest of the set and its fingerprint."""
+def fingerprinter(words: int, lanes: int, similarity: float):
+    """To doc_id, key and text: a digest of the set, its fingerprint (null for short sets) and its hashes (null for sets
+    that can't be similar to another one of up to SHORT)."""
+    reach = SHORT + may_differ(SHORT, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, bits_of = lower_table(), bit_table()
         for batch in batches:
-            same, wide = [], []
+            same, wide, hashes = [], [], []
             for _, _, data, at in chunks(batch.column(2), 1 << 20):
                 sets = shingle_sets(data, at, words, lower)
                 same += [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-                wide += [x.tobytes() for x in wide_fingerprints(sets, lanes, bits_of)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "key", "same", "wide"])
+                prints = iter(wide_fingerprints([s for s in sets if len(s) > SHORT], lanes, bits_of))
+                wide += [next(prints).tobytes() if len(s) > SHORT else None for s in sets]
+                hashes += [s.tobytes() if len(s) <= reach and may_differ(len(s), similarity) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "key", "same", "wide", "hashes"])
         give_back()
 
     return run
@@ -167,10 +206,47 @@ def related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= UNRELATED * 8 * x.shape[1]))
 
 
-def clusters(prints: DataFrame, layout: Layout) -> DataFrame:
-    """node (a key) and component of the keys in prints (key, wide) that are connected by related meets; others have no
-    row."""
-    parts, edges = None, None
+def subsets_of(similarity: float):
+    """To key and hashes: key, a hash of each subset of up to SHORT that a similar set may have in common with it, how
+    many are in that and how many are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            size, keys = np.array([len(s) for s in sets], np.int64), batch.column(0).to_numpy()
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                hashes = np.stack([sets[k] for k in own.tolist()])
+                whole = hashes.sum(1, dtype=np.uint64)
+                for besides in range(max(0, n - SHORT), n):
+                    if besides > may_differ(n - besides, similarity):
+                        break
+                    out = np.array(list(itertools.combinations(range(n), besides)), np.int64).reshape(math.comb(n, besides), besides)
+                    left = whole[:, None] - hashes[:, out].sum(2, dtype=np.uint64) + np.uint64((n - besides) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                    many = left.size
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[own], len(out))), pa.array(left.ravel().view(np.int64)), pa.array(np.full(many, n - besides, np.int32)), pa.array(np.full(many, besides, np.int32))], names=["key", "subset", "common", "besides"])
+
+    return run
+
+
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all similar sets (key, hashes; distinct) of which one has up to SHORT hashes.
+
+    Two sets are similar if what both have besides a common subset is no more than may differ. If a set is similar to
+    any other one in a subset then it is to the one that has least besides, so links to that are enough: one a row.
+    """
+    meets = saved(sets.mapInArrow(subsets_of(similarity), "key long, subset long, common int, besides int"))
+    first = F.min(F.struct("besides", "key")).alias("first")
+    shared = meets.groupBy("subset", "common").agg(first, F.count("*").alias("n")).where("n > 1").select("subset", "common", "first")
+    most = F.element_at(F.lit([may_differ(n, similarity) for n in range(1, SHORT + 1)]), F.col("common"))
+    links = meets.join(shared, ["subset", "common"]).where((F.col("key") != F.col("first.key")) & (F.col("besides") + F.col("first.besides") <= most))
+    return links.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def clusters(prints: DataFrame, layout: Layout, edges: DataFrame | None = None) -> DataFrame:
+    """node (a key) and component of the keys that are connected by edges (a, b) or by related meets of prints (key,
+    wide); others have no row."""
+    parts = None
     for segments in (range(min(FIRST, layout.segments)), range(min(FIRST, layout.segments), layout.segments)):
         if not len(segments):
             continue
@@ -302,11 +378,12 @@ def similar_documents(documents: DataFrame, words: int = WORDS, similarity: floa
     documents = documents.select("doc_id", "text")
     layout = Layout(documents.count(), similarity)
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = saved(rows.mapInArrow(fingerprinter(words, layout.lanes), "doc_id long, key long, same binary, wide binary"))
+    rows = saved(rows.mapInArrow(fingerprinter(words, layout.lanes, similarity), "doc_id long, key long, same binary, wide binary, hashes binary"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")
-    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.min_by("wide", order).alias("wide"))
-    firsts = saved(firsts.select("same", "first", F.col("first.key").alias("key"), "wide"))
-    parts = clusters(firsts.select("key", "wide"), layout)
+    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.min_by(F.struct("wide", "hashes"), order).alias("set"))
+    firsts = saved(firsts.select("same", "first", F.col("first.key").alias("key"), "set.*"))
+    short = saved(short_links(firsts.where("hashes IS NOT NULL").select("key", "hashes"), similarity))
+    parts = clusters(firsts.where("wide IS NOT NULL").select("key", "wide"), layout, short)
     linked = connected_components(exact_links(sets_of(documents, parts, words), similarity))
     named = firsts.join(linked, firsts["key"] == linked["node"], "left").select("same", "first", F.coalesce("component", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("least"))

@@ -293,6 +293,57 @@ def test_short_near_copies_are_all_found(spark):
     assert_exact_groups(spark, texts)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.75, 0.9])
+def test_short_sets_are_linked_exactly(spark, similarity):
+    """Sets of 1 to 13 hashes that share much: links connect all similar pairs of which one is short, and no link is less
+    similar."""
+    rng = np.random.default_rng(12)
+    sets = set()
+    for k in range(60):
+        pool = rng.integers(0, 1 << 63, 13).astype(np.uint64)
+        sets |= {tuple(np.sort(rng.choice(pool, int(rng.integers(max(1, 12 - k % 12), 14)), replace=False)).tolist()) for _ in range(12)}
+    sets = sorted(sets)
+    reach = similar.SHORT + similar.may_differ(similar.SHORT, similarity)
+    rows = [(k, np.array(s, np.uint64).tobytes()) for k, s in enumerate(sets) if len(s) <= reach]
+    links = [(r["a"], r["b"]) for r in similar.short_links(spark.createDataFrame(rows, "key long, hashes binary"), similarity).collect()]
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) >= similarity * len({*sets[a]} | {*sets[b]}) - 1e-9
+    assert links and all(alike(a, b) for a, b in links)
+
+    def groups(pairs):
+        label = list(range(len(sets)))
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in pairs:
+            label[root(a)] = root(b)
+        return [root(k) for k in range(len(sets))]
+
+    got = groups(links)
+    short = [k for k, s in enumerate(sets) if len(s) <= similar.SHORT]
+    assert all(got[a] == got[b] for a in short for b in range(len(sets)) if alike(a, b))
+
+
+def test_recall_at_each_set_size(spark, monkeypatch):
+    """Copies at the least similarity of texts of 4 to 40 shingles, in a layout for ten million sets."""
+    layout = similar.Layout
+    monkeypatch.setattr(similar, "Layout", lambda n, similarity: layout(10_000_000, similarity))
+    texts, size = [], []
+    for n in (4, 5, 6, 8, 9, 10, 12, 13, 16, 17, 24, 40):
+        for k in range(60):
+            words = [f"z{n}x{k}x{j}" for j in range(n + 4)]
+            texts += [" ".join(words), " ".join([*words, *(f"y{n}x{k}x{j}" for j in range(similar.may_differ(n, 0.8)))])]
+            size.append(n)
+    got = {r["doc_id"]: r["first_key"] for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {}
+    for k, n in enumerate(size):
+        found.setdefault(n, []).append(got[2 * k] == got[2 * k + 1])
+    assert all(all(v) for n, v in found.items() if n <= similar.SHORT) and all(np.mean(v) >= 0.95 for v in found.values())
+    assert len(set(got.values())) >= len(size)  # pairs of different texts stay apart
+
+
 def test_large_groups_of_alike_texts_are_tried_in_full(spark, monkeypatch):
     monkeypatch.setattr(similar, "CHUNK", 16, raising=False)
     rng = np.random.default_rng(4)

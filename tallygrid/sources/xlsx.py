@@ -131,6 +131,29 @@ def _covers(ranges: str, row: int, col: int) -> bool:
     return False
 
 
+def raw_cell(c, shared: dict) -> tuple | None:
+    """row, col, formula, its kind and the stored value of a cell's element; shared holds formula, row and column of the
+    shared formulas so far."""
+    m = ADDRESS.match(c.get("r", ""))
+    if not m:
+        return None
+    row, col = int(m[2]), number_of(m[1])
+    formula = kind_of = None
+    value = next((x.text for x in c if _tag(x) == "v"), None)
+    for x in c:
+        if _tag(x) == "f":
+            kind_of, formula = x.get("t", "normal"), x.text
+            if kind_of == "shared":
+                if formula:
+                    shared[x.get("si")] = (formula, row, col)
+                elif x.get("si") in shared:
+                    base, r0, c0 = shared[x.get("si")]
+                    formula = shifted(base, row - r0, col - c0)
+        elif _tag(x) == "is":
+            value = "".join(t.text or "" for t in x.iter() if _tag(t) == "t")
+    return row, col, formula, kind_of, value
+
+
 def read_sheet(book: zipfile.ZipFile, workbook_id: str, idx: int, name: str, file: str, texts: list[str], styles: list[dict]) -> tuple[tuple, list[tuple]]:
     """(row of sheets, rows of cells) of one sheet."""
     cells, shared, merges, validations = [], {}, [], []
@@ -151,24 +174,11 @@ def read_sheet(book: zipfile.ZipFile, workbook_id: str, idx: int, name: str, fil
             if e.get("hidden") in ("1", "true"):
                 hidden_rows.append(int(e.get("r")))
             for c in e:
-                m = ADDRESS.match(c.get("r", ""))
-                if not m:
+                raw = raw_cell(c, shared)
+                if raw is None:
                     continue
-                row, col = int(m[2]), number_of(m[1])
+                row, col, formula, kind_of, value = raw
                 style = styles[int(c.get("s", 0))] if int(c.get("s", 0)) < len(styles) else {}
-                formula = kind_of = None
-                value = next((x.text for x in c if _tag(x) == "v"), None)
-                for x in c:
-                    if _tag(x) == "f":
-                        kind_of, formula = x.get("t", "normal"), x.text
-                        if kind_of == "shared":
-                            if formula:
-                                shared[x.get("si")] = (formula, row, col)
-                            elif x.get("si") in shared:
-                                base, r0, c0 = shared[x.get("si")]
-                                formula = shifted(base, row - r0, col - c0)
-                    elif _tag(x) == "is":
-                        value = "".join(t.text or "" for t in x.iter() if _tag(t) == "t")
                 kind, num, txt, flag, when, err = "blank", None, None, None, None, None
                 t = c.get("t", "n")
                 if value is not None:
@@ -267,13 +277,13 @@ def workbook_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: files.mapInPandas(rows(t), s) for t, s in TABLES.items()} | {"skipped": gate(found).where("state <> 'ok'")}
 
 
-def gate(files: DataFrame) -> DataFrame:
-    """What `binaryFile` rows are: ok, empty, too large, encrypted (an OLE file by the name of a zip one) or not a
+def gate(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """What `binaryFile` rows are: ok, empty, too large (no file is without a limit), encrypted (an OLE file by the name of a zip one) or not a
     workbook. (Spark's binary source itself leaves out files of no bytes.)"""
     head = F.hex(F.substring("content", 1, 8))
     modern = F.lower("path").rlike(r"\.(xlsx|xlsm)$")
     state = (
-        F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(modern & F.startswith(head, F.lit(OLE_HEAD)), "encrypted")
+        F.when(F.col("length") == 0, "empty").when(F.lit(False) if most_bytes is None else F.col("length") > most_bytes, "too large").when(modern & F.startswith(head, F.lit(OLE_HEAD)), "encrypted")
         .when(F.startswith(head, F.lit(ZIP_HEAD)) | F.startswith(head, F.lit(OLE_HEAD)), "ok").otherwise("not a workbook")
     )
     return files.select("path", "length", state.alias("state"))

@@ -57,13 +57,50 @@ def complex_formulas(unique: DataFrame, least: int = 4, most: int = 40) -> DataF
     return unique.where(F.col("fscore") >= least).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 
 
+def _pushed(stack, piece):
+    """Open brackets after a piece of JSON that stands outside strings."""
+    marks = F.split(F.regexp_replace(piece, r"[^\[\]{}]", ""), "")
+    return F.aggregate(marks, stack, lambda open_, m: F.when(m.isin("{", "["), F.concat(open_, m)).when(m.isin("}", "]"), F.left(open_, F.greatest(F.length(open_) - 1, F.lit(0)))).otherwise(open_))
+
+
+def with_quotes_escaped(text):
+    """JSON in which quotes inside strings are escaped.
+
+    A string ends at a quote that is followed by a colon, a closing bracket or the end, or by a comma with what may come
+    after it: in an array the start of a value, in an object a string and a colon. All other quotes in a string belong to
+    it. The text is cut at its quotes; a fold over these carries whether a string is open and which brackets are.
+    """
+    pieces = F.split(text, r'(?<!\\)"')
+    at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    n = F.size(pieces)
+
+    def ends(k, stack):
+        after, array = F.ltrim(F.regexp_replace(at(k), r"\s", " ")), F.right(stack, F.lit(1)) == "["
+        value = F.ltrim(F.substr(after, F.lit(2)))
+        key = (k + 2 < n) & at(k + 2).rlike(r"^\s*:")
+        comma = F.when(value != "", array & value.rlike(r"^[{\[\-0-9tfn]")).otherwise((k + 1 < n) & (array | key))
+        return F.when(after == "", k + 1 >= n).when(F.left(after, F.lit(1)).isin(":", "}", "]"), True).when(F.left(after, F.lit(1)) == ",", comma).otherwise(False)
+
+    def step(state, k):
+        inside, stack = state["inside"], state["stack"]
+        kept = ~inside | ends(k, stack)
+        still = F.when(inside, ~ends(k, stack)).otherwise(True)
+        return F.struct(still.alias("inside"), F.when(still, stack).otherwise(_pushed(stack, at(k))).alias("stack"), F.concat(state["marks"], F.when(kept, "q").otherwise("e")).alias("marks"))
+
+    start = F.struct(F.lit(False).alias("inside"), _pushed(F.lit(""), at(F.lit(0))).alias("stack"), F.lit("").alias("marks"))
+    quotes = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    marks = F.split(F.aggregate(quotes, start, step, lambda state: state["marks"]), "")
+    return F.concat(at(F.lit(0)), F.array_join(F.transform(quotes, lambda k: F.concat(F.when(F.get(marks, k - 1) == "q", F.lit('"')).otherwise(F.lit('\\"')), at(k))), ""))
+
+
 def parsed_reply(text, schema: str):
-    """A JSON object out of a reply: without fences and what stands around it, trailing commas mended; null if it can't
-    be read."""
-    inner = F.regexp_extract(F.regexp_replace(text, r"(?s)```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    mended = F.regexp_replace(inner, r",(\s*[}\]])", "$1")
-    plain, fixed = F.from_json(inner, schema, {"mode": "PERMISSIVE"}), F.from_json(mended, schema, {"mode": "PERMISSIVE"})
-    return F.when(F.try_parse_json(inner).isNotNull(), plain).when(F.try_parse_json(mended).isNotNull(), fixed)
+    """A JSON object out of a reply: without fences and what stands around it, read as it is or else with quotes inside
+    strings escaped, without trailing commas, or both (commas first, as one would hide where a string ends); null if none of these can be read (as a reply that breaks off)."""
+    inner = F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+    without_commas = lambda x: F.regexp_replace(x, r",(\s*[}\]])", "$1")
+    forms = (inner, with_quotes_escaped(inner), without_commas(inner), with_quotes_escaped(without_commas(inner)))
+    readable = F.coalesce(*(F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in forms))
+    return F.from_json(readable, schema, {"mode": "PERMISSIVE"})
 
 
 def snapshot(findings: DataFrame, files: DataFrame) -> DataFrame:

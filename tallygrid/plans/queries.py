@@ -483,3 +483,25 @@ def recalc_compare(spark, sf):
     cells = o.select(*place, F.lit("A1").alias("formula"), F.lit("number").alias("kind"), F.col("o_totalprice").alias("num"))
     again = o.where("o_orderkey % 13 <> 0").select(*place, F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.01).otherwise(F.col("o_totalprice")).alias("value"))
     return graph.recalculation(cells, again, o.where("o_custkey % 3 = 0").select(*place)).select(F.col("row").cast("long").alias("o_orderkey"), "state")
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 7 AS k FROM orders) SELECT o_orderkey,
+  CASE k WHEN 2 THEN 'status "' || o_orderstatus || '", then "' || o_orderpriority || '" again' WHEN 4 THEN 'a "' || o_orderpriority || '": quoted' WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE o_orderpriority END AS note,
+  CASE WHEN k < 5 THEN o_custkey END AS n, CASE WHEN k IN (1, 2) THEN 2 WHEN k < 5 THEN 1 END AS tags FROM o""")
+def reply_repair(spark, sf):
+    """Replies around a JSON object, with quotes and commas where none belong (F30): a form to each remainder of the key."""
+    from tallygrid.operators import sampling
+
+    k, key, status, level = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    put = lambda form, *columns: F.format_string(form, *columns)
+    reply = (
+        F.when(k == 0, put('{"note": "%s", "n": %s, "tags": ["x"]}', level, key))
+        .when(k == 1, put('Here it is:\n```json\n{"note": "%s",\n "n": %s, "tags": ["x", "y"]}\n```\nDone.', level, key))
+        .when(k == 2, put('{"note": "status "%s", then "%s" again", "n": %s, "tags": ["x", "y"]}', status, level, key))
+        .when(k == 3, put('{"note": "%s", "n": %s, "tags": ["x",],}', level, key))
+        .when(k == 4, put('{"note": "a \\"%s\\": quoted", "n": %s, "tags": ["say "x" twice",],}', level, key))
+        .when(k == 5, put('{"note": "%s", "n": %s, "tags": ["x"', level, key))
+        .otherwise(put("no object for %s", level))
+    )
+    got = sampling.parsed_reply(reply, "note string, n long, tags array<string>")
+    return table(spark, sf, "orders").select("o_orderkey", got.alias("got")).select("o_orderkey", "got.note", "got.n", F.when(F.col("got").isNotNull(), F.size("got.tags")).alias("tags"))

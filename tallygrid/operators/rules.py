@@ -22,19 +22,28 @@ def plain(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[\s\-_.]+", "")
 
 
+def runs_of_words(words: Column) -> Column:
+    """All runs of an array of words, each joined by a space."""
+    n = F.size(words)
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda m: F.array_join(F.slice(words, k, m), " "))))
+
+
+def _name_keys(name: Column, whole: str, part: str) -> Column:
+    """What a name is found by at each level: as it is, in lower case, without marks, and by its words: all of them as
+    `whole`, each run of them as `part`. Names of sheets are short, so runs are few."""
+    words = F.btrim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "))
+    key = lambda level, kind, value: F.struct(F.lit(level).alias("level"), F.lit(kind).alias("kind"), value.alias("value"))
+    plainly = F.array(key(0, "", name), key(1, "", F.lower(name)), key(2, "", plain(name)), key(3, whole, words))
+    return F.array_distinct(F.concat(plainly, F.transform(runs_of_words(F.split(words, " ")), lambda run: key(3, part, run))))
+
+
 def resolved(rules: DataFrame, sheets: DataFrame, list_param: str = "sheets") -> DataFrame:
     """For each rule, workbook and alias the best sheet: exact, then case-insensitive, then without marks, then by whole
     words either way; the first alias that resolves, and the first sheet in tab order, win."""
     aliases = rules.select("rule_id", F.posexplode(F.split(F.element_at("params", list_param), r"\s*,\s*")).alias("alias_idx", "alias"))
-    words = lambda c: F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "))
-    level = (
-        F.when(F.col("sheet") == F.col("alias"), 0)
-        .when(F.lower("sheet") == F.lower("alias"), 1)
-        .when(plain(F.col("sheet")) == plain(F.col("alias")), 2)
-        .when(F.contains(words(F.col("sheet")), words(F.col("alias"))) | F.contains(words(F.col("alias")), words(F.col("sheet"))), 3)
-    )
-    # Rules are few and come from a file; sheets are one row for each tab.
-    hits = sheets.select("workbook_id", "sheet_idx", "sheet").join(F.broadcast(aliases), level.isNotNull()).withColumn("level", level)
+    named = sheets.select("workbook_id", "sheet_idx", "sheet", F.explode(_name_keys(F.col("sheet"), "whole", "part")).alias("at"))
+    asked = aliases.select("rule_id", "alias_idx", F.explode(_name_keys(F.col("alias"), "part", "whole")).alias("at"))
+    hits = named.join(asked, "at").withColumn("level", F.col("at.level"))
     return hits.groupBy("rule_id", "workbook_id").agg(F.min_by("sheet", F.struct("alias_idx", "level", "sheet_idx")).alias("sheet"))
 
 

@@ -505,3 +505,16 @@ def reply_repair(spark, sf):
     )
     got = sampling.parsed_reply(reply, "note string, n long, tags array<string>")
     return table(spark, sf, "orders").select("o_orderkey", got.alias("got")).select("o_orderkey", "got.note", "got.n", F.when(F.col("got").isNotNull(), F.size("got.tags")).alias("tags"))
+
+
+_MADE_LABEL = "CASE p_partkey % 6 WHEN 0 THEN 'Real Estate: ' || p_name WHEN 1 THEN p_name || ' (mixed-use), rail transport' WHEN 2 THEN 'Coal/' || p_name WHEN 3 THEN p_name || ' railways' WHEN 4 THEN p_name || ' RAIL' ELSE p_type END"
+_HOLDS = "regexp_matches(lower(label), '(^|[^a-z0-9])({})($|[^a-z0-9])')"
+
+
+@query(f"""SELECT domain, count(*) AS labels FROM (SELECT CASE WHEN {_HOLDS.format('property|real estate|development|hospitality|entertainment venue|venue development|mixed-use|mixed use|corporate')} THEN 'property'
+  WHEN {_HOLDS.format('mining|coal|resources|minerals')} THEN 'mining' WHEN {_HOLDS.format('infrastructure|railway|rail|rail transport|rail infrastructure')} THEN 'infrastructure' ELSE label END AS domain FROM (SELECT {_MADE_LABEL} AS label FROM part)) GROUP BY domain""")
+def model_domains(spark, sf):
+    """Kinds of models by what their labels call them (2.9): phrases meet aliases by equality."""
+    from tallygrid.operators.domains import with_domain
+
+    return with_domain(table(spark, sf, "part").select(F.expr(_MADE_LABEL).alias("label")), "label").groupBy("domain").agg(F.count("*").alias("labels"))

@@ -114,22 +114,38 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def by_id_ranges(df: DataFrame, key: str, text: str, block_bytes: int, least: int) -> list:
     """Ascending values of key that cut its rows into runs of about block_bytes of text, and at least about `least` runs.
 
-    Runs of equal counts come first; those that still hold over twice the bytes (long texts next to each other) are cut
-    again, unless they have one key only: rows that share a key stay in one run. The driver gets one value of each run.
+    Ranges of equal counts come first, then each is cut in its sorted order wherever a run would come to hold over twice
+    the bytes (long texts next to each other). Rows that share a key stay in one run, so only such a key can hold more.
+    A null key is left out. The driver gets one value of each run.
     """
-    sizes = df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).where(F.col(key).isNotNull())
+    sizes = df.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")).where(F.col(key).isNotNull())
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    n, cuts, within = max(least, math.ceil(total / block_bytes)), set(), F.lit(True)
-    for _ in range(4):
-        parts = sizes.where(within).repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("bytes").alias("bytes")).collect()
-        cuts |= {r["first"] for r in parts}
-        large = [r for r in parts if r["bytes"] > 2 * block_bytes and r["first"] < r["last"]]
-        if not large or len(large) > 1000:
-            break
-        within, n = F.lit(False), sum(math.ceil(2 * r["bytes"] / block_bytes) for r in large)
-        for r in large:
-            within = within | F.col(key).between(r["first"], r["last"])
-    return sorted(cuts)[1:]
+    limit = 2 * block_bytes
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, any_yet = 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, ends = keys[new], np.cumsum(np.add.reduceat(n, new))
+            cuts, start, before = [] if any_yet else [0], 0, 0
+            any_yet = True
+            while True:
+                at = int(np.searchsorted(ends, before + limit - held, "right"))
+                if at == start and not held:
+                    at += 1  # one key is over the limit by itself
+                if at >= len(keys):
+                    break
+                cuts.append(at)
+                held, start, before = 0, at, int(ends[at - 1]) if at else 0
+            held += int(ends[-1]) - before
+            if cuts:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(new[cuts]))], names=[key])
+
+    parts = sizes.repartitionByRange(max(least, math.ceil(total / block_bytes)), key).sortWithinPartitions(key)
+    return sorted({r[0] for r in parts.mapInArrow(firsts, sizes.select(key).schema).collect()})[1:]
 
 
 def packed(rows: pa.Table) -> bytes:

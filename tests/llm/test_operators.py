@@ -629,6 +629,16 @@ def test_runs_follow_the_bytes(spark):
     assert sizes.max() <= 200_000 and len(cuts) < 100 and cuts == sorted(set(cuts))
 
 
+def test_runs_are_bounded_however_many_are_too_large(spark):
+    rows = [(k, "x" * (2_000 if k % 3 == 0 else 1)) for k in range(-3_000, 6_000)] + [(7, "z" * 9_000)] * 3
+    cuts = common.by_id_ranges(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "doc_id", "text", 2_100, 2)
+    sizes, run = np.zeros(len(cuts) + 1), np.searchsorted(cuts, [k for k, _ in rows], "right")
+    np.add.at(sizes, run, [len(t) for _, t in rows])
+    alone = sizes > 4_200
+    assert len(cuts) > 1_000 and alone.sum() == 1 and {k for (k, _), r in zip(rows, run, strict=True) if alone[r]} == {7}
+    assert common.by_id_ranges(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 100, 4) == []
+
+
 def test_pieces_are_equal_by_bytes_not_by_hash():
     pool = np.frombuffer(b"abcabdabc", np.uint8)
     key, one, sizes, begin = np.zeros(3, np.uint64), np.zeros(3, np.uint64), np.full(3, 3), np.array([0, 3, 6])

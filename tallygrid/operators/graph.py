@@ -284,8 +284,37 @@ def orphan_sheets(sheets: DataFrame, dependencies: DataFrame, inputs: DataFrame
 KEY_OUTPUTS = ("irr", "npv", "ebitda", "dscr", "moic", "equity multiple", "development margin", "exit multiple", "equity irr", "project irr")
 
 
+#: A set of sources is a bitmap in a long.
+MOST_SOURCES = 62
+
+
+def trace(model: Model, sources: DataFrame, depth: int = 15) -> DataFrame:
+    """What formulas rest on, for many sources at once: workbook_id, sheet, row, col, outputs (how many sources of its
+    workbook lead there), depth (steps from the nearest) and what is there: formula, error, dead end (blank) or input.
+
+    sources: places of a workbook with k from 1 to MOST_SOURCES. The walk keeps one row for each cell, with the set of
+    sources that reached it as a bitmap; a step sends on only what is new to a cell. Cells of unknown sheets are left out.
+    """
+    node = F.struct("workbook_id", "sheet", "row", "col")
+    edges = cut(cell_edges(model))
+    seen = cut(sources.groupBy(node.alias("node")).agg(F.expr("bit_or(shiftleft(1L, k - 1))").alias("bits")).select("node", "bits", F.col("bits").alias("new"), F.lit(0).alias("depth")))
+    for wave in range(1, depth + 1):
+        frontier = seen.where("new <> 0").select(F.col("node").alias("src"), "new")
+        step = frontier.join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.bit_or("new").alias("got"))
+        before, got = F.coalesce("bits", F.lit(0)), F.coalesce("got", F.lit(0))
+        met = seen.drop("new").join(step, "node", "full_outer")
+        seen = cut(met.select("node", before.bitwiseOR(got).alias("bits"), got.bitwiseAND(F.bitwise_not(before)).alias("new"), F.coalesce("depth", F.lit(wave)).alias("depth")))
+        if seen.where("new <> 0").isEmpty():
+            break
+    real = model.sheets.select("workbook_id", "sheet")
+    places = seen.select("node.*", F.bit_count("bits").cast("long").alias("outputs"), "depth").join(real, ["workbook_id", "sheet"], "left_semi")
+    state = model.cells.select("workbook_id", "sheet", "row", "col", "formula", "err", (F.col("kind") == "blank").alias("blank"))
+    what = F.when(F.col("formula").isNotNull(), "formula").when(F.col("err").isNotNull(), "error").when(F.coalesce("blank", F.lit(True)), "dead end").otherwise("input")
+    return places.join(state, ["workbook_id", "sheet", "row", "col"], "left").select("workbook_id", "sheet", "row", "col", what.alias("what"), "outputs", "depth")
+
+
 def key_output_chains(model: Model, most_outputs: int = 15, depth: int = 10) -> DataFrame:
-    """Blank or error cells that key outputs lead to over their references, with how many outputs do.
+    """Blank or error cells that key outputs lead to over their references, with how many outputs do and in how few steps.
 
     The first most_outputs formula outputs of a workbook (by position) are followed over up to depth steps.
     """
@@ -293,25 +322,12 @@ def key_output_chains(model: Model, most_outputs: int = 15, depth: int = 10) ->
 
     from tallygrid.operators.labels import labelled_values
 
+    if most_outputs > MOST_SOURCES:
+        raise ValueError(f"at most {MOST_SOURCES} outputs of a workbook")
     outputs = labelled_values(model.cells, KEY_OUTPUTS, 8).where("is_formula").select("workbook_id", "sheet_idx", "sheet", "row", "col").distinct()
     order = W.partitionBy("workbook_id").orderBy("sheet_idx", "sheet", "row", "col")
     outputs = outputs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_outputs)
-    node = F.struct("workbook_id", "sheet", "row", "col")
-    edges = cut(cell_edges(model))
-    seen = cut(outputs.select(node.alias("output"), node.alias("node")))
-    frontier = seen
-    for _ in range(depth):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("output", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["output", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.union(frontier))
-    real = model.sheets.select("workbook_id", "sheet")
-    places = seen.select("output", "node.*").join(real, ["workbook_id", "sheet"], "left_semi")
-    state = model.cells.select("workbook_id", "sheet", "row", "col", "formula", "err", (F.col("kind") == "blank").alias("blank"))
-    ends = places.join(state, ["workbook_id", "sheet", "row", "col"], "left")
-    what = F.when(F.col("formula").isNull() & F.col("err").isNotNull(), "error").when(F.col("formula").isNull() & F.coalesce("blank", F.lit(True)), "dead end")
-    return ends.withColumn("what", what).where("what IS NOT NULL").groupBy("workbook_id", "sheet", "row", "col", "what").agg(F.count_distinct("output").alias("outputs"))
+    return trace(model, outputs, depth).where("what IN ('error', 'dead end')")
 
 
 def daisy_chains(model: Model, most: int = 20) -> DataFrame:

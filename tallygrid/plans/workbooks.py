@@ -17,13 +17,15 @@ from tallygrid.plans.queries import query
 
 def model_of(spark: SparkSession, sf_dir: str, *parts: str) -> Model:
     """A model of the cells of some statements: sheet, row_no, col_no and any of workbook_id, num, txt, err, formula and
-    others of the cell model. A cell is text if it has txt, an error if it has err, else a number."""
+    others of the cell model. A cell is an error if it has err, a date if it has dt, text if it has txt, else a number."""
     cells = None
     for sql in parts:
         rows = project(spark, sf_dir, sql).withColumnsRenamed({"row_no": "row", "col_no": "col"})
         if "workbook_id" not in rows.columns:
             rows = rows.withColumn("workbook_id", F.lit("w"))
         kind = F.when(F.col("err").isNotNull(), "error") if "err" in rows.columns else F.lit(None).cast("string")
+        if "dt" in rows.columns:
+            kind = F.coalesce(kind, F.when(F.col("dt").isNotNull(), F.lit("date")))
         if "txt" in rows.columns:
             kind = F.coalesce(kind, F.when(F.col("txt").isNotNull(), F.lit("text")))
         rows = rows.withColumn("kind", F.coalesce(kind, F.lit("number")))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 from datetime import datetime
 
@@ -220,8 +221,31 @@ def test_graphs(spark):
 
 def test_key_output_chains(spark):
     m = model(spark, {"S": {"A1": "Project IRR", "B1": ("=B2+Z9", 0.1), "B2": ("=B3", 1.0), "B3": ("=C3", 1.0), "C3": "#REF!", "A5": "Equity IRR", "B5": ("=B2", 0.2), "A6": "NPV", "B6": 5}})
-    got = {(r["row"], r["col"], r["what"], r["outputs"]) for r in graph.key_output_chains(m).collect()}
-    assert got == {(9, 26, "dead end", 1), (3, 3, "error", 2)}
+    got = {(r["row"], r["col"], r["what"], r["outputs"], r["depth"]) for r in graph.key_output_chains(m).collect()}
+    assert got == {(9, 26, "dead end", 1, 1), (3, 3, "error", 2, 3)}
+    assert graph.key_output_chains(m, depth=2).where("what = 'error'").count() == 0
+    assert [r["row"] for r in graph.key_output_chains(m, most_outputs=1, depth=1).collect()] == [9]
+
+
+def test_trace_of_many_sources_against_a_plain_walk(spark):
+    rng = random.Random(5)
+    cells = {f"A{k}": "=" + "+".join(f"A{rng.randint(1, 75)}" for _ in range(rng.randint(1, 3))) for k in range(1, 61)} | {f"A{k}": k for k in range(61, 66)} | {"A66": "#REF!"}
+    m = model(spark, {"S": cells})
+    starts = rng.sample(range(1, 61), 40)
+    frame = spark.createDataFrame([("w", "S", r, 1, k) for k, r in enumerate(starts, 1)], "workbook_id string, sheet string, row int, col int, k int")
+    for depth in (2, 15):
+        want = {}
+        for start in starts:
+            steps, wave = {start: 0}, [start]
+            for d in range(1, depth + 1):
+                wave = sorted({int(x) for a in wave for x in re.findall(r"A(\d+)", str(cells.get(f"A{a}", "")))} - set(steps))
+                steps |= dict.fromkeys(wave, d)
+            for node, d in steps.items():
+                n, least = want.get(node, (0, d))
+                want[node] = (n + 1, min(least, d))
+        what = lambda a: "formula" if a <= 60 else "input" if a <= 65 else "error" if a == 66 else "dead end"
+        got = {r["row"]: (r["outputs"], r["depth"], r["what"]) for r in graph.trace(m, frame, depth).collect()}
+        assert got == {a: (*v, what(a)) for a, v in want.items()}
 
 
 def test_orphans(spark):

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.functions import sql
 from tallygrid.model import Model
-from tallygrid.operators import graph, labels, predicates, ranges
-from tallygrid.plans.projections import table
+from tallygrid.operators import cross, graph, labels, predicates, ranges, series
+from tallygrid.plans.projections import FORMULAS, duck, formula_model, table
 from tallygrid.plans.queries import query
 from tallygrid.plans.workbooks import model_of
 
@@ -306,3 +307,79 @@ def short_reserves(spark, sf):
 def equity_plugs(spark, sf):
     """Equity that is what is left over."""
     return labels.backward_solved_equity(model_of(spark, sf, RESERVES)).select("workbook_id", F.col("row").alias("row_no"))
+
+
+#: Formulas over the cell above; some differ from the rest of their row and column.
+FILLS = """SELECT DISTINCT 'W' AS sheet, CAST(o_custkey % 300 AS INT) + 2 AS row_no, CAST(o_orderkey % 24 AS INT) + 2 AS col_no, 1e0 AS num,
+  concat(chr(CAST(o_orderkey % 24 AS INT) + 66), CAST(o_custkey % 300 + 1 AS STRING), CASE WHEN (o_custkey % 300 * 7 + o_orderkey % 24 * 3) % 11 < 2 THEN '*3' ELSE '*2' END) AS formula FROM {orders}"""
+_W = f"(SELECT row_no, col_no, formula LIKE '%*3' AS odd FROM ({duck(FILLS)}))"
+_MINORITY = "HAVING count(*) >= 4 AND greatest(count(*) FILTER (WHERE odd), count(*) FILTER (WHERE NOT odd)) >= greatest(3, 0.7 * count(*))"
+
+
+def _minority(line: str) -> str:
+    return f"SELECT row_no, col_no FROM {_W} c JOIN (SELECT {line} AS line, count(*) FILTER (WHERE odd) > count(*) FILTER (WHERE NOT odd) AS usual FROM {_W} GROUP BY {line} {_MINORITY}) g ON c.{line} = g.line WHERE c.odd <> g.usual"
+
+
+@query(_minority("row_no"))
+def row_patterns(spark, sf):
+    """Formulas that differ, relative to their cell, from most of their row."""
+    return series.row_patterns(model_of(spark, sf, FILLS)).select(F.col("row").alias("row_no"), F.col("col").alias("col_no"))
+
+
+@query(_minority("col_no"))
+def column_patterns(spark, sf):
+    """The same by column."""
+    return series.column_patterns(model_of(spark, sf, FILLS)).select(F.col("row").alias("row_no"), F.col("col").alias("col_no"))
+
+
+YIELDS = """SELECT concat('Y', CAST(s_suppkey AS STRING)) AS sheet, 1 AS row_no, k AS col_no, CAST(NULL AS DOUBLE) AS num, CASE k WHEN 1 THEN 'Debt yield (%)' ELSE 'note' END AS txt FROM {supplier}, (SELECT CAST(r_regionkey AS INT) + 1 AS k FROM {region} WHERE r_regionkey < 2) r
+  UNION ALL SELECT concat('Y', CAST(s_suppkey AS STRING)), 1, k + 5, CASE WHEN (s_suppkey + k) % 3 = 0 THEN -1e0 ELSE 1e0 END * k, NULL FROM {supplier}, (SELECT CAST(r_regionkey AS INT) + 1 AS k FROM {region}) r WHERE k <= 1 + s_suppkey % 4"""
+
+
+@query(f"SELECT sheet, col_no, num AS value FROM ({duck(YIELDS)}) WHERE num < 0 AND sheet IN (SELECT concat('Y', CAST(s_suppkey AS VARCHAR)) FROM supplier WHERE s_suppkey % 4 > 0)")
+def negative_debt_yields(spark, sf):
+    """Debt yields below zero, past texts and late starts."""
+    return cross.negative_debt_yields(model_of(spark, sf, YIELDS).cells).select("sheet", F.col("col").alias("col_no"), "value")
+
+
+@query("""SELECT concat('n', CAST(c_nationkey AS VARCHAR)) AS workbook_id, concat(p, CAST(c_custkey AS VARCHAR)) AS sheet FROM customer, (SELECT unnest(['T', 'U']) AS p) WHERE c_custkey % 5 IN (2, 4) OR (c_custkey % 5 = 1 AND p = 'U')""")
+def orphan_sheets(spark, sf):
+    """Sheets with no way to or from a statement (G1)."""
+    c = table(spark, sf, "customer")
+    book, kind, name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("workbook_id"), F.col("c_custkey") % 5, lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string"))
+    sheets = c.select(book, F.explode(F.array(F.lit("Balance Sheet"), name("T"), name("U"))).alias("sheet")).distinct()
+    link = lambda of, target, precedent: c.where(kind.isin(*of)).select(book, target.alias("target"), precedent.alias("precedent"))
+    links = link((0,), F.lit("Balance Sheet"), name("T")).union(link((0, 2), name("T"), name("U"))).union(link((1, 3), name("T"), F.lit("Balance Sheet"))).union(link((3,), name("U"), name("T")))
+    return graph.orphan_sheets(sheets, links).select("workbook_id", "sheet")
+
+
+#: Groups of ten cells that each use the next; every third group closes on itself.
+RINGS = """SELECT 'G' AS sheet, CAST(c_custkey AS INT) + 1 AS row_no, 3 AS col_no, c_acctbal AS num, CAST(NULL AS STRING) AS txt, CASE WHEN floor(c_custkey / 10) % 3 = 0 OR c_custkey % 10 < 9 THEN concat('C', CAST(c_custkey - c_custkey % 10 + (c_custkey + 1) % 10 + 1 AS STRING), '+COLUMNS(C', CAST(c_custkey + 1 AS STRING), ')') ELSE 'D1' END AS formula FROM {customer}
+  UNION ALL SELECT 'G', CAST(c_custkey AS INT) + 1, 1, NULL, CASE WHEN c_custkey % 60 = 5 THEN 'Dividend paid' ELSE 'Interest' END, NULL FROM {customer}"""
+
+
+@query("SELECT count(*) AS cells, bool_or(c_custkey % 60 = 5) AS distribution, CAST(min(c_custkey) AS INT) + 1 AS first_row FROM customer WHERE floor(c_custkey / 10) % 3 = 0 GROUP BY floor(c_custkey / 10) HAVING count(*) = 10")
+def cycle_classes(spark, sf):
+    """Cycles of formulas and whether they run through distributions."""
+    return graph.cycles(model_of(spark, sf, RINGS)).select("cells", "distribution", F.col("cycle.row").alias("first_row"))
+
+
+#: Chains of fifty cells; some catch errors.
+MASKED = """SELECT 'M' AS sheet, CAST(c_custkey AS INT) + 1 AS row_no, 1 AS col_no, c_acctbal AS num, CASE WHEN c_custkey % 50 = 1 THEN NULL WHEN c_custkey % 70 = 0 THEN concat('IFERROR(A', CAST(c_custkey AS STRING), ',0)') ELSE concat('A', CAST(c_custkey AS STRING), '*2') END AS formula FROM {customer}"""
+
+
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, c_custkey - 1 AS b FROM customer WHERE c_custkey % 50 <> 1),
+  r AS (SELECT a AS node, CAST(0 AS BIGINT) AS wave FROM l WHERE a % 70 = 0 OR (b % 90 = 0 AND b > 0) UNION ALL SELECT l.a, wave + 1 FROM r JOIN l ON l.b = r.node)
+  SELECT CAST(node AS INT) + 1 AS row_no, min(wave) AS wave FROM r GROUP BY node""")
+def likely_masked(spark, sf):
+    """Formulas whose value may rest on a hidden error."""
+    broken = table(spark, sf, "customer").where("c_custkey % 90 = 0").select(F.lit("w").alias("workbook_id"), F.lit("M").alias("sheet"), (F.col("c_custkey").cast("int") + 1).alias("row"), F.lit(1).alias("col"))
+    return graph.likely_masked(model_of(spark, sf, MASKED), broken).select(F.col("row").alias("row_no"), F.col("wave").cast("long").alias("wave"))
+
+
+@query(rf"SELECT upper(fn) AS fn, count(*) AS calls FROM (SELECT unnest(regexp_extract_all(formula, '([A-Za-z_][A-Za-z0-9_.]*)\s*\(', 1)) AS fn FROM ({duck(FORMULAS)})) GROUP BY 1")
+def calls_in_sql(spark, sf):
+    """Calls by function, by the tokenizer as a table function in SQL."""
+    sql.register(spark)
+    distinct = formula_model(spark, sf).formulas.groupBy("formula").agg(F.count("*").alias("n"))
+    return spark.sql("SELECT c.fn, sum(n) AS calls FROM {distinct} d, LATERAL formula_calls(d.formula) c GROUP BY c.fn", distinct=distinct)

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one task or one group is meant to hold.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that one task or one group is meant to hold, and that one row of a shuffle of packed rows holds.
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,10 +161,22 @@ def unpacked(blocks: pa.ChunkedArray | pa.Array) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks])
 
 
+def cut_by_bytes(groups: np.ndarray, sizes: np.ndarray, limit: int) -> list[int]:
+    """Where blocks begin: with each new group, and before a row with which a block would hold over limit bytes."""
+    edges, total = [], np.cumsum(sizes)
+    starts = np.flatnonzero(np.diff(groups, prepend=-1)).tolist()
+    for lo, hi in zip(starts, [*starts, len(groups)][1:], strict=True):
+        while lo < hi:
+            edges.append(lo)
+            lo = max(lo + 1, int(np.searchsorted(total, total[lo] - sizes[lo] + limit, "right")))
+    return edges
+
+
 def dealt_by_ranges(df: DataFrame, key: str, text: str = "text", neighbours: bool = False, flush_bytes: int = 16 << 20) -> DataFrame:
     """df's rows dealt into runs of ascending key with about BLOCK_BYTES of text, as columns run (int) and block (binary, see unpacked()).
 
-    A null key comes first. Rows travel as compressed blocks, a few of each run from each task. With neighbours, the
+    A null key comes first. Rows travel as compressed blocks of about PIECE_BYTES of text at most (a longer text is one by
+    itself), so that no row of the shuffle takes a large piece of an executor's memory. With neighbours, the
     rows of each run's first key are also sent to the run before (of the first run: to the last), marked in the added
     column `next_run`.
     """
@@ -193,8 +206,9 @@ def dealt_by_ranges(df: DataFrame, key: str, text: str = "text", neighbours: boo
             where, tail = np.concatenate(where), np.concatenate(tail)
             to = np.where(tail, (run[where] - 1) % runs, run[where])
             order = np.argsort(to, kind="stable")
-            edges = np.flatnonzero(np.diff(to[order], prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+            sizes = pc.fill_null(pc.binary_length(rows.column(text)), 0).to_numpy()[where[order]].astype(np.int64)
+            edges = cut_by_bytes(to[order], sizes, PIECE_BYTES)
+            for lo, hi in zip(edges, [*edges, len(order)][1:], strict=True):
                 some = rows.take(pa.array(where[order[lo:hi]]))
                 if neighbours:
                     some = some.append_column("next_run", pa.array(tail[order[lo:hi]]))
@@ -206,8 +220,10 @@ def dealt_by_ranges(df: DataFrame, key: str, text: str = "text", neighbours: boo
             size += batch.nbytes
             if size > flush_bytes:
                 yield from out()
+                give_back()
                 size = 0
         if held:
             yield from out()
+        give_back()
 
     return df.select(key, *(c for c in df.columns if c != key)).mapInArrow(deal, "run int, block binary")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import chunks, dealt_by_ranges, shared_dir, table, unpacked
+from tallygrid.llm.common import chunks, dealt_by_ranges, give_back, lean, shared_dir, table, unpacked
 
 BLOCK = 1 << 16
 END_ID = 1
@@ -319,7 +319,7 @@ def segment_writer(path: str, kind: str):
         cols = list(zip(*out, strict=True)) or [[]] * len(SEGMENT_TYPES)
         return pa.table([pa.array(c, t) for c, t in zip(cols, SEGMENT_TYPES, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
-    return write
+    return lean(write)
 
 
 def write_token_files(documents: DataFrame, to: str, vocabulary: str | None = None, kind: str = "byte") -> str:
@@ -351,6 +351,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 first = before[run.as_py()] + start.as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), pa.int64()), pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            give_back()
 
     return segments.select("run", "start", "doc_ids", "lengths", "blocks", "planes", "kind", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -142,6 +143,16 @@ def encoded_by(tokenizer, texts):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
+def test_memory_is_given_back_after_each_run_of_texts(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    write = token_files.segment_writer(token_files.vocabulary_path(), "byte")
+    for k in range(3):
+        texts = pa.table({"doc_id": pa.array([2, 1]), "text": pa.array(["two words", None])})
+        out = write(pa.table({"run": pa.array([k], pa.int32()), "block": pa.array([common.packed(texts)], pa.binary())}))
+        assert out.column("doc_ids").to_pylist() == [[1, 2]] and len(given) == k + 1
+
+
 def test_tokens_are_those_of_the_library(monkeypatch):
     """Words whose polynomial hashes agree, pieces on both sides of 16 bytes, and pieces forced to share a hash."""
     tokenizer = token_files.WordTokenizer(token_files.vocabulary_path())
@@ -639,6 +650,22 @@ def test_runs_are_bounded_however_many_are_too_large(spark):
     assert common.by_id_ranges(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 100, 4) == []
 
 
+def test_rows_of_the_shuffle_hold_little_text(spark):
+    rows = [(k // 2, f"{k} " * 400) for k in range(4_000)] + [(77, "z" * 3_000_000), (None, None), (78, "")]
+    dealt = common.dealt_by_ranges(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id").collect()
+    blocks = [pa.ipc.open_stream(r["block"]).read_all() for r in dealt]
+    sizes = [sum(len(t or "") for t in b.column("text").to_pylist()) for b in blocks]
+    assert all(n <= common.PIECE_BYTES or b.num_rows == 1 for n, b in zip(sizes, blocks, strict=True))
+    assert len(blocks) < 30 + len({r["run"] for r in dealt})
+    assert sorted((r for b in blocks for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)), key=str) == sorted(rows, key=str)
+
+
+def test_blocks_begin_with_groups_and_where_bytes_run_over():
+    groups, sizes = np.array([0, 0, 0, 0, 2, 2, 3]), np.array([4, 6, 1, 30, 0, 0, 10])
+    assert common.cut_by_bytes(groups, sizes, 10) == [0, 2, 3, 4, 6]
+    assert common.cut_by_bytes(groups[:0], sizes[:0], 10) == []
+
+
 def test_pieces_are_equal_by_bytes_not_by_hash():
     pool = np.frombuffer(b"abcabdabc", np.uint8)
     key, one, sizes, begin = np.zeros(3, np.uint64), np.zeros(3, np.uint64), np.full(3, 3), np.array([0, 3, 6])

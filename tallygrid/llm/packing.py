@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm import simhash
-from tallygrid.llm.common import saved, table
+from tallygrid.llm.common import lean, saved, table
 from tallygrid.llm.components import connected_components
 
 CAPACITY = 2048
@@ -69,7 +69,7 @@ def shard_packer(capacity: int):
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         return pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return run
+    return lean(run)
 
 
 def counted(documents: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import chunks, remainder, row_sums, saved, table
+from tallygrid.llm.common import chunks, give_back, remainder, row_sums, saved, table
 
 FEATURES = 192
 KERNEL_WIDTH = 3.0
@@ -212,6 +212,7 @@ def sieve(model: Model, threshold: float, text_at: int):
             for lo, hi, data, at in chunks(batch.column(text_at)):
                 good[lo:hi] = model.score(statistics(data, at).astype(np.float32).astype(np.float64)) >= threshold
             yield batch.filter(pa.array(good))
+        give_back()
 
     return run
 

@@ -153,6 +153,17 @@ def test_memory_is_given_back_after_each_run_of_texts(monkeypatch):
         assert out.column("doc_ids").to_pylist() == [[1, 2]] and len(given) == k + 1
 
 
+def test_memory_is_given_back_by_stages_before_and_after_the_repeats(monkeypatch):
+    given = []
+    for module in (common, quality):
+        monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    rows = {"shard": [0, 0], "doc_id": [1, 2], "piece": [0, 0], "source": ["a", "b"], "n_words": [3, 4], "cluster": [1, 2]}
+    assert packing.shard_packer(10)(pa.table(rows)).num_rows == 2 and len(given) == 1
+    batch = pa.RecordBatch.from_pydict({"text": ["", None]})
+    model = type("Half", (), {"score": lambda self, x: np.full(len(x), 0.5)})()
+    assert [b.num_rows for b in quality.sieve(model, 0.4, 0)(iter([batch]))] == [2] and len(given) == 2
+
+
 def test_tokens_are_those_of_the_library(monkeypatch):
     """Words whose polynomial hashes agree, pieces on both sides of 16 bytes, and pieces forced to share a hash."""
     tokenizer = token_files.WordTokenizer(token_files.vocabulary_path())

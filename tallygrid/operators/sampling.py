@@ -57,10 +57,15 @@ def complex_formulas(unique: DataFrame, least: int = 4, most: int = 40) -> DataF
     return unique.where(F.col("fscore") >= least).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 
 
+def _bound(value, use):
+    """use(value) with value computed once, however often it stands in what use makes of it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _pushed(stack, piece):
     """Open brackets after a piece of JSON that stands outside strings."""
-    marks = F.split(F.regexp_replace(piece, r"[^\[\]{}]", ""), "")
-    return F.aggregate(marks, stack, lambda open_, m: F.when(m.isin("{", "["), F.concat(open_, m)).when(m.isin("}", "]"), F.left(open_, F.greatest(F.length(open_) - 1, F.lit(0)))).otherwise(open_))
+    push = lambda open_, m: F.when(m.isin("{", "["), F.concat(open_, m)).when(m.isin("}", "]"), F.left(open_, F.greatest(F.length(open_) - 1, F.lit(0)))).otherwise(open_)
+    return _bound(F.regexp_replace(piece, r"[^\[\]{}]+", ""), lambda marks: F.when(marks == "", stack).otherwise(F.aggregate(F.split(marks, ""), stack, push)))
 
 
 def with_quotes_escaped(text):
@@ -68,29 +73,31 @@ def with_quotes_escaped(text):
 
     A string ends at a quote that is followed by a colon, a closing bracket or the end, or by a comma with what may come
     after it: in an array the start of a value, in an object a string and a colon. All other quotes in a string belong to
-    it. The text is cut at its quotes; a fold over these carries whether a string is open and which brackets are.
+    it. The text is cut at its quotes, once; one fold over the pieces carries whether a string is open, which brackets are
+    and which quotes stay.
     """
-    pieces = F.split(text, r'(?<!\\)"')
-    at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
-    n = F.size(pieces)
+    return _bound(F.split(text, r'(?<!\\)"'), _escaped)
+
+
+def _escaped(pieces):
+    n, first = F.size(pieces), F.get(pieces, 0)
 
     def ends(k, stack):
-        after, array = F.ltrim(F.regexp_replace(at(k), r"\s", " ")), F.right(stack, F.lit(1)) == "["
-        value = F.ltrim(F.substr(after, F.lit(2)))
-        key = (k + 2 < n) & at(k + 2).rlike(r"^\s*:")
-        comma = F.when(value != "", array & value.rlike(r"^[{\[\-0-9tfn]")).otherwise((k + 1 < n) & (array | key))
-        return F.when(after == "", k + 1 >= n).when(F.left(after, F.lit(1)).isin(":", "}", "]"), True).when(F.left(after, F.lit(1)) == ",", comma).otherwise(False)
+        piece, last, array = F.get(pieces, k), k == n - 1, F.right(stack, F.lit(1)) == "["
+        value = piece.rlike(r"^\s*,\s*[{\[\-0-9tfn]") | (~last & piece.rlike(r"^\s*,\s*$"))
+        key = piece.rlike(r"^\s*,\s*$") & F.coalesce(F.get(pieces, k + 2).rlike(r"^\s*:"), F.lit(False))
+        return piece.rlike(r"^\s*[:}\]]") | (last & piece.rlike(r"^\s*$")) | F.when(array, value).otherwise(key)
 
     def step(state, k):
-        inside, stack = state["inside"], state["stack"]
-        kept = ~inside | ends(k, stack)
-        still = F.when(inside, ~ends(k, stack)).otherwise(True)
-        return F.struct(still.alias("inside"), F.when(still, stack).otherwise(_pushed(stack, at(k))).alias("stack"), F.concat(state["marks"], F.when(kept, "q").otherwise("e")).alias("marks"))
+        inside, stack, marks = state["inside"], state["stack"], state["marks"]
+        kept = lambda still, stack: F.struct(F.lit(still).alias("inside"), stack.alias("stack"), F.concat(marks, F.lit("q")).alias("marks"))
+        escaped = F.struct(F.lit(True).alias("inside"), stack.alias("stack"), F.concat(marks, F.lit("e")).alias("marks"))
+        return F.when(~inside, kept(True, stack)).when(ends(k, stack), kept(False, _pushed(stack, F.get(pieces, k)))).otherwise(escaped)
 
-    start = F.struct(F.lit(False).alias("inside"), _pushed(F.lit(""), at(F.lit(0))).alias("stack"), F.lit("").alias("marks"))
+    start = F.struct(F.lit(False).alias("inside"), _pushed(F.lit(""), first).alias("stack"), F.lit("").alias("marks"))
     quotes = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
     marks = F.split(F.aggregate(quotes, start, step, lambda state: state["marks"]), "")
-    return F.concat(at(F.lit(0)), F.array_join(F.transform(quotes, lambda k: F.concat(F.when(F.get(marks, k - 1) == "q", F.lit('"')).otherwise(F.lit('\\"')), at(k))), ""))
+    return F.concat(first, F.array_join(F.zip_with(F.slice(pieces, 2, n), marks, lambda piece, m: F.concat(F.when(m == "q", '"').otherwise('\\"'), piece)), ""))
 
 
 def parsed_reply(text, schema: str):
@@ -98,9 +105,9 @@ def parsed_reply(text, schema: str):
     strings escaped, without trailing commas, or both (commas first, as one would hide where a string ends); null if none of these can be read (as a reply that breaks off)."""
     inner = F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1)
     without_commas = lambda x: F.regexp_replace(x, r",(\s*[}\]])", "$1")
-    forms = (inner, with_quotes_escaped(inner), without_commas(inner), with_quotes_escaped(without_commas(inner)))
-    readable = F.coalesce(*(F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in forms))
-    return F.from_json(readable, schema, {"mode": "PERMISSIVE"})
+    readable = lambda x: _bound(x, lambda x: F.when((x != "") & F.try_parse_json(x).isNotNull(), x))
+    forms = lambda x: F.coalesce(readable(x), readable(with_quotes_escaped(x)))
+    return F.from_json(_bound(inner, lambda x: F.coalesce(forms(x), _bound(without_commas(x), forms))), schema, {"mode": "PERMISSIVE"})
 
 
 def snapshot(findings: DataFrame, files: DataFrame) -> DataFrame:

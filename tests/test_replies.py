@@ -1,6 +1,7 @@
 """Objects out of replies that aren't quite JSON."""
 
 import json
+import time
 
 from tallygrid.operators import sampling
 
@@ -34,3 +35,11 @@ def test_valid_json_stays_as_it_is(spark):
     texts = [json.dumps(x) for x in ({"a": [1, 2, {"b": "c, d: e"}], "f": None}, {"g": {"h": [[], [True]]}, "i": 'j "k" l'})]
     rows = spark.createDataFrame([(t,) for t in texts], "reply string")
     assert [r[0] for r in rows.select(sampling.with_quotes_escaped(rows["reply"])).collect()] == texts
+
+
+def test_replies_of_many_quotes_take_time_in_proportion(spark):
+    reply = '{"a": "x", "b": [' + ", ".join(f'"it "is" {k}"' for k in range(60)) + "]}"
+    began = time.time()
+    rows = spark.createDataFrame([(reply,)], "reply string")
+    assert rows.select(sampling.parsed_reply(rows["reply"], "a string, b array<string>").alias("got")).first()["got"]["b"] == [f'it "is" {k}' for k in range(60)]
+    assert time.time() - began < 20

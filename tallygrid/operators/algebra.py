@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallygrid.operators.core import first_of
+from tallygrid.operators.graph import cut
 
 #: Hints of key outputs. Risk scores don't look for the first of the two.
 KEY_OUTPUT_HINTS = (
@@ -129,12 +130,22 @@ def breakdown(findings: DataFrame) -> DataFrame:
     return findings.cube("priority").agg(F.count("*").alias("findings"), F.count_if(F.col("priority").isin(*CONFIRMED)).alias("confirmed"))
 
 
+#: Checks that are broadcast to their cells; more of them meet these by a shuffle.
+MOST_BROADCAST = 10_000
+
+
 def fingerprints(findings: DataFrame, cells: DataFrame) -> DataFrame:
     """One row for each check of findings (check_id, label, priority, record_type) and affected cell of cells (check_id,
-    cell), or for the check alone if it has no cell; the last of equal ones stays (by label)."""
-    rows = findings.select("check_id", "label", "priority", "record_type").join(cells.select("check_id", "cell").distinct(), "check_id", "left")
+    cell), or for the check alone if it has no cell; the last of equal ones stays (by label).
+
+    Checks are few and their cells many: checks go to the cells, which are dealt out once, by fingerprint, and never by check.
+    """
+    checks = cut(findings.groupBy("check_id").agg(F.max(F.struct("label", "priority", "record_type")).alias("last")))
+    there = F.broadcast(checks) if checks.count() <= MOST_BROADCAST else checks
+    alone = checks.join(cells.select("check_id").distinct(), "check_id", "left_anti").withColumn("cell", F.lit(None).cast("string"))
+    rows = cells.select("check_id", "cell").join(there, "check_id").unionByName(alone)
     rows = rows.withColumn("fingerprint", F.when(F.col("cell").isNull(), F.col("check_id")).otherwise(F.concat_ws("::", "check_id", "cell")))
-    return rows.groupBy("fingerprint").agg(F.max(F.struct("label", "check_id", "cell", "priority", "record_type")).alias("f")).select("fingerprint", "f.*")
+    return rows.groupBy("fingerprint").agg(F.max(F.struct("last.label", "check_id", "cell", "last.priority", "last.record_type")).alias("f")).select("fingerprint", "f.*")
 
 
 def cross_run(current: DataFrame, history: DataFrame) -> DataFrame:

@@ -111,10 +111,18 @@ def safe_file_name(path: Column) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+    return _shown("%.1f%%", share * 100)
 
 
 def money_text(value: Column) -> Column:
     """In millions; what would show as nothing is taken to be in millions already."""
-    millions = F.when((value != 0) & (F.abs(value / 1e6) < 0.05), value).otherwise(value / 1e6)
-    return F.format_string("$%.1fM", millions)
+    return millions_text(F.when((value != 0) & (F.abs(value / 1e6) < 0.05), value).otherwise(value / 1e6))
+
+
+def millions_text(millions: Column) -> Column:
+    """An amount that is known to be in millions, as it is."""
+    return _shown("$%.1fM", millions)
+
+
+def _shown(form: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.format_string(form, value))  # a form would spell out null

@@ -1,6 +1,8 @@
 """Every query with SQL gives the SQL's rows."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallygrid.plans import queries
@@ -21,3 +23,17 @@ def test_entry_runs(spark):
 def test_rows_only_queries_run(spark, small):
     for name in set(queries.QUERIES) - set(queries.SQL):
         entry.queries()[name](spark, small).count()
+
+
+def _beside_sql(spark, tmp_path, name, table, rows):
+    """The rows of a query over a table of its own, and those of its SQL."""
+    rows.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    return same_rows(entry.queries()[name](spark, str(tmp_path)), con, queries.SQL[name])
+
+
+def test_amounts_in_millions_of_any_size_and_none(spark, tmp_path):
+    keys = [None, 0, 1, 5, 7, 1999, 49_999, 50_000, 50_001, 60_001, 149_999, 899_999, 900_000, 8_999_999, 123_456_789, -1, -5, -60_001]
+    got, want = _beside_sql(spark, tmp_path, "percent_and_money", "orders", spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))
+    assert got == want and len(got) == len(keys)
